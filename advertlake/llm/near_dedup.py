@@ -227,8 +227,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                     ["id", "bands", "q"],
                 )
 
-    counts = dealt().mapInArrow(send, "g int, bucket int, data binary, n binary").repartitionById(n, "bucket")
-    counts = written(counts.mapInArrow(_frequencies, "g int, bucket int, data binary"))
+    counts = written(
+        dealt()
+        .mapInArrow(send, "g int, bucket int, data binary, n binary")
+        .repartitionById(n, "bucket")
+        .mapInArrow(_frequencies, "g int, bucket int, data binary")
+    )
     signed = written(dealt(counts).mapInArrow(sign, "id long, bands array<long>, q binary"))
 
     keyed = signed.select("id", F.explode("bands").alias("band"))

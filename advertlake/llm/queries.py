@@ -5,8 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from advertlake.llm import near_dedup, quality_classifier, sharding, source_mixing, substring_dedup, token_counts, url_filter
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from advertlake.llm import (
+    embedding_dedup,
+    near_dedup,
+    nearest_neighbours,
+    piece_sampling,
+    quality_classifier,
+    sharding,
+    source_mixing,
+    substring_dedup,
+    token_counts,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,30 +42,105 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     got = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return got.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_source_mixing": op3_source_mixing,
     "op4_url_filter": op4_url_filter,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_piece_sampling": op7_piece_sampling,
     "op8_near_dedup": op8_near_dedup,
     "op9_sharding": op9_sharding,
+    "op10_embedding_dedup": op10_embedding_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL over the same tables. The other queries learn, sample or search: tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM doc GROUP BY source),
+fill(n, level) AS (
+  SELECT 0, 1.5::DOUBLE * sum(source_size)::DOUBLE / sum(weight)::DOUBLE FROM per
+  UNION ALL
+  SELECT n + 1, next FROM (
+    SELECT f.n, f.level, max(1.5::DOUBLE * t.total::DOUBLE - s.capped) / nullif(max(s.free), 0) AS next
+    FROM fill f, (SELECT sum(source_size) AS total FROM per) t,
+    LATERAL (SELECT coalesce(sum(CASE WHEN p.weight * f.level > 2 * p.source_size THEN 2 * p.source_size END), 0)::DOUBLE AS capped,
+                    coalesce(sum(CASE WHEN NOT p.weight * f.level > 2 * p.source_size THEN p.weight END), 0)::DOUBLE AS free FROM per p) s
+    GROUP BY f.n, f.level) WHERE next > level),
+top AS (SELECT max(level) AS level FROM fill),
+goal AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * level) AS target,
+         CASE WHEN source_size > 0 THEN least(2.0::DOUBLE * source_size, weight * level) / source_size ELSE 0.0::DOUBLE END AS rate
+  FROM per, top)
+SELECT d.doc_id, d.size, g.source_size, g.target,
+  (d.size * (floor(g.rate) + CASE WHEN (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT)::DOUBLE
+     / 4503599627370496.0::DOUBLE < g.rate - floor(g.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM doc d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+""",
+    "op4_url_filter": r"""
+WITH RECURSIVE page AS (
+  SELECT page_id, url, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM pages),
+tag AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM page
+        WHERE contains(lower(html), 'canonical') OR contains(lower(html), 'refresh')),
+aim AS (
+  SELECT url, CASE WHEN regexp_matches(tag, '(?is)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+                   ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS t
+  FROM tag WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)http-equiv\s*=\s*["'']?refresh\b')),
+link AS (
+  SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+                   WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t END AS target FROM aim),
+named AS (SELECT url AS u FROM link WHERE target IS NOT NULL UNION SELECT target FROM link WHERE target IS NOT NULL UNION SELECT url FROM page WHERE url IS NOT NULL),
+node AS (
+  SELECT u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM named),
+rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+ruled AS (
+  SELECT n.u, n.host || n.rest AS id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+  FROM node n LEFT JOIN rules r ON (n.host = r.h OR n.host LIKE '%.' || r.h) AND starts_with(n.path, r.p) WHERE n.host <> '' GROUP BY ALL),
+edge AS (
+  SELECT a.id AS x, b.id AS y FROM link l JOIN ruled a ON a.u = l.url JOIN ruled b ON b.u = l.target
+  UNION SELECT b.id, a.id FROM link l JOIN ruled a ON a.u = l.url JOIN ruled b ON b.u = l.target),
+reach(x, y) AS (SELECT x, x FROM edge UNION SELECT r.x, e.y FROM reach r JOIN edge e ON r.y = e.x),
+alias AS (
+  SELECT r.x, bool_or(u.verdict = 'block') AS blocked, bool_or(u.verdict = 'allow') AS allowed FROM reach r JOIN ruled u ON u.id = r.y GROUP BY r.x)
+SELECT p.page_id, p.host, p.path, u.rule,
+  coalesce(u.verdict, CASE WHEN a.blocked AND NOT coalesce(a.allowed, false) THEN 'block' END, 'allow') AS verdict
+FROM page p LEFT JOIN ruled u ON u.u = p.url LEFT JOIN alias a ON a.x = u.id
+""",
+}

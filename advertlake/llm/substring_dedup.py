@@ -255,10 +255,10 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 d = d.withColumn(c, F.lit(None).cast(kind))
         return d.repartitionById(n, "g")
 
-    found = dealt(lean).mapInArrow(send_probes, _PACKED).repartitionById(n, "bucket").mapInArrow(_join_probes, _PACKED)
-    found = written(found)
-    before = dealt(lean, found).mapInArrow(send_windows, _PACKED).repartitionById(n, "bucket").mapInArrow(_join_windows, _PACKED)
-    before = written(before)
+    found = written(dealt(lean).mapInArrow(send_probes, _PACKED).repartitionById(n, "bucket").mapInArrow(_join_probes, _PACKED))
+    before = written(
+        dealt(lean, found).mapInArrow(send_windows, _PACKED).repartitionById(n, "bucket").mapInArrow(_join_windows, _PACKED)
+    )
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"{names[c]} {kinds[c]}" for c in other), "text string", "n_words long", "n_removed long", "removed array<struct<start:long,end:long>>"])
     out = dealt(base, found, before).mapInArrow(cut, schema)
