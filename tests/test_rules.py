@@ -1,0 +1,53 @@
+"""Hand-worked cases of the rules and of the operators that SQL can't express."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from advertlake.functions import rules, text
+from advertlake.operators import book, relational
+from advertlake.settings import Settings
+
+T0 = dt.datetime(2026, 10, 1)
+
+
+def test_effective_km(spark):
+    rows = [(123456, 2020), (111111, 2020), (900, 2020), (900, 2026), (14000, 2010), (15000, 2010), (None, 2010)]
+    df = spark.createDataFrame(rows, "km int, year int")
+    got = [r[0] for r in df.select(rules.effective_km(F.col("km"), F.col("year"), dt.date(2026, 10, 1))).collect()]
+    assert got == [None, None, None, 900, None, 15000, None]
+
+
+def test_tier_demotions(spark):
+    rows = [(7000.0, 10000.0, 8), (7000.0, 10000.0, 2), (7500.0, 10000.0, 5), (5100.0, 10000.0, 5), (1000.0, 1800.0, 9), (4000.0, 10000.0, 9), (4000.0, 10000.0, 5)]
+    df = spark.createDataFrame(rows, "price double, median double, n int")
+    got = [r[0] for r in df.select(rules.tier(F.col("price"), F.col("median"), F.col("n"), Settings())).collect()]
+    assert got == ["guclu", "yok", "yok", "pazarlik", "pazarlik", "pazarlik", "yok"]
+
+
+def test_greedy_marking_is_not_transitive(spark):
+    """b is a copy of a; c is near b alone and so stays canonical."""
+    rows = [("a", "X", "Y", 2015, 100100, 5000.0, T0), ("b", "X", "Y", 2015, 102000, 5000.0, T0 + dt.timedelta(1)), ("c", "X", "Y", 2015, 103900, 5000.0, T0 + dt.timedelta(2))]
+    df = spark.createDataFrame(rows, "id string, brand_norm string, model_norm string, year int, km int, price_gbp double, first_seen_at timestamp")
+    assert {r.id: r.canonical for r in book.greedy_duplicates(df).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_book_needs_two_nights_for_a_jump(spark):
+    prev = spark.createDataFrame([("k1", 100.0, None), ("k2", 100.0, 125.0)], "k string, value double, candidate double")
+    new = spark.createDataFrame([("k1", 130.0, 9, 4), ("k2", 130.0, 9, 4), ("k3", 50.0, 2, 2)], "k string, value double, n int, sellers int")
+    got = {r.k: (r.value, r.status) for r in book.next_status(prev, new, ["k"], Settings()).collect()}
+    assert got == {"k1": (100.0, "supheli"), "k2": (130.0, "oturmus"), "k3": (50.0, "ince")}
+
+
+def test_upsert_is_idempotent(spark):
+    state = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "k int, at int, tie int")
+    rows = spark.createDataFrame([(1, 2, 2), (3, 1, 1)], "k int, at int, tie int")
+    once = relational.upsert(state, rows, ["k"], "at", "tie")
+    assert sorted(once.collect()) == sorted(relational.upsert(once, rows, ["k"], "at", "tie").collect()) and once.count() == 3
+
+
+def test_text_rules(spark):
+    df = spark.createDataFrame([("0533 123 45 67 a@b.com 0533 123 45 67", "İIŞ", "1,6 lt")], "t string, u string, e string")
+    r = df.select(text.phones(F.col("t")).alias("p"), text.mask_pii(F.col("t")).alias("m"), text.tr_lower(F.col("u")).alias("l"), text.engine_liters(F.col("e")).alias("e"),
+                  text.normalize_phone(F.lit("0533 123 45 67")).alias("n")).first()
+    assert (r.p, r.m, r.l, r.e, r.n) == (["05331234567"], "<phone> <mail> <phone>", "iış", 1.6, "905331234567")
