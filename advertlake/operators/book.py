@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from advertlake.settings import Settings
@@ -46,15 +46,31 @@ def next_status(prev: DataFrame, new: DataFrame, keys: list[str], s: Settings) -
                     F.when(held, "supheli").when(thin, "ince").otherwise("oturmus").alias("status"))
 
 
-def peer_quarantine(rows: DataFrame, low: float = 0.40, high: float = 2.50, peers: int = 8) -> DataFrame:
-    """Rows below low or above high times the median of the other rows of their model within two years. One row per (model, year, price)
-    carries its count, so that the peers of a year are shared by all its rows and equal prices are compared once."""
-    counted = rows.groupBy(*KEYS, "year", "price_gbp").agg(F.count("*").alias("m"))
-    near = counted.withColumn("of_year", F.explode(F.sequence(F.col("year") - 2, F.col("year") + 2)))
-    mids = near.groupBy(*KEYS, "of_year").agg(F.sum("m").alias("total"), F.percentile("price_gbp", F.lit(0.5), F.col("m")).alias("mid"))
-    got = rows.join(mids.withColumnRenamed("of_year", "year"), [*KEYS, "year"]).filter(F.col("total") > peers)
-    ratio = F.col("price_gbp") / F.col("mid")
-    return got.filter((ratio < low) | (ratio > high)).select("id", "total", "mid", ratio.alias("ratio"))
+def row_reason(s: Settings) -> Column:
+    """Why a row is odd by itself, else null: placeholder price, model year, mileage; the first that holds."""
+    age = F.greatest(F.lit(1), s.as_of.year - F.col("year"))
+    km = (F.col("km") > 600_000) | ((age >= 2) & (F.col("km") / age > 80_000))
+    return F.when(F.col("price_gbp") <= 10, "fiyat_yer_tutucu").when(~F.col("year").between(1970, s.as_of.year + 1), "yil_supheli").when(km, "km_supheli")
+
+
+def quarantine(rows: DataFrame, s: Settings, low: float = 0.40, high: float = 2.50, peers: int = 8) -> DataFrame:
+    """(id, reason, peers, mid): rows odd by themselves, and rows below low or above high times the median of the other rows of their model within
+    two years, where there are enough of those. Prices are counted per (model, year) first; a running count over the sorted prices gives the
+    three middle values of each year's neighbourhood, and which two of them are the middle without the row follows from the row's own price."""
+    judged = rows.withColumn("reason", row_reason(s))
+    odd = judged.filter("reason is not null").select("id", "reason", F.lit(None).cast("long").alias("peers"), F.lit(None).cast("double").alias("mid"))
+    sound = judged.filter("reason is null and price_gbp > 0 and year is not null and brand_norm is not null and model_norm is not null")
+    counted = sound.groupBy(*KEYS, "year", "price_gbp").agg(F.count("*").alias("m"))
+    near = counted.withColumn("year", F.explode(F.sequence(F.col("year") - 2, F.col("year") + 2))).groupBy(*KEYS, "year", "price_gbp").agg(F.sum("m").alias("m"))
+    w = Window.partitionBy(*KEYS, "year")
+    near = near.withColumns({"upto": F.sum("m").over(w.orderBy("price_gbp")), "n": F.sum("m").over(w)}).withColumn("lo", F.floor(F.col("n") / 2))
+    at = lambda k: F.max(F.when((F.col("upto") >= F.col("lo") + k) & (F.col("upto") - F.col("m") < F.col("lo") + k), F.col("price_gbp")))
+    mids = near.groupBy(*KEYS, "year").agg(F.first("n").alias("n"), at(0).alias("a"), at(1).alias("b"), at(2).alias("c")).filter(F.col("n") > peers)
+    x = F.col("price_gbp")
+    first, second = F.when(x <= F.col("a"), F.col("b")).otherwise(F.col("a")), F.when(x <= F.col("b"), F.col("c")).otherwise(F.col("b"))
+    got = sound.join(mids, [*KEYS, "year"]).withColumn("mid", F.when(F.col("n") % 2 == 0, first).otherwise((first + second) / 2))
+    reason = F.when(x < F.col("mid") * low, "fiyat_ucuz_supheli").when(x > F.col("mid") * high, "fiyat_pahali_supheli")
+    return odd.unionByName(got.select("id", reason.alias("reason"), (F.col("n") - 1).alias("peers"), "mid").filter("reason is not null"))
 
 
 def greedy_duplicates(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,12 @@ from advertlake.operators.market import find_market
 from advertlake.settings import Settings
 
 
+def work_list(pool: DataFrame, s: Settings) -> DataFrame:
+    """Active priced adverts first seen within recent_days before the instant of the settings."""
+    age = F.datediff(F.lit(s.as_of), F.col("first_seen_at"))
+    return pool.filter(F.col("is_active") & F.col("price_gbp").isNotNull() & age.between(0, s.recent_days))
+
+
 def assess(market: DataFrame, targets: DataFrame, s: Settings) -> DataFrame:
     """Profit, confidence, gaps and tier of each target that has a market; any gap turns a strong tier into a negotiable one."""
     t = targets.select(F.col("id").alias("a_id"), F.col("currency").alias("t_currency"), F.col("model_norm").alias("t_model"))

@@ -29,8 +29,7 @@ def status(spark, d):
 
 
 def quarantine(spark, d):
-    got = book.peer_quarantine(listings(spark, d))
-    return got.select("id", "total", F.round("mid", 4).alias("mid"), F.round("ratio", 6).alias("ratio"))
+    return book.quarantine(listings(spark, d), S).withColumn("mid", F.round("mid", 4))
 
 
 def duplicates(spark, d):
@@ -65,7 +64,7 @@ def amounts(spark, d):
 
 
 QUERIES = {
-    "AG28_AG30_ridge_curves": curves, "DM19_book_status": status, "AG34_peer_quarantine": quarantine, "DM30_greedy_duplicates": duplicates,
+    "AG28_AG30_ridge_curves": curves, "DM19_book_status": status, "AG34_quarantine": quarantine, "DM30_greedy_duplicates": duplicates,
     "TX43_TX61_TX70_text_rules": text_rules, "JN07_AG19_mentioned_handles": mentioned_handles, "TX63_SF24_canonical_url": links,
     "SC27_list_entries": titles, "PR06_placeholder_amount": amounts,
 }
@@ -86,9 +85,12 @@ o AS (SELECT brand_norm, model_norm, median(price_gbp) AS old FROM listings WHER
 n AS (SELECT brand_norm, model_norm, median(price_gbp) AS value, count(*) AS n, count(DISTINCT seller) AS sellers FROM listings WHERE is_sold GROUP BY 1, 2)
 SELECT brand_norm, model_norm, round(CASE WHEN abs(value - old) > 0.15::DOUBLE * old THEN old ELSE value END, 4) AS value,
 CASE WHEN abs(value - old) > 0.15::DOUBLE * old THEN 'supheli' WHEN n < 5 OR sellers < 3 THEN 'ince' ELSE 'oturmus' END AS status FROM n LEFT JOIN o USING (brand_norm, model_norm)""",
-    "AG34_peer_quarantine": f"""WITH {LISTINGS_SQL}, m AS (SELECT a.brand_norm, a.model_norm, a.year, count(*) AS total, median(b.price_gbp) AS mid FROM (SELECT DISTINCT brand_norm, model_norm, year FROM listings) a
-JOIN listings b ON a.brand_norm = b.brand_norm AND a.model_norm = b.model_norm AND abs(a.year - b.year) <= 2 GROUP BY 1, 2, 3 HAVING count(*) > 8)
-SELECT id, total, round(mid, 4) AS mid, round(price_gbp / mid, 6) AS ratio FROM listings JOIN m USING (brand_norm, model_norm, year) WHERE price_gbp / mid < 0.40 OR price_gbp / mid > 2.50""",
+    "AG34_quarantine": f"""WITH {LISTINGS_SQL}, r AS (SELECT *, CASE WHEN price_gbp <= 10 THEN 'fiyat_yer_tutucu' WHEN year NOT BETWEEN 1970 AND 1999 THEN 'yil_supheli'
+WHEN km > 600000 OR (greatest(1, 1998 - year) >= 2 AND km / greatest(1, 1998 - year) > 80000) THEN 'km_supheli' END AS reason FROM listings),
+p AS (SELECT a.id, any_value(a.price_gbp) AS price, count(*) AS peers, median(b.price_gbp) AS mid FROM r a JOIN r b ON a.brand_norm = b.brand_norm AND a.model_norm = b.model_norm
+AND abs(a.year - b.year) <= 2 AND a.id <> b.id AND a.reason IS NULL AND b.reason IS NULL GROUP BY a.id HAVING count(*) >= 8)
+SELECT id, reason, NULL::BIGINT AS peers, NULL::DOUBLE AS mid FROM r WHERE reason IS NOT NULL
+UNION ALL SELECT id, CASE WHEN price < mid * 0.40::DOUBLE THEN 'fiyat_ucuz_supheli' ELSE 'fiyat_pahali_supheli' END, peers, round(mid, 4) FROM p WHERE price < mid * 0.40::DOUBLE OR price > mid * 2.50::DOUBLE""",
     "TX43_TX61_TX70_text_rules": f"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{_P}', 1), lambda p: regexp_replace(p, '[^0-9]', '', 'g')), lambda p, i:
 list_position(list_transform(regexp_extract_all(coalesce(text, ''), '{_P}', 1), lambda q: regexp_replace(q, '[^0-9]', '', 'g')), p) = i), ',') AS phones,
 md5(regexp_replace(regexp_replace(coalesce(text, ''), '{_M}', '<mail>', 'g'), '{_P}', '<phone>', 'g')) AS masked,

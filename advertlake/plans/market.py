@@ -12,8 +12,8 @@ from advertlake.sources.listings import LISTINGS_SQL, listings
 
 
 def _targets(pool: DataFrame) -> DataFrame:
-    """The work-list of these queries: adverts of every 50th order, against the complete pool."""
-    return pool.filter(F.col("order_id") % 50 == 0).dropDuplicates(["id"])
+    """Every advert is a target, against the complete pool."""
+    return pool.dropDuplicates(["id"])
 
 
 def _money(*cols: str):
@@ -44,6 +44,14 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def evaluate_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quick round: active adverts first seen in the last days before the instant of the settings are assessed against the whole pool."""
+    pool = listings(spark, sf_dir)
+    t = decision.work_list(pool, S).dropDuplicates(["id"])
+    got = decision.assess(market.find_market(t, pool, S), t, S)
+    return got.select(F.col("t_id").alias("id"), F.col("n").cast("long").alias("n"), *_money("profit", "profit_pct"), "confidence", "tier", F.array_join("gaps", ",").alias("gaps"))
+
+
 def decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = listings(spark, sf_dir)
     got = decision.decide(_targets(pool), pool, S)
@@ -75,7 +83,7 @@ _PAIRS = f"""{LISTINGS_SQL},
 eff AS (SELECT * REPLACE ({_EFFECTIVE} AS km) FROM listings),
 pool AS (SELECT * FROM eff WHERE price_gbp BETWEEN 500 AND 250000 AND (is_active OR is_sold) AND datediff('day', first_seen_at::DATE, {_DATE}) <= {S.window_days}
   AND (NOT is_active OR datediff('day', first_seen_at::DATE, {_DATE}) <= {S.active_max_age_days})),
-target AS (SELECT DISTINCT ON (id) * FROM eff WHERE order_id % 50 = 0),
+target AS (SELECT DISTINCT ON (id) * FROM eff),
 pairs AS (
   SELECT t.id AS t_id, t.year AS t_year, t.km AS t_km, t.price_gbp AS t_price, t.currency AS t_currency, r.*,
     abs(r.year - t.year) + CASE WHEN r.km <> 0 AND t.km <> 0 THEN abs(r.km - t.km) / 30000.0::DOUBLE ELSE 1.0::DOUBLE END AS closeness
@@ -131,6 +139,7 @@ QUERIES = {
     "DM_market_median": market_median,
     "DM01_find_market": find_market,
     "DM02_DM08_assessment": decisions,
+    "SC04_DM37_evaluate_recent": evaluate_recent,
     "DM07_DM11_decide": decide,
     "AG36_backtest": tier_backtest,
     "WN14_nearest_comparables": nearest,
@@ -146,6 +155,9 @@ SELECT t_id AS id, step, n, sellers_n, round(median, 4) AS median, round(p25, 4)
     "DM02_DM08_assessment": f"""WITH {_DECIDED}
 SELECT t_id AS id, n, round(profit, 4) AS profit, round(pct, 4) AS profit_pct, confidence, raw_tier, tier, gaps,
   round(least((0.95 * median - 300) / 1.2, 0.95 * median - 1050), 6) AS ceiling FROM decided""",
+    "SC04_DM37_evaluate_recent": f"""WITH {_DECIDED}
+SELECT t_id AS id, n, round(profit, 4) AS profit, round(pct, 4) AS profit_pct, confidence, tier, gaps FROM decided
+WHERE t_id IN (SELECT id FROM listings WHERE is_active AND datediff('day', first_seen_at::DATE, {_DATE}) BETWEEN 0 AND {S.recent_days})""",
     "AG36_backtest": f"""WITH {_DECIDED}
 SELECT confidence, count(*) AS adverts, round(median(abs(t_price - median) / median), 6) AS median_error,
   count(*) FILTER (raw_tier = 'guclu') AS strong, count(*) FILTER (tier = 'pazarlik') AS negotiable FROM decided GROUP BY confidence""",

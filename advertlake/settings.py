@@ -18,6 +18,7 @@ class Settings:
     rich_comparables: int = 8
     window_days: int = 90
     active_max_age_days: int = 60
+    recent_days: int = 3
     absurd_price_ratio: float = 0.50
     thin_min_profit: float = 0.30
     min_price: float = 500.0
@@ -50,4 +51,4 @@ class Settings:
 
 
 #: The driver's tables are sparser in time than adverts are: wider windows, and an instant within their range.
-ANALOGUE = Settings(window_days=730, active_max_age_days=365, as_of=dt.date(1998, 6, 1))
+ANALOGUE = Settings(window_days=730, active_max_age_days=365, recent_days=60, as_of=dt.date(1998, 6, 1))
