@@ -23,8 +23,7 @@ def phones(text: Column) -> Column:
 def normalize_phone(raw: Column) -> Column:
     """12 digits with the country code, else null."""
     d = F.regexp_replace(raw, "[^0-9]", "")
-    d = F.when(d.startswith("00"), F.substr(d, F.lit(3))).otherwise(d)
-    return F.when((F.length(d) == 12) & d.startswith("90"), d).when((F.length(d) == 11) & d.startswith("0"), F.concat(F.lit("9"), d)).when(F.length(d) == 10, F.concat(F.lit("90"), d))
+    return F.when((F.length(d) == 12) & d.startswith("90"), d).when((F.length(d) == 11) & d.startswith("0"), F.concat(F.lit("9"), d)).when((F.length(d) == 10) & d.startswith("5"), F.concat(F.lit("90"), d))
 
 
 def mask_pii(text: Column) -> Column:
