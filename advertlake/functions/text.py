@@ -57,3 +57,16 @@ def text_fingerprint(text: Column) -> Column:
     """md5 of the first 300 characters of the lower-case letters and digits of the first 1000, words split by one space; null under 60."""
     words = F.trim(F.regexp_replace(F.lower(F.substring(text, 1, 1000)), "[^a-z0-9]+", " "))
     return F.when(F.length(words) >= 60, F.md5(F.substring(words, 1, 300).cast("binary")))
+
+
+# fixed values: spellings of fuels and gears and what they stand for
+FUELS = {"elektrik": "elektrikli", "electric": "elektrikli", "hybrit": "hibrit", "hybrid": "hibrit", "mazot": "dizel"}
+GEARS = {"düz": "manuel", "duz": "manuel", "düz vites": "manuel", "duz vites": "manuel", "manual": "manuel",
+         "automatic": "otomatik", "atomatik": "otomatik", "otamatık": "otomatik", "otomotik": "otomatik"}
+
+
+def canon(value: Column, table: dict[str, str]) -> Column:
+    """The table's word for a trimmed lower-case value; values that it does not hold stay, in lower case."""
+    key = F.lower(F.trim(value))
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.get(F.array(F.try_element_at(known, key)), F.lit(0)), key)
