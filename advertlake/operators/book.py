@@ -11,17 +11,13 @@ from advertlake.settings import Settings
 KEYS = ["brand_norm", "model_norm"]
 
 
-def ridge_curves(rows: DataFrame, s: Settings) -> DataFrame:
-    """Per model ln(price) = a + b_age * age + b_km * km / 10000, weighted and centred, in closed form from nine sums: one aggregate with
-    partial sums before the shuffle. A mileage slope above the limit is refitted with the fixed slope. rows carry price_gbp, year, km and seller."""
-    per_seller = Window.partitionBy(*KEYS, "seller")
-    x = rows.filter("price_gbp > 0 and year is not null and km is not null")
-    x = x.select(*KEYS, "year", F.ln("price_gbp").alias("y"), (s.as_of.year - F.col("year")).cast("double").alias("a"), (F.col("km") / 10000).alias("k"),
-                 F.least(F.lit(1.0), s.max_per_seller / F.count("*").over(per_seller)).alias("w"))
+def closed_form(points: DataFrame, s: Settings) -> DataFrame:
+    """Per model y = my + b_age * (a - ma) + b_km * (k - mk), weighted and centred ridge in closed form from nine sums: one aggregate with partial sums
+    before the shuffle. A mileage slope above the limit is refitted with the fixed slope. points carry year, y, a, k and weight w."""
     cols = {"sw": F.col("w")} | {n: F.col("w") * e for n, e in {
         "sa": F.col("a"), "sk": F.col("k"), "sy": F.col("y"), "saa": F.col("a") * F.col("a"), "skk": F.col("k") * F.col("k"),
         "sak": F.col("a") * F.col("k"), "say": F.col("a") * F.col("y"), "sky": F.col("k") * F.col("y")}.items()}
-    g = x.groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_distinct("year").alias("years"), *[F.sum(e).alias(n) for n, e in cols.items()])
+    g = points.groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_distinct("year").alias("years"), *[F.sum(e).alias(n) for n, e in cols.items()])
     g = g.filter((F.col("n") >= s.curve_min_rows) & (F.col("years") >= s.curve_min_years))
     g = g.selectExpr(*KEYS, "n", "sa / sw as ma", "sk / sw as mk", "sy / sw as my", f"saa - sa * sa / sw + {s.ridge_lambda}D as vaa",
                      f"skk - sk * sk / sw + {s.ridge_lambda}D as vkk", "sak - sa * sk / sw as vak", "say - sa * sy / sw as vay", "sky - sk * sy / sw as vky")
@@ -29,8 +25,16 @@ def ridge_curves(rows: DataFrame, s: Settings) -> DataFrame:
     fixed = F.col("fk") > s.km_slope_limit
     b_km = F.when(fixed, s.km_slope_fixed).otherwise(F.col("fk"))
     b_age = F.when(fixed, (F.col("vay") - s.km_slope_fixed * F.col("vak")) / F.col("vaa")).otherwise(F.col("fa"))
-    out = free.withColumns({"b_age": b_age, "b_km": b_km})
-    return out.select(*KEYS, "n", "b_age", "b_km", F.expr("my - b_age * ma - b_km * mk").alias("intercept"), fixed.alias("km_fixed"))
+    return free.select(*KEYS, "n", "ma", "mk", "my", b_age.alias("b_age"), b_km.alias("b_km"), fixed.alias("km_fixed"))
+
+
+def ridge_curves(rows: DataFrame, s: Settings) -> DataFrame:
+    """closed_form() of ln(price) over age and km / 10000; a seller's rows of a model weigh max_per_seller together. rows carry price_gbp, year, km and seller."""
+    per_seller = Window.partitionBy(*KEYS, "seller")
+    x = rows.filter("price_gbp > 0 and year is not null and km is not null")
+    x = x.select(*KEYS, "year", F.ln("price_gbp").alias("y"), (s.as_of.year - F.col("year")).cast("double").alias("a"), (F.col("km") / 10000).alias("k"),
+                 F.least(F.lit(1.0), s.max_per_seller / F.count("*").over(per_seller)).alias("w"))
+    return closed_form(x, s).select(*KEYS, "n", "b_age", "b_km", F.expr("my - b_age * ma - b_km * mk").alias("intercept"), "km_fixed")
 
 
 def next_status(prev: DataFrame, new: DataFrame, keys: list[str], s: Settings) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from advertlake.plans import book, delivery, market, relational, streams
+from advertlake.plans import book, curves, delivery, market, relational, streams
 
-_PLANS = [market, relational, book, streams, delivery]
+_PLANS = [market, relational, book, streams, delivery, curves]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _PLANS for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _PLANS for k, q in m.ORACLE_SQL.items()}
 

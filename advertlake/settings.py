@@ -44,6 +44,7 @@ class Settings:
     book_change_limit: float = 0.15
     book_confirm_limit: float = 0.07
     est_z: float = 1.53
+    est_min_curve_sellers: int = 5
     as_of: dt.date = dt.date(2026, 10, 1)
 
     def but(self, **changes) -> Settings:
@@ -51,4 +52,4 @@ class Settings:
 
 
 #: The driver's tables are sparser in time than adverts are: wider windows, and an instant within their range.
-ANALOGUE = Settings(window_days=730, active_max_age_days=365, recent_days=60, as_of=dt.date(1998, 6, 1))
+ANALOGUE = Settings(window_days=730, active_max_age_days=365, recent_days=60, curve_max_sigma=1.0, curve_max_age_slope=1.0, as_of=dt.date(1998, 6, 1))
