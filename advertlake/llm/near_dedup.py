@@ -9,19 +9,24 @@
 4. Within a bucket, pairs are verified by their exact weighted Jaccard similarity until everything that can be linked is linked: a document is
    compared with all that are not yet in its group, so no link between groups is lost, yet a group of n near copies makes n - 1 links and not
    n * n / 2. A large bucket is dealt into tiles, and each pair of tiles is a unit of its own.
-5. Connected components of the links are the classes; the smallest doc_id names a class and is kept.
+5. Connected components of the links are the classes; the smallest doc_id names a class, and one row that carries it is kept.
 
-Null texts and texts without words are in no class but their own. Rows that repeat a doc_id must carry the same text (else the doc_id joins
-both classes). An empty table gives an empty result. Only doc_id and text are read; other columns may have any name.
+The unit that is signed, bucketed and verified is the text, by a 64-bit hash that is checked to be unique, so any number of rows may lack a
+doc_id or share one. A null doc_id comes after all others: it names a class (class_id null) only where no row of the class has an id. Two
+classes can bear the same name if their rows share the id; kept is decided for each row and is true for one row of each class.
+
+Null texts and texts without words are in no class but their own. An empty table gives an empty result. Only doc_id and text are read; other
+columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advertlake.llm.common import connected_components, mix, window_hashes, word_hashes, written
@@ -71,16 +76,19 @@ def band_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class _Batch:
-    """Shingles of the documents of one batch that stand for their copies."""
+    """Shingles of the texts of one batch that no other batch stands for, each with the smallest doc_id that it has here."""
 
     def __init__(self, docs: pa.Table, copies: dict[int, int], buckets: int):
-        self.ids, self.parts, self.tf, self.times = [], [], [], []
+        self.nodes, self.ids, self.parts, self.tf, self.times = [], [], [], [], []
         self.buckets = buckets
-        for i, text in zip(docs["id"].to_pylist(), docs["text"].to_pylist(), strict=True):
-            if not (m := copies.get(i, 1)):
+        seen = set()
+        for i, node, text in zip(docs["id"].to_pylist(), docs["node"].to_pylist(), docs["text"].to_pylist(), strict=True):
+            if node in seen or not (m := copies.get(node, 1)):
                 continue
+            seen.add(node)
             h, tf = shingles(text)
-            if len(h) and i not in self.ids[-1:]:
+            if len(h):
+                self.nodes.append(node)
                 self.ids.append(i)
                 self.parts.append(h)
                 self.tf.append(tf)
@@ -167,19 +175,54 @@ def _links(hs: list[np.ndarray], ws: list[np.ndarray], left: int, same: bool, le
     return out
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Per document: doc_id, class_id (the smallest doc_id of its class), n_copies (documents with the same text) and kept (doc_id = class_id)."""
-    base = docs.select(row_id().alias("id"), F.col("text").alias("text"))
+def _node(salt: int) -> Column:
+    """A number for each text; null for one without words."""
     blank = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    known = written(base.select("id", F.when(~blank, F.md5(F.col("text").cast("binary"))).alias("key")))
-    same = written(known.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("m")).filter("m > 1"))
-    member = known.join(same, "key", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("m", F.lit(1)).alias("m"))
-    member = written(member)
-    n_docs = known.count()
+    return F.when(~blank, F.xxhash64(F.lit(salt), F.col("text")))
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["id"].eqNullSafe(b["id"]) & (a["node"] == b["node"])
+
+
+def _once(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """rows (id, node, ...) with one row for each id and node of twice, a written table."""
+    if twice.isEmpty():
+        return rows
+    same = _same_row(rows, twice)
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["id", "node"]))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Per document: doc_id, class_id (the smallest doc_id of its class), n_copies (documents with the same text) and kept (one row of each class)."""
+    return _judged(docs, threshold)[1].select(F.col("id").alias("doc_id"), "class_id", "n_copies", "kept")
+
+
+def _judged(docs: DataFrame, threshold: float) -> tuple[int, DataFrame]:
+    """The salt of _node, and per row: id, node, class_id, n_copies, kept, and again: not kept, but of the same id and text as the kept row."""
     n, splits = batches(docs)
-    g = batch_of(splits, F.col("id"))
-    base = base.withColumn("g", g)
-    notes = member.filter("m > 1").select(g.alias("g"), "id", F.when(F.col("id") == F.col("rep"), F.col("m")).otherwise(0).alias("m"))
+
+    def g(col: str) -> Column:
+        where = batch_of(splits, row_id(col))
+        return F.when(F.col(col).isNull(), F.pmod("node", F.lit(n)).cast("int")).otherwise(where)
+
+    for salt in count():
+        base = docs.select(F.col("doc_id").cast("long").alias("id"), _node(salt).alias("node"), F.col("text").alias("text"))
+        known = written(
+            base.select("id", "node", F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long").alias("mark"))
+            .withColumn("row", F.monotonically_increasing_id())
+        )
+        head = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "row"))
+        texts = written(
+            known.filter("node is not null").groupBy("node").agg(head.alias("head"), F.count("*").alias("m"), (F.min("mark") < F.max("mark")).alias("mixed"))
+        )
+        if texts.filter("mixed").isEmpty():
+            break
+    n_docs = known.count()
+    same = written(texts.filter("m > 1").select("node", F.col("head.id").alias("first"), "m").withColumn("to", g("first")))
+    base = base.filter("node is not null").withColumn("g", g("id"))
+    notes = known.select("id", "node").join(same, "node").withColumn("g", g("id"))
+    notes = notes.select("g", "node", F.when(F.col("g") == F.col("to"), F.col("m")).otherwise(0).alias("m"))
 
     def dealt(*answers: DataFrame) -> DataFrame:
         d = base.withColumn("kind", F.lit(0))
@@ -195,7 +238,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         gs, kind = t["g"].to_numpy(), t["kind"].to_numpy()
         for own in np.unique(gs):
             part = [t.take(pa.array(np.flatnonzero((gs == own) & (kind == k)))) for k in range(3)]
-            copies = dict(zip(part[1]["id"].to_pylist(), part[1]["m"].to_pylist(), strict=True))
+            copies = dict(zip(part[1]["node"].to_pylist(), part[1]["m"].to_pylist(), strict=True))
             answers = dict(zip(part[2]["bucket"].to_pylist(), part[2]["data"].to_pylist(), strict=True)) if "bucket" in t.column_names else {}
             yield int(own), _Batch(part[0].sort_by("id"), copies, n), answers
 
@@ -220,11 +263,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                 z = slice(a, a + 1000)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(b.nodes[z], pa.int64()),
                         pa.array(b.ids[z], pa.int64()),
                         pa.array([x.view(np.int64) for x in bands[z]], pa.list_(pa.int64())),
                         pa.array([q.tobytes() for q in qs[z]], pa.binary()),
                     ],
-                    ["id", "bands", "q"],
+                    ["node", "id", "bands", "q"],
                 )
 
     counts = written(
@@ -233,45 +277,56 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         .repartitionById(n, "bucket")
         .mapInArrow(_frequencies, "g int, bucket int, data binary")
     )
-    signed = written(dealt(counts).mapInArrow(sign, "id long, bands array<long>, q binary"))
+    signed = written(dealt(counts).mapInArrow(sign, "node long, id long, bands array<long>, q binary"))
 
-    keyed = signed.select("id", F.explode("bands").alias("band"))
+    keyed = signed.select("node", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.min("id").alias("first")
+        F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.min("node").alias("first")
     )
     units = buckets.filter("n > 1").groupBy("n", "who", "first").agg(F.min("band").alias("band")).select("band", "n")
-    links = verified_links(base.select("id", "text"), signed, written(keyed.join(units, "band")), n_docs, threshold)
+    twice = written(known.filter("node is not null").groupBy("id", "node").count().filter("count > 1").select("id", "node"))
+    links = verified_links(_once(base.select("id", "node", "text"), twice), signed, written(keyed.join(units, "band")), n_docs, threshold)
     group = connected_components(links)
-    out = member.join(group, member["rep"] == group["node"], "left").select(
-        "id", F.coalesce("component", "rep").alias("class_id"), F.col("m").alias("n_copies")
-    )
-    null = F.col("id") == F.lit(-(1 << 63))
-    return out.select(
-        F.when(~null, F.col("id")).alias("doc_id"), F.when(~null, F.col("class_id")).alias("class_id"), "n_copies", (F.col("id") == F.col("class_id")).alias("kept")
+    linked = texts.select("node", "head").join(group, "node")
+    named = linked.groupBy("component").agg(F.min("head").alias("best"))
+    best = group.join(named, "component").select("node", "best")
+    marked = texts.join(best, "node", "left").filter("m > 1 or best is not null").select("node", "m", F.coalesce("best", "head").alias("best"))
+    out = known.select("id", "node", "row").join(marked, "node", "left")
+    alone = F.col("best").isNull()
+    kept = alone | (F.col("row") == F.col("best.row"))
+    return salt, out.select(
+        "id",
+        "node",
+        F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("class_id"),
+        F.coalesce("m", F.lit(1)).alias("n_copies"),
+        F.coalesce(kept, F.lit(True)).alias("kept"),
+        F.coalesce(~kept & F.col("id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node")), F.lit(False)).alias("again"),
     )
 
 
 def verified_links(texts: DataFrame, signed: DataFrame, members: DataFrame, n_docs: int, threshold: float) -> DataFrame:
-    """(a, b): the links that join the members (id, band, n) of each bucket as all its pairs of similarity >= threshold would."""
+    """(a, b): the links that join the members (node, band, n) of each bucket as all its pairs of similarity >= threshold would. A signed text is
+    taken from a row of its node and id."""
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
+    tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
     # a unit is a bucket and a pair of its tiles: (t, t) or (t, u) with t < u
     pairs = F.transform(
         F.sequence(F.lit(0), tiles - 1), lambda o: F.struct(F.least(tile, o).alias("t"), F.greatest(tile, o).alias("u"))
     )
-    unit = members.select("id", "band", tile.alias("tile"), F.explode(pairs).alias("p"))
-    unit = unit.select("id", "tile", F.xxhash64("band", "p.t", "p.u").alias("unit"), F.col("p.t").alias("t"), F.col("p.u").alias("u"))
-    some = members.select("id").distinct()
-    payload = signed.select("id", "q").join(some, "id", "left_semi").join(texts, "id")
-    dealt = unit.join(payload, "id").select("unit", "t", "u", "tile", "id", "text", "q")
-    dealt = dealt.repartition("unit").sortWithinPartitions("unit", "tile", "id")
+    unit = members.select("node", "band", tile.alias("tile"), F.explode(pairs).alias("p"))
+    unit = unit.select("node", "tile", F.xxhash64("band", "p.t", "p.u").alias("unit"), F.col("p.t").alias("t"), F.col("p.u").alias("u"))
+    some = members.select("node").distinct()
+    payload = signed.select("node", "id", "q").join(some, "node", "left_semi")
+    payload = payload.join(texts, _same_row(payload, texts)).select(payload["node"], "text", "q")
+    dealt = unit.join(payload, "node").select("unit", "t", "u", "tile", "node", "text", "q")
+    dealt = dealt.repartition("unit").sortWithinPartitions("unit", "tile", "node")
 
     def verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[dict]) -> list[tuple[int, int]]:
             seen, own = set(), []
             for x in held:
-                if x["id"] not in seen:
-                    seen.add(x["id"])
+                if x["node"] not in seen:
+                    seen.add(x["node"])
                     own.append(x)
             same = own[0]["t"] == own[0]["u"]
             left = sum(x["tile"] == x["t"] for x in own)
@@ -282,7 +337,7 @@ def verified_links(texts: DataFrame, signed: DataFrame, members: DataFrame, n_do
                 h, tf = shingles(x["text"])
                 hs.append(h)
                 ws.append(weights(tf, np.frombuffer(x["q"], np.uint8), n_docs))
-            return [(own[i]["id"], own[j]["id"]) for i, j in _links(hs, ws, left, same, threshold)]
+            return [(own[i]["node"], own[j]["node"]) for i, j in _links(hs, ws, left, same, threshold)]
 
         def packed(out: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
@@ -304,5 +359,9 @@ def verified_links(texts: DataFrame, signed: DataFrame, members: DataFrame, n_do
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents, with all their columns, without those whose class another document stands for."""
-    gone = written(near_duplicates(docs, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    salt, judged = _judged(docs, threshold)
+    dropped = written(judged.filter(~F.col("kept")).select("id", "node", "again").distinct())
+    gone, again = dropped.filter(~F.col("again")), dropped.filter("again")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _node(salt).alias("node"), F.struct("*").alias("doc"))
+    rows = rows.join(gone, _same_row(rows, gone), "left_anti")
+    return _once(rows, again.select("id", "node")).select("doc.*")

@@ -56,6 +56,28 @@ def test_odd_documents(spark, name):
         assert len(got) == len(ROWS)
 
 
+def test_texts_of_null_and_repeated_ids_are_compared(spark):
+    def text(name, edit=None):
+        return " ".join(edit if edit and i == 60 else f"{name}{i}" for i in range(120))
+
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("c")), (None, text("e")), (None, text("e", "x")), (None, text("f")), (None, text("f")),
+        (1, text("b", "x")), (2, text("b", "y")), (3, text("c")), (4, text("a")),  # near copies and copies of the null ids' texts
+        (7, text("g")), (7, text("h")), (8, text("g", "x")), (9, text("h", "x")), (6, text("h", "y")),  # one id, two texts
+        (10, text("k")), (10, text("k", "x")), (11, text("m")), (11, text("m")), (12, text("m", "x")),  # one id, all of one class
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).collect()
+    classes = [(None, 4), (None, 1), (None, 3), (None, None), (None, None), (None, None), (None, None), (1, 1), (2, 1), (3, 3), (4, 4)]
+    classes += [(7, 7), (7, 6), (8, 7), (9, 6), (6, 6), (10, 10), (10, 10), (11, 11), (11, 11), (12, 11)]
+    assert sorted(map(str, classes)) == sorted(str((r.doc_id, r.class_id)) for r in got)
+    assert sorted(str(r.class_id) for r in got if r.kept) == sorted(map(str, [None, None, 1, 3, 4, 6, 7, 10, 11]))
+    left = near_dedup.deduplicated(docs).collect()
+    sure = {(1, text("b", "x")), (3, text("c")), (4, text("a")), (6, text("h", "y")), (7, text("g")), (11, text("m"))}
+    assert len(left) == 9 and sure <= {tuple(r) for r in left} and (None, text("f")) in left
+    assert sorted(r.text[0] for r in left) == sorted("bcahgkmef")
+
+
 def test_classifier_without_labels_or_documents(spark):
     docs, none = spark.createDataFrame(ROWS, DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_classifier.classify(docs, none).count() == len(ROWS)
