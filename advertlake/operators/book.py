@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from advertlake.functions.rules import effective_km
 from advertlake.settings import Settings
 
 KEYS = ["brand_norm", "model_norm"]
@@ -77,25 +78,42 @@ def quarantine(rows: DataFrame, s: Settings, low: float = 0.40, high: float = 2.
     return odd.unionByName(got.select("id", reason.alias("reason"), (F.col("n") - 1).alias("peers"), "mid").filter("reason is not null"))
 
 
-def greedy_duplicates(rows: DataFrame) -> DataFrame:
-    """(id, canonical): the first earlier advert of the same model and year that is itself canonical and surely the same car (mileage within 500
-    or 2 %, price within 15 %, or 3 % where both mileages are round). Order decides: A~B and B~C do not join C to A unless C matches A."""
+def greedy_duplicates(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(id, canonical) of every row: the first earlier advert of the same model and year that is itself canonical and surely the same car, else
+    the row itself. Order decides: A~B and B~C do not join C to A unless C matches A. With both mileages believed (effective_km), they must be
+    within 500 or 2 %, and the seller the same or the price within 15 % (3 % where both mileages are round); otherwise the same seller and a
+    price within 15 %. Without a model only the same seller counts, without a brand or
+    year nothing does. seller (the contact) and is_active may be missing; an active advert is a copy
+    of active ones only."""
     def mark(rows_of_key: pd.DataFrame) -> pd.DataFrame:
         g = rows_of_key.sort_values(["first_seen_at", "id"])
-        heads: list[tuple[str, float, float]] = []
+        if g["brand_norm"].isna().all() or g["year"].isna().all():
+            return pd.DataFrame({"id": g["id"], "canonical": g["id"]})
+        heads: list[tuple[str, float, float, str, bool]] = []
         out = []
-        for i, km, price in zip(g["id"], g["km"], g["price_gbp"], strict=True):
+        nameless = g["model_norm"].isna().all()
+        for i, km, price, seller, active in zip(g["id"], g["km"], g["price_gbp"], g["seller"], g["active"], strict=True):
             same = None
-            for h, k, p in heads:
-                if km > 0 and k > 0 and abs(km - k) <= max(500, 0.02 * max(km, k)):
-                    share = 0.03 if km % 1000 == 0 and k % 1000 == 0 else 0.15
-                    if abs(price - p) <= share * max(price, p):
-                        same = h
-                        break
+            for h, k, p, contact, live in heads:
+                ours = bool(seller) and seller == contact
+                if (active and not live) or (nameless and not ours):
+                    continue
+                known = km != 0 and k != 0
+                if known and abs(km - k) > max(500, 0.02 * max(km, k)):
+                    continue
+                share = 0.03 if known and km % 1000 == 0 and k % 1000 == 0 else 0.15
+                close = price != 0 and p != 0 and abs(price - p) <= share * max(price, p)
+                if (ours or close) if known else (ours and close):
+                    same = h
+                    break
             if same is None:
-                heads.append((i, km, price))
-            out.append(same or i)
+                heads.append((i, km, price, seller, active))
+            out.append(i if same is None else same)
         return pd.DataFrame({"id": g["id"], "canonical": out})
 
-    cols = rows.select("id", *KEYS, "year", F.col("km").cast("double").alias("km"), "price_gbp", "first_seen_at").filter("km > 0")
+    km = F.coalesce(effective_km(F.col("km"), F.col("year"), s.as_of).cast("double"), F.lit(0.0))
+    seller = F.coalesce(F.col("seller").cast("string"), F.lit("")) if "seller" in rows.columns else F.lit("")
+    active = F.coalesce("is_active", F.lit(False)) if "is_active" in rows.columns else F.lit(False)
+    cols = rows.select("id", *KEYS, "year", km.alias("km"), F.coalesce(F.col("price_gbp").cast("double"), F.lit(0.0)).alias("price_gbp"),
+                       seller.alias("seller"), active.alias("active"), "first_seen_at")
     return cols.groupBy(*KEYS, "year").applyInPandas(mark, "id string, canonical string")

@@ -33,7 +33,7 @@ def quarantine(spark, d):
 
 
 def duplicates(spark, d):
-    return book.greedy_duplicates(listings(spark, d).dropDuplicates(["id"]))
+    return book.greedy_duplicates(listings(spark, d).dropDuplicates(["id"]), S)
 
 
 def text_rules(spark, d):
