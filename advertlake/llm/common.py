@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -41,13 +42,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, component) for each node of the edges (a, b): component is the smallest node reachable.
 
     Alternates "large star" and "small star": each node hooks its neighbours to the smallest
     neighbour, which leaves a star per component after about log(n) rounds. A round groups by node
     with a min (partial sums before the shuffle) and never gathers a neighbour list, so a node with a
-    third of all edges is only a key of many small rows. Ends when a round changes nothing.
+    third of all edges is only a key of many small rows. Ends when a round changes nothing; raises if max_rounds is
+    given and does not suffice.
     """
     e = written(
         edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
@@ -56,7 +58,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     before = None
-    for _ in range(max_rounds):
+    for done in count():
+        if done == max_rounds:
+            raise RuntimeError(f"connected_components: still changing after {max_rounds} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

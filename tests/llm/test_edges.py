@@ -5,6 +5,7 @@ from pyspark.sql import Row
 
 import corpus_pipeline
 from advertlake.llm import (
+    common,
     embedding_dedup,
     near_dedup,
     nearest_neighbours,
@@ -78,6 +79,13 @@ def test_texts_of_null_and_repeated_ids_are_compared(spark):
     assert sorted(r.text[0] for r in left) == sorted("bcahgkmef")
 
 
+def test_components_are_finished_or_refused(spark):
+    chain = spark.createDataFrame([(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)], "a long, b long")
+    assert {(r.node, r.component) for r in common.connected_components(chain).collect()} == {(i, 0) for i in range(101)}
+    with pytest.raises(RuntimeError):
+        common.connected_components(chain, max_rounds=1)
+
+
 def test_classifier_without_labels_or_documents(spark):
     docs, none = spark.createDataFrame(ROWS, DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_classifier.classify(docs, none).count() == len(ROWS)
