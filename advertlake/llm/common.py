@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, in a local session only."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="advertlake-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -84,6 +86,14 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
     return stars.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def spread_join(rows: DataFrame, known: DataFrame, on: str, by, salts: int = 32) -> DataFrame:
+    """rows left join known (one row for each value of `on`), where one value may hold a third of all rows: its rows are dealt over `salts` tasks
+    by the number `by`, and known is repeated so often. Rows whose `on` is null are dealt too."""
+    left = rows.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int"))
+    right = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [on, "_salt"], "left").drop("_salt")
+
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
