@@ -82,6 +82,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
+def _ref_sql(col: str) -> str:
+    return rf"regexp_replace(regexp_replace(trim({col}), '(?i)&(amp|#38|#x26);', '&', 'g'), '(?s)#.*$', '')"
+
+
+def _resolved_sql(base: str) -> str:
+    """The absolute URL of the column ref on the page `base`."""
+    origin, path = f"regexp_extract({base}, '(?s)^(.*?://[^/?#]*)', 1)", f"regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    own, query = "regexp_extract(ref, '(?s)^([^?]*)', 1)", "regexp_extract(ref, '(?s)^[^?]*(.*)$', 1)"
+    whole = rf"regexp_replace(CASE WHEN starts_with({own}, '/') THEN {own} ELSE '/' || regexp_extract({path}, '(?s)^/(.*/)', 1) || {own} END, '(/\.\.?)$', '\1/')"
+    plain = f"""array_to_string(list_reduce(list_transform(string_split({whole}, '/'), lambda s: [s]), lambda a, x:
+      CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] ELSE a || x END), '/')"""
+    return f"""CASE WHEN regexp_matches(ref, '(?i)^[a-z][a-z0-9+.-]*://') THEN ref WHEN {origin} = '' THEN NULL WHEN starts_with(ref, '//') THEN 'http:' || ref
+      WHEN {own} = '' THEN {origin} || {path} || CASE WHEN {query} = '' THEN regexp_extract({base}, '(?s)^[^?#]*(\\?[^#]*)', 1) ELSE {query} END
+      ELSE {origin} || {plain} || {query} END"""
+
+
 #: DuckDB SQL over the same tables. The other queries learn, sample or search: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": r"""
@@ -114,33 +130,35 @@ FROM doc d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
 WITH RECURSIVE page AS (
   SELECT page_id, url, html,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-    regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM pages),
-tag AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM page
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+tag AS (SELECT url, regexp_extract(html, '(?is)<base\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS base,
+          unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM page
         WHERE contains(lower(html), 'canonical') OR contains(lower(html), 'refresh')),
 aim AS (
-  SELECT url, CASE WHEN regexp_matches(tag, '(?is)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+  SELECT url, base, CASE WHEN regexp_matches(tag, '(?is)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
                    ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS t
   FROM tag WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)http-equiv\s*=\s*["'']?refresh\b')),
-link AS (
-  SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-                   WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t END AS target FROM aim),
-named AS (SELECT url AS u FROM link WHERE target IS NOT NULL UNION SELECT target FROM link WHERE target IS NOT NULL UNION SELECT url FROM page WHERE url IS NOT NULL),
+based AS (SELECT url, t, {base} AS base FROM (SELECT url, t, base AS href, {base_ref} AS ref FROM aim WHERE t <> '')),
+link AS (SELECT url, {target} AS target FROM (SELECT url, base, {target_ref} AS ref FROM based)),
+good AS (SELECT * FROM link WHERE regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1) <> ''),
+named AS (SELECT url AS u FROM good UNION SELECT target FROM good UNION SELECT url FROM page WHERE url IS NOT NULL),
 node AS (
   SELECT u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM named),
 rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 ruled AS (
-  SELECT n.u, n.host || n.rest AS id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+  SELECT n.u, n.host || CASE WHEN starts_with(n.rest, '/') THEN n.rest ELSE '/' || n.rest END AS id,
+         arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
   FROM node n LEFT JOIN rules r ON (n.host = r.h OR n.host LIKE '%.' || r.h) AND starts_with(n.path, r.p) WHERE n.host <> '' GROUP BY ALL),
 edge AS (
-  SELECT a.id AS x, b.id AS y FROM link l JOIN ruled a ON a.u = l.url JOIN ruled b ON b.u = l.target
-  UNION SELECT b.id, a.id FROM link l JOIN ruled a ON a.u = l.url JOIN ruled b ON b.u = l.target),
+  SELECT a.id AS x, b.id AS y FROM good l JOIN ruled a ON a.u = l.url JOIN ruled b ON b.u = l.target
+  UNION SELECT b.id, a.id FROM good l JOIN ruled a ON a.u = l.url JOIN ruled b ON b.u = l.target),
 reach(x, y) AS (SELECT x, x FROM edge UNION SELECT r.x, e.y FROM reach r JOIN edge e ON r.y = e.x),
 alias AS (
   SELECT r.x, bool_or(u.verdict = 'block') AS blocked, bool_or(u.verdict = 'allow') AS allowed FROM reach r JOIN ruled u ON u.id = r.y GROUP BY r.x)
 SELECT p.page_id, p.host, p.path, u.rule,
   coalesce(u.verdict, CASE WHEN a.blocked AND NOT coalesce(a.allowed, false) THEN 'block' END, 'allow') AS verdict
 FROM page p LEFT JOIN ruled u ON u.u = p.url LEFT JOIN alias a ON a.x = u.id
-""",
+""".replace("{base_ref}", _ref_sql("base")).replace("{base}", "CASE WHEN href = '' THEN url ELSE " + _resolved_sql("url") + " END")
+    .replace("{target_ref}", _ref_sql("t")).replace("{target}", _resolved_sql("base")),
 }
