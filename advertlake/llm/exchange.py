@@ -1,9 +1,10 @@
 """Corpus-wide lookups of window hashes in packed form.
 
-Documents are dealt into batches by ranges of doc_id (a batch is one Spark partition of a few MB of text), and hashes into as many buckets. A
-batch sends each bucket one row with its distinct hashes as bytes, the bucket answers each batch with one byte string, and the batch recomputes
-its hashes in the same order to read the answer. So a hash costs its few bytes once per batch, however often a hot passage repeats in it, and
-no task holds more than a batch or a bucket.
+Documents are dealt into batches by ranges of doc_id (a batch is one Spark partition), and hashes into as many buckets. A batch sends each
+bucket one row with its distinct hashes as bytes, the bucket answers each batch with one byte string, and the batch recomputes its hashes in the
+same order to read the answer. So a hash costs its few bytes once per batch, however often a hot passage repeats in it, and no task holds more
+than a batch or a bucket. Batches grow with the square root of the corpus, so a packet stands for PACKET bytes of text or more and the number of
+packets is in proportion to the corpus: 4 MB batches up to 27 GB, 25 MB at 1 TB, 250 MB at 100 TB.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from advertlake.llm.common import shuffle_partitions
 
 _NO_ID = -(1 << 63)
+PACKET = 640
 
 
 def row_id(col: str = "doc_id") -> Column:
@@ -26,10 +28,10 @@ def row_id(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(_NO_ID))
 
 
-def batches(docs: DataFrame, batch_bytes: int = 4 << 20, most_bytes: int = 16 << 20) -> tuple[int, np.ndarray]:
-    """Number of batches and the first doc_id of each but the first. The batch size grows from batch_bytes to most_bytes as the corpus does."""
+def batches(docs: DataFrame, least_bytes: int = 4 << 20) -> tuple[int, np.ndarray]:
+    """Number of batches and the first doc_id of each but the first. A small corpus is dealt over the shuffle partitions, in batches of 128 kB or more."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    size = min(most_bytes, max(batch_bytes, total // 1000))
+    size = max(least_bytes, int((PACKET * total) ** 0.5))
     n = max(1, -(-total // size), min(shuffle_partitions(docs.sparkSession), total >> 17))
     if n == 1:
         return 1, np.zeros(0, np.int64)
@@ -56,6 +58,3 @@ def split_by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]
     bounds = np.searchsorted(bucket, np.arange(n + 1))
     return np.flatnonzero(np.diff(bounds)), bounds
 
-
-def in_memory(table: pa.Table, rows: np.ndarray) -> pa.Table:
-    return table.take(pa.array(rows))

@@ -8,7 +8,8 @@
    at least one bucket with probability 1 - (1 - 0.8**3)**10 = 0.9992, above that with more.
 4. Within a bucket, pairs are verified by their exact weighted Jaccard similarity until everything that can be linked is linked: a document is
    compared with all that are not yet in its group, so no link between groups is lost, yet a group of n near copies makes n - 1 links and not
-   n * n / 2. A large bucket is dealt into tiles, and each pair of tiles is a unit of its own.
+   n * n / 2. A bucket of more than TILE documents is dealt into tiles that meet its first document and themselves; only what those links leave
+   outside the first document's group meets the other tiles.
 5. Connected components of the links are the classes; the smallest doc_id names a class, and one row that carries it is kept.
 
 The unit that is signed, bucketed and verified is the text, by a 64-bit hash that is checked to be unique, so any number of rows may lack a
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from advertlake.llm.common import connected_components, mix, window_hashes, word_hashes, written
+from advertlake.llm.common import connected_components, mix, spread_join, window_hashes, word_hashes, written
 from advertlake.llm.exchange import batch_of, batches, row_id, split_by_bucket, table_of
 
 SHINGLE, BANDS, ROWS, IDF_SHARE = 5, 10, 3, 0.25
@@ -145,20 +146,19 @@ def _frequencies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _links(hs: list[np.ndarray], ws: list[np.ndarray], left: int, same: bool, least: float) -> list[tuple[int, int]]:
-    """Links (i, j) of similarity >= least that join the documents as all links would. The first `left` documents are one tile, the others
-    the second; same: there is one tile only. Documents that a link has joined are not compared again."""
-    n = len(hs)
+def _links(hs: list[np.ndarray], ws: list[np.ndarray], group: np.ndarray, left: int, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) of similarity >= least that join the documents as all links would. The first `left` documents meet the others, and all meet
+    all if left is their number. group: equal for documents that need not be compared; those that a link has joined are not compared again."""
+    n, group = len(hs), group.copy()
     vocab, at = np.unique(np.concatenate(hs), return_inverse=True)
     w = np.concatenate(ws).astype(np.float64)
     size = np.array([len(h) for h in hs])
     start = np.cumsum(size) - size
     total = np.add.reduceat(w, start)
     row = np.zeros(len(vocab))
-    group = np.arange(n)
     out = []
-    for i in range(left if not same else n - 1):
-        lo = i + 1 if same else left
+    for i in range(left):
+        lo = i + 1 if left == n else left
         near = np.minimum(total[lo:], total[i]) >= least * np.maximum(total[lo:], total[i]) * (1 - 1e-9)
         js = lo + np.flatnonzero(near & (group[lo:] != group[i]))
         if not len(js):
@@ -221,7 +221,7 @@ def _judged(docs: DataFrame, threshold: float) -> tuple[int, DataFrame]:
     n_docs = known.count()
     same = written(texts.filter("m > 1").select("node", F.col("head.id").alias("first"), "m").withColumn("to", g("first")))
     base = base.filter("node is not null").withColumn("g", g("id"))
-    notes = known.select("id", "node").join(same, "node").withColumn("g", g("id"))
+    notes = spread_join(known.filter("node is not null").select("id", "node", "row"), same, "node", F.col("row")).filter("m is not null").withColumn("g", g("id"))
     notes = notes.select("g", "node", F.when(F.col("g") == F.col("to"), F.col("m")).otherwise(0).alias("m"))
 
     def dealt(*answers: DataFrame) -> DataFrame:
@@ -283,15 +283,15 @@ def _judged(docs: DataFrame, threshold: float) -> tuple[int, DataFrame]:
     buckets = keyed.groupBy("band").agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.min("node").alias("first")
     )
-    units = buckets.filter("n > 1").groupBy("n", "who", "first").agg(F.min("band").alias("band")).select("band", "n")
+    units = buckets.filter("n > 1").groupBy("n", "who", "first").agg(F.min("band").alias("band"))
     twice = written(known.filter("node is not null").groupBy("id", "node").count().filter("count > 1").select("id", "node"))
-    links = verified_links(_once(base.select("id", "node", "text"), twice), signed, written(keyed.join(units, "band")), n_docs, threshold)
+    links = verified_links(_once(base.select("id", "node", "text"), twice), signed, written(keyed.join(units, "band").select("node", "band", "n", "first")), n_docs, threshold)
     group = connected_components(links)
     linked = texts.select("node", "head").join(group, "node")
     named = linked.groupBy("component").agg(F.min("head").alias("best"))
-    best = group.join(named, "component").select("node", "best")
+    best = spread_join(group, named, "component", F.col("node")).select("node", "best")
     marked = texts.join(best, "node", "left").filter("m > 1 or best is not null").select("node", "m", F.coalesce("best", "head").alias("best"))
-    out = known.select("id", "node", "row").join(marked, "node", "left")
+    out = spread_join(known.select("id", "node", "row"), marked, "node", F.col("row"))
     alone = F.col("best").isNull()
     kept = alone | (F.col("row") == F.col("best.row"))
     return salt, out.select(
@@ -305,42 +305,67 @@ def _judged(docs: DataFrame, threshold: float) -> tuple[int, DataFrame]:
 
 
 def verified_links(texts: DataFrame, signed: DataFrame, members: DataFrame, n_docs: int, threshold: float) -> DataFrame:
-    """(a, b): the links that join the members (node, band, n) of each bucket as all its pairs of similarity >= threshold would. A signed text is
-    taken from a row of its node and id."""
+    """(a, b): the links that join the members (node, band, n, first) of each bucket as all its pairs of similarity >= threshold would. A signed
+    text is taken from a row of its node and id."""
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    # a unit is a bucket and a pair of its tiles: (t, t) or (t, u) with t < u
-    pairs = F.transform(
-        F.sequence(F.lit(0), tiles - 1), lambda o: F.struct(F.least(tile, o).alias("t"), F.greatest(tile, o).alias("u"))
-    )
-    unit = members.select("node", "band", tile.alias("tile"), F.explode(pairs).alias("p"))
-    unit = unit.select("node", "tile", F.xxhash64("band", "p.t", "p.u").alias("unit"), F.col("p.t").alias("t"), F.col("p.u").alias("u"))
-    some = members.select("node").distinct()
-    payload = signed.select("node", "id", "q").join(some, "node", "left_semi")
-    payload = payload.join(texts, _same_row(payload, texts)).select(payload["node"], "text", "q")
-    dealt = unit.join(payload, "node").select("unit", "t", "u", "tile", "node", "text", "q")
-    dealt = dealt.repartition("unit").sortWithinPartitions("unit", "tile", "node")
+    # a unit is a bucket, or one tile of a large bucket with the bucket's first member, which meets every tile
+    lead = F.col("node") == F.col("first")
+    place = F.explode(F.when(lead, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(tile)))
+    unit = members.select("node", "band", (tiles > 1).alias("part"), lead.alias("lead"), place.alias("tile"))
+    unit = unit.select("node", "band", "part", "lead", F.xxhash64("band", "tile").alias("unit"), F.lit(0).alias("side"))
+    payload = _payload(texts, signed, members)
+    got = written(_verify(unit, payload, n_docs, threshold))
+    rest = got.filter("b is null").select(F.col("a").alias("node"), "band").distinct()
+    links = got.filter("b is not null").select("a", "b")
+    if rest.isEmpty():
+        return links
+    # chunks of what is not in the first member's group meet every tile of the bucket
+    chunks = F.ceil(F.col("left") / TILE).cast("int")
+    sizes = written(rest.groupBy("band").agg(F.count("*").alias("left")))
+    wide = members.join(sizes, "band").withColumns({"tiles": tiles, "chunks": chunks, "tile": tile})
+    ask = rest.join(wide, ["node", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
+    ask = ask.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(0))
+    meet = wide.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1))
+    both = ask.select("node", "band", "chunk", "tile", "side").unionByName(meet.select("node", "band", "chunk", "tile", "side"))
+    unit = both.select("node", "band", F.lit(False).alias("part"), F.lit(False).alias("lead"), F.xxhash64("band", "chunk", "tile").alias("unit"), "side")
+    return links.unionByName(_verify(unit, _payload(texts, signed, wide), n_docs, threshold).select("a", "b"))
+
+
+def _payload(texts: DataFrame, signed: DataFrame, members: DataFrame) -> DataFrame:
+    own = signed.select("node", "id", "q").join(members.select("node").distinct(), "node", "left_semi")
+    return own.join(texts, _same_row(own, texts)).select(own["node"], "text", "q")
+
+
+def _verify(unit: DataFrame, payload: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+    """(a, b, band): the links of each unit (node, band, part, lead, unit, side). Side 0 meets side 1, or itself where there is no side 1. Of a unit
+    that is part of a bucket, also (a, null, band) for each document that is not in the group of its lead."""
+    dealt = unit.join(payload, "node").repartition("unit").sortWithinPartitions("unit", "side", "node")
 
     def verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: list[dict]) -> list[tuple[int, int]]:
-            seen, own = set(), []
-            for x in held:
-                if x["node"] not in seen:
-                    seen.add(x["node"])
-                    own.append(x)
-            same = own[0]["t"] == own[0]["u"]
-            left = sum(x["tile"] == x["t"] for x in own)
-            if len(own) < 2 or not same and left in (0, len(own)):
+        def done(held: list[dict]) -> list[tuple[int, int | None, int]]:
+            own = [x for k, x in enumerate(held) if not k or (x["side"], x["node"]) != (held[k - 1]["side"], held[k - 1]["node"])]
+            left = sum(x["side"] == 0 for x in own)
+            if len(own) < 2 or not left:
                 return []
             hs, ws = [], []
             for x in own:
                 h, tf = shingles(x["text"])
                 hs.append(h)
                 ws.append(weights(tf, np.frombuffer(x["q"], np.uint8), n_docs))
-            return [(own[i]["node"], own[j]["node"]) for i, j in _links(hs, ws, left, same, threshold)]
-
-        def packed(out: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+            node, band = [x["node"] for x in own], own[0]["band"]
+            links = _links(hs, ws, np.unique(node, return_inverse=True)[1], left, threshold)
+            out = [(node[i], node[j], band) for i, j in links]
+            if own[0]["part"]:
+                root = np.arange(len(own))
+                for i, j in links:
+                    root[root == root[j]] = root[i]
+                first = [x["lead"] for x in own].index(True)
+                out += [(node[k], None, band) for k in np.flatnonzero(root != root[first])]
+            return out
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["a", "b", "band"])
 
         held: list[dict] = []
         for batch in rows:
@@ -354,7 +379,7 @@ def verified_links(texts: DataFrame, signed: DataFrame, members: DataFrame, n_do
         if held:
             yield packed(done(held))
 
-    return dealt.mapInArrow(verify, "a long, b long")
+    return dealt.select("unit", "side", "node", "band", "part", "lead", "text", "q").mapInArrow(verify, "a long, b long, band long")
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

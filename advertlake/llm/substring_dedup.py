@@ -2,9 +2,10 @@
 
 A window is `window` consecutive words of one document; words are [^\\x20\\x09-\\x0D]+. The first `block` = window / 2 words from each multiple of
 block on are reference blocks: non-overlapping, and each window holds a whole one. Every rolling run of `block` words probes them. A window that
-holds no run whose hash is a reference block elsewhere cannot repeat. The hits of the others are extended word by word: the windows around a
-hit are looked up whole (64-bit hash beside the bucket number), the one that starts first (smaller doc_id, then earlier start) stays, and
-overlapping repeats join to maximal repeated spans.
+holds no run whose hash is a reference block elsewhere cannot repeat. The hits of the others are extended to the windows that cover them, and
+overlapping repeats join to maximal repeated spans. Extension goes by windows and not by pairs of hits, word by word, because a passage that n
+documents share has n * n pairs: the covering windows are looked up by two independent hashes (64 and 32 bits, taken from the words anew), and
+the one that starts first (smaller doc_id, then earlier start) stays. A window counts as repeated only if both hashes agree.
 
 Null and empty texts have no words. Rows that repeat a doc_id are ordered by text. Texts of any length are read whole. An empty table gives an
 empty result. Columns other than doc_id and text pass through unread, whatever their names.
@@ -23,6 +24,7 @@ from advertlake.llm.common import mix, window_hashes, word_hashes, written
 from advertlake.llm.exchange import batch_of, batches, row_id, split_by_bucket, table_of
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
+_OTHER = np.uint64(0x2545F4914F6CDD1D)
 
 
 class Batch:
@@ -32,7 +34,7 @@ class Batch:
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or ""))
         self.raw = [(texts[i] or "").encode() for i in self.order]
         self.window, self.block, self.buckets = window, window // 2, buckets
-        self.spans, probes, aligned, wide, self.places = [], [], [], [], []
+        self.spans, probes, aligned, wide, more, self.places = [], [], [], [], [], []
         for k, raw in enumerate(self.raw):
             start, end, h = word_hashes(raw)
             self.spans.append((start, end))
@@ -42,11 +44,13 @@ class Batch:
             probes.append(run)
             aligned.append(np.arange(len(run)) % self.block == 0)
             wide.append(window_hashes(h, window))
+            more.append((window_hashes(mix(h ^ _OTHER), window) >> np.uint64(32)).astype(np.uint32))
             self.places.append((k, len(run), len(wide[-1])))
         none = np.zeros(0, np.uint64)
         self.probe = np.concatenate(probes) if probes else none
         self.aligned = np.concatenate(aligned) if aligned else np.zeros(0, bool)
         self.wide = np.concatenate(wide) if wide else none
+        self.more = np.concatenate(more) if more else none.astype(np.uint32)
 
     def probe_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(bucket << 30 | 30-bit fingerprint) of the distinct probes, sorted, and for each probe its place among them."""
@@ -80,25 +84,32 @@ class Batch:
             p, w = p + n_probe, w + n_wide
         return out
 
-    def wide_keys(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes of the windows `of`, by bucket and hash; their buckets; the first place of each in `of`; the place of each window."""
-        h, first, at = np.unique(self.wide[of], return_index=True, return_inverse=True)
-        bucket = (mix(h ^ _SALT) % np.uint64(self.buckets)).astype(np.int64)
+    def wide_keys(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows of `of`, by bucket: their two hashes, buckets, and first places in `of`; and the place of each window among them."""
+        h, more = self.wide[of], self.more[of]
+        order = np.lexsort((more, h))
+        new = np.ones(len(of), bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (more[order[1:]] != more[order[:-1]])
+        at = np.empty(len(of), np.int64)
+        at[order] = np.cumsum(new) - 1
+        first = order[new]
+        bucket = (mix(h[first] ^ _SALT) % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        return h[order], bucket[order], first[order], back[at]
+        return h[first][order], more[first][order], bucket[order], first[order], back[at]
 
     def wide_rows(self, answers: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
-        h, bucket, _, _ = self.wide_keys(np.flatnonzero(self.candidates(answers)))
+        h, more, bucket, _, _ = self.wide_keys(np.flatnonzero(self.candidates(answers)))
         some, bounds = split_by_bucket(bucket, self.buckets)
         for b in some:
-            yield int(b), h[bounds[b] : bounds[b + 1]].tobytes()
+            own = slice(bounds[b], bounds[b + 1])
+            yield int(b), h[own].tobytes() + more[own].tobytes()
 
     def repeated(self, answers: dict[int, bytes], earlier: dict[int, bytes]) -> np.ndarray:
         """True for each window whose words start earlier in another place."""
         of = np.flatnonzero(self.candidates(answers))
-        h, bucket, first, at = self.wide_keys(of)
+        h, _, bucket, first, at = self.wide_keys(of)
         known = np.zeros(len(h), bool)
         some, bounds = split_by_bucket(bucket, self.buckets)
         for b in some:
@@ -166,12 +177,16 @@ def _join_windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in np.unique(bucket):
         at = np.flatnonzero(bucket == b)
         g = t["g"].take(pa.array(at))
-        parts = [np.frombuffer(x, np.uint64) for x in t["data"].take(pa.array(at)).to_pylist()]
+        data = t["data"].take(pa.array(at)).to_pylist()
+        parts = [np.frombuffer(x, np.uint64, len(x) // 12) for x in data]
+        h, more = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.uint32, len(x) // 12, len(x) // 12 * 8) for x in data])
         sender = np.repeat(g.to_numpy(), [len(p) for p in parts])
-        h, place = np.unique(np.concatenate(parts), return_inverse=True)
-        first = np.full(len(h), np.iinfo(np.int64).max)
-        np.minimum.at(first, place, sender)
-        yield _answers(b, g, parts, sender > first[place])
+        order = np.lexsort((sender, more, h))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (more[order[1:]] != more[order[:-1]])
+        late = np.empty(len(h), bool)
+        late[order] = sender[order] > sender[order[new]][np.cumsum(new) - 1]
+        yield _answers(b, g, parts, late)
 
 
 def _answers(bucket: int, g: pa.ChunkedArray, parts: list[np.ndarray], yes: np.ndarray) -> pa.RecordBatch:
