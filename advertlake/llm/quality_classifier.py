@@ -1,11 +1,13 @@
 """Quality classifier: supervised subword embeddings, trained by numpy stochastic gradient descent.
 
-Features of a text are its words, the character 3- and 4-grams of <word>, and the bigram "same word again", each hashed to a row of a table of
-learned vectors; a document is the mean of its feature vectors, and a softmax over two classes gives the probability of label 1. The bias is
-the log odds of the labels. Because the output is linear in the mean, a
-trained model is one number per hash row (weight of class 1 minus class 0) and a bias: scoring is a sum over words, each computed once per
-worker, and needs neither the text's prefix nor a cap. A null or empty text has no features and scores the bias. Documents that repeat get
-equal scores. With no usable label, or only one class, the score is the smoothed share of label 1.
+Features of a text are its words, the character 3- and 4-grams of <word>, and its word bigrams, each hashed to a row of a table of learned
+vectors; a bigram of a word with itself backs off to one row of its own, so that repetition is learned whatever word it is of. A document is the
+mean of its feature vectors, and a softmax over two classes gives the probability of label 1. The bias is the log odds of the labels. A document
+of n distinct features moves each of its vectors by sqrt(n) times the plain gradient step, since the mean gives each of them a share of 1 / n.
+Because the output is linear in the mean, a trained model is one number per hash row (weight of class 1 minus class 0) and a bias: scoring is a
+sum over words, each computed once per worker, and over bigrams, and needs neither the text's prefix nor a cap. A null or empty text has no
+features and scores the bias. Documents that repeat get equal scores. With no usable label, or only one class, the score is the smoothed share of
+label 1.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -23,13 +24,11 @@ from pyspark.sql import functions as F
 from advertlake.llm.common import mix, powers
 
 _GRAMS = (3, 4)
-#: A word that repeats the one before is also a bigram of its own, "same word again": the last row of the table, counted so often.
-_SAME = 8
 _OPEN, _CLOSE = 0x110001, 0x110002
 
 
-def word_features(words: list[str], rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash rows of the features of all words, and for each feature the number of its word."""
+def word_features(words: list[str], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash rows of the features of all words, for each feature the number of its word, and a 64-bit hash of each word."""
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     stop = np.cumsum(size)
     start = stop - size
@@ -50,7 +49,13 @@ def word_features(words: list[str], rows: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(left >= g)
         found.append(mix((s[at + g] - s[at]) * down[at] + np.uint64(g)))
         owner.append(who[at])
-    return (np.concatenate(found) % np.uint64(rows)).astype(np.int64), np.concatenate(owner)
+    return (np.concatenate(found) % np.uint64(rows)).astype(np.int64), np.concatenate(owner), found[0]
+
+
+def bigram_rows(words: np.ndarray, rows: int) -> np.ndarray:
+    """Hash rows of the bigrams of a text's word hashes; row `rows`, behind the hashed ones, stands for a word that repeats the one before."""
+    a, b = words[:-1], words[1:]
+    return np.where(a == b, rows, (mix(a * np.uint64(0x9E3779B97F4A7C15) + b) % np.uint64(rows)).astype(np.int64))
 
 
 @dataclass
@@ -59,25 +64,23 @@ class Model:
     bias: float
 
 
-def train(texts: list[str], labels: list[int], rows: int = 1 << 16, dim: int = 12, epochs: int = 4, rate: float = 0.5, seed: int = 11) -> Model:
-    """Vectors and softmax weights by SGD, a document per step; the documents and their order come from the arguments alone."""
+def text_features(text: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hash rows of a text and how often each occurs."""
+    words = text.split()
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ids, _, whole = word_features(words, rows)
+    return np.unique(np.concatenate([ids, bigram_rows(whole, rows)]), return_counts=True)
+
+
+def learn(texts: list[str], labels: list[int], rows: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors (rows + 1, dim), softmax weights (2, dim) and biases (2) by SGD, a document per step; their order comes from the arguments alone."""
     ones = sum(labels)
-    prior = math.log((ones + 1) / (len(labels) - ones + 1))
-    if not ones or ones == len(labels):
-        return Model(np.zeros(rows + 1, np.float32), prior)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (rows + 1, dim)).astype(np.float32)
     out = rng.uniform(-1 / dim, 1 / dim, (2, dim)).astype(np.float32)
-    bias = np.array([0.0, prior], np.float32)
-    docs = []
-    for t in texts:
-        words = t.split()
-        if words:
-            ids, n = np.unique(word_features(words, rows)[0], return_counts=True)
-            same = _SAME * sum(map(eq, words, words[1:]))
-            docs.append((np.append(ids, rows), np.append(n, same)))
-        else:
-            docs.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    bias = np.array([0.0, math.log((ones + 1) / (len(labels) - ones + 1))], np.float32)
+    docs = [text_features(t, rows) for t in texts]
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
@@ -95,20 +98,38 @@ def train(texts: list[str], labels: list[int], rows: int = 1 << 16, dim: int = 1
             back = p @ out
             out -= step * np.outer(p, mean)
             vectors[ids] -= (step * share)[:, None] * back * len(ids) ** 0.5
+    return vectors, out, bias
+
+
+def train(texts: list[str], labels: list[int], rows: int = 1 << 17, dim: int = 12, steps: int = 12000, rate: float = 0.5, seed: int = 11) -> Model:
+    """The model that learn() gives after about `steps` steps (4 to 16 epochs), folded into one number per hash row."""
+    ones = sum(labels)
+    if not ones or ones == len(labels):
+        return Model(np.zeros(rows + 1, np.float32), math.log((ones + 1) / (len(labels) - ones + 1)))
+    vectors, out, bias = learn(texts, labels, rows, dim, min(16, max(4, steps // len(texts))), rate, seed)
     return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 class Scorer:
     """Scores texts with a model; keeps the sums of known words, up to `memory` of them."""
 
-    def __init__(self, model: Model, memory: int = 600_000):
-        self.model, self.memory = model, memory
-        self.known: dict[str, complex] = {}
+    def __init__(self, model: Model, memory: int = 400_000):
+        self.model, self.memory, self.rows = model, memory, len(model.weights) - 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sums, self.counts, self.hashes = np.zeros(1 << 12), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint64)
 
     def learn(self, new: list[str]) -> None:
-        ids, who = word_features(new, len(self.model.weights) - 1)
-        sums = np.bincount(who, weights=self.model.weights[ids], minlength=len(new))
-        self.known.update(zip(new, (sums + 1j * np.bincount(who, minlength=len(new))).tolist(), strict=True))
+        ids, who, whole = word_features(new, self.rows)
+        at, z = len(self.known), len(self.known) + len(new)
+        while z > len(self.sums):
+            self.sums, self.counts, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.counts, self.hashes))
+        self.sums[at:z] = np.bincount(who, weights=self.model.weights[ids], minlength=len(new))
+        self.counts[at:z] = np.bincount(who, minlength=len(new))
+        self.hashes[at:z] = whole
+        self.known.update(zip(new, range(at, z), strict=True))
 
     def score(self, texts: list[str | None]) -> list[float]:
         out: list[float] = []
@@ -122,16 +143,19 @@ class Scorer:
                 at += 1
             fresh = set().union(*words).difference(self.known)
             if len(self.known) + len(fresh) > self.memory:
-                self.known.clear()
+                self.forget()
                 fresh = set().union(*words)
             if fresh:
                 self.learn(sorted(fresh))
-            for w in words:
-                total = sum(map(self.known.__getitem__, w), 0j)  # real: weights, imaginary: features
-                same = _SAME * sum(map(eq, w, w[1:]))
-                total += same * (float(self.model.weights[-1]) + 1j)
-                z = self.model.bias + (total.real / total.imag if total.imag else 0.0)
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            ids = np.fromiter((self.known[w] for own in words for w in own), np.int64, int(size.sum()))
+            owner = np.repeat(np.arange(len(words)), size)
+            inner = owner[1:] == owner[:-1]
+            pairs = self.model.weights[bigram_rows(self.hashes[ids], self.rows)[inner]] if len(ids) else np.zeros(0)
+            total = np.bincount(owner, weights=self.sums[ids], minlength=len(words)) + np.bincount(owner[1:][inner], weights=pairs, minlength=len(words))
+            n = np.bincount(owner, weights=self.counts[ids], minlength=len(words)) + np.maximum(size - 1, 0)
+            z = self.model.bias + total / np.maximum(n, 1)
+            out += (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
         return out
 
 

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from advertlake.llm import (
     embedding_dedup,
     near_dedup,
     nearest_neighbours,
     piece_sampling,
+    pipeline,
     quality_classifier,
     sharding,
     source_mixing,
@@ -79,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_embedding_dedup": op10_embedding_dedup,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 def _ref_sql(col: str) -> str:

@@ -1,9 +1,9 @@
 """Empty tables, nulls, ties, repeated rows and clashing names for the operators and the pipeline's stages."""
 
 import pytest
-from pyspark.sql import Row
 
-import corpus_pipeline
+
+
 from advertlake.llm import (
     common,
     embedding_dedup,
@@ -129,9 +129,3 @@ def test_odd_vectors(spark):
     assert embedding_dedup.near_duplicates(empty).count() == 0 and nearest_neighbours.neighbours(empty).count() == 0
 
 
-def test_pipeline_keeps_the_columns_and_the_clean(spark):
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, d).columns == docs.columns
-    assert isinstance(corpus_pipeline.run(spark, d).first(), Row)
