@@ -1,57 +1,5 @@
-"""Corpus pipeline: quality, near duplicates, repeated passages, source mix, and sampled pieces, one written table after the other."""
+"""The corpus pipeline of the llm subpackage: STAGES, ORACLE_SQL and run(spark, sf_dir)."""
 
-from __future__ import annotations
+from advertlake.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from advertlake.llm import near_dedup, piece_sampling, quality_classifier, source_mixing, substring_dedup
-from advertlake.llm.common import written
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it learns from the labels of the folder whose crc32 mod 5 is not 0."""
-    return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest doc_id."""
-    return near_dedup.deduplicated(docs)
-
-
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of windows that start earlier in the corpus; n_chars follows the text. Every document stays."""
-    got = substring_dedup.remove_repeats(docs).select(docs.columns)
-    if "n_chars" not in docs.columns:
-        return got
-    return got.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-
-
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return source_mixing.mix(docs)
-
-
-def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of each document: doc_id, pieces, n_pieces, lossless."""
-    return piece_sampling.encode(docs)
-
-
-STAGES = [
-    ("quality", quality),
-    ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
-    ("source_mix", source_mix),
-    ("pieces", pieces),
-]
-
-#: SQL can't express the learned classifier, the sampled signatures or the sampled pieces; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the documents of a folder; each but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
