@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from itertools import count
@@ -23,23 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder. It cuts the lineage, and a lost executor loses none of it."""
+    """df as a Parquet table in the shared folder. It cuts the lineage, and a lost executor loses none of it. The shuffle files of the write are
+    dropped as soon as it has ended; the table goes with the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/advertlake-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    free(spark)
+    schema, before = df.schema, spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
