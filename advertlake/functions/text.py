@@ -30,10 +30,16 @@ def mask_pii(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, _MAIL, "<mail>"), _PHONE, "<phone>")
 
 
-def canonical_url(url: Column) -> Column:
-    """Host without www. and path without query, fragment and closing slashes."""
-    bare = F.split_part(F.split_part(F.lower(url), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
-    return F.rtrim(F.regexp_replace(bare, "^[a-z]+://(www\\.)?", ""), F.lit("/"))
+def canonical_link(url: Column) -> Column:
+    """An address without scheme, leading www., m., web. or mobile., query, fragment, and closing slashes."""
+    bare = F.split_part(F.split_part(url, F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
+    return F.rtrim(F.regexp_replace(bare, r"^https?://(www\.|m\.|web\.|mobile\.)?", ""), F.lit("/"))
+
+
+def link_host(url: Column) -> Column:
+    """The host of an address in lower case, without leading www., m., web. or mobile."""
+    host = F.split_part(F.split_part(url, F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    return F.regexp_replace(F.lower(host), r"^(www|m|web|mobile)\.", "")
 
 
 def handles(text: Column) -> Column:

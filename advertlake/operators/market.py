@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from advertlake.functions.numbers import quartile_weight
 from advertlake.functions.rules import effective_km, km_adjusted
 from advertlake.settings import Settings
+from advertlake.sources.shared import persisted
 
 _POOL = ["id", "brand_norm", "model_norm", "year", "km", "price_gbp", "currency", "seller", "is_active", "is_sold", "steering", "transmission", "engine_l", "first_seen_at"]
 
@@ -29,9 +30,9 @@ def usable_pool(pool: DataFrame, s: Settings) -> DataFrame:
     return rows.filter(F.col("year").isNotNull()).withColumn("km", effective_km(F.col("km"), F.col("year"), s.as_of))
 
 
-def comparable_pairs(targets: DataFrame, pool: DataFrame, s: Settings, span: int = 2) -> DataFrame:
-    """Pairs (t_*, row) under the comparable rule. Keys compare as null = null; unknown transmission or engine fits all; unknown steering is RHD."""
-    t = targets.select(*[F.col(c).alias(f"t_{c}") for c in ("id", "brand_norm", "model_norm", "year", "price_gbp", "currency", "steering", "transmission", "engine_l")],
+def comparable_pairs(targets: DataFrame, pool: DataFrame, s: Settings, span: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (t_*, row) under the comparable rule; keep: more columns of the targets. Keys compare as null = null; unknown transmission or engine fits all; unknown steering is RHD."""
+    t = targets.select(*[F.col(c).alias(f"t_{c}") for c in ("id", "brand_norm", "model_norm", "year", "price_gbp", "currency", "steering", "transmission", "engine_l", *keep)],
                        effective_km(F.col("km"), F.col("year"), s.as_of).alias("t_km"))
     t = t.withColumn("t_span_year", F.explode(F.sequence(F.col("t_year") - span, F.col("t_year") + span)))
     on = (F.col("brand_norm").eqNullSafe(F.col("t_brand_norm"))) & F.col("model_norm").eqNullSafe(F.col("t_model_norm")) & (F.col("year") == F.col("t_span_year"))
@@ -69,16 +70,24 @@ def market_median(targets: DataFrame, pool: DataFrame, s: Settings) -> DataFrame
 def market_steps(targets: DataFrame, pool: DataFrame, s: Settings) -> DataFrame:
     """Valid markets of each target by step: 1 one year without TRY, 2 one year, 3 two years without TRY, 4 two years.
 
-    Steps without TRY exist for targets that are not in TRY themselves and whose key has TRY adverts in the pool.
+    Steps without TRY exist for targets that are not in TRY themselves and whose key has TRY adverts in the pool. Steps 3 and 4 are only taken for
+    targets that neither step before made rich: with a rich one, later steps decide nothing.
     """
+    near = persisted(_steps(targets, pool, s, span=1))
+    rich = near.filter(F.col("n") >= s.rich_comparables).select(F.col("t_id").alias("id")).distinct()
+    return near.unionByName(_steps(targets.join(rich, "id", "left_anti"), pool, s, span=2))
+
+
+def _steps(targets: DataFrame, pool: DataFrame, s: Settings, span: int) -> DataFrame:
+    """Statistics of the two steps of a span."""
     keys = ["brand_norm", "model_norm"]
     has_try = pool.groupBy(*keys).agg(F.bool_or(F.col("currency") == "TRY").alias("t_has_try"))
     has_try = has_try.select(*[F.col(k).alias(f"h_{k}") for k in keys], "t_has_try").filter("t_has_try")
     t = targets.join(has_try, F.col("brand_norm").eqNullSafe(F.col("h_brand_norm")) & F.col("model_norm").eqNullSafe(F.col("h_model_norm")), "left")
-    split = t.select(F.col("id").alias("s_id"), (F.coalesce(F.col("currency") != "TRY", F.lit(True)) & F.col("t_has_try").isNotNull()).alias("gbp_first"))
-    pairs = comparable_pairs(targets, pool, s, span=2).join(split, F.col("t_id") == F.col("s_id")).drop("s_id")
-    near, gbp = F.abs(F.col("year") - F.col("t_year")) <= 1, F.col("gbp_first") & F.coalesce(F.col("currency") != "TRY", F.lit(True))
-    steps = F.array_compact(F.array(F.when(near & gbp, 1), F.when(near, 2), F.when(gbp, 3), F.lit(4)))
+    split = t.withColumn("gbp_first", F.coalesce(F.col("currency") != "TRY", F.lit(True)) & F.col("t_has_try").isNotNull()).drop("h_brand_norm", "h_model_norm", "t_has_try")
+    pairs = comparable_pairs(split, pool, s, span=span, keep=("gbp_first",))
+    gbp = F.col("t_gbp_first") & F.coalesce(F.col("currency") != "TRY", F.lit(True))
+    steps = F.when(gbp, F.array(F.lit(2 * span - 1), F.lit(2 * span))).otherwise(F.array(F.lit(2 * span)))
     pairs = pairs.withColumn("step", F.explode(steps)).repartition("t_id")
     rows = capped(pairs, s, "t_id", "step").withColumn("adj", km_adjusted(F.col("price_gbp"), F.col("t_km"), F.col("km"), s.km_adjust_per_10k))
     return rows.transform(lambda d: _trimmed(d, s)).transform(lambda d: _statistics(d, s))

@@ -17,7 +17,7 @@ def _targets(pool: DataFrame) -> DataFrame:
 
 
 def _money(*cols: str):
-    return [F.round(c, 4).alias(c) for c in cols]
+    return [F.round(c, 6).alias(c) for c in cols]
 
 
 def market_median(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,37 +84,50 @@ eff AS (SELECT * REPLACE ({_EFFECTIVE} AS km) FROM listings),
 pool AS (SELECT * FROM eff WHERE price_gbp BETWEEN 500 AND 250000 AND (is_active OR is_sold) AND datediff('day', first_seen_at::DATE, {_DATE}) <= {S.window_days}
   AND (NOT is_active OR datediff('day', first_seen_at::DATE, {_DATE}) <= {S.active_max_age_days})),
 target AS (SELECT DISTINCT ON (id) * FROM eff),
+aim AS (SELECT t.*, unnest(generate_series(t.year - 2, t.year + 2)) AS of_year FROM target t),
 pairs AS (
-  SELECT t.id AS t_id, t.year AS t_year, t.km AS t_km, t.price_gbp AS t_price, t.currency AS t_currency, r.*,
+  SELECT t.id AS t_id, t.year AS t_year, t.km AS t_km, t.price_gbp AS t_price, t.currency AS t_currency, r.id, r.year, r.km, r.price_gbp, r.currency, r.seller,
+    r.is_active, r.brand_norm, r.model_norm,
     abs(r.year - t.year) + CASE WHEN r.km <> 0 AND t.km <> 0 THEN abs(r.km - t.km) / 30000.0::DOUBLE ELSE 1.0::DOUBLE END AS closeness
-  FROM target t JOIN pool r ON r.brand_norm = t.brand_norm AND r.model_norm = t.model_norm AND abs(r.year - t.year) <= 2 AND r.id <> t.id
+  FROM aim t JOIN pool r ON r.brand_norm = t.brand_norm AND r.model_norm = t.model_norm AND r.year = t.of_year AND r.id <> t.id
    AND coalesce(r.steering, 'RHD') = coalesce(t.steering, 'RHD') AND (r.transmission IS NULL OR t.transmission IS NULL OR r.transmission = t.transmission)
    AND (r.engine_l IS NULL OR t.engine_l IS NULL OR round(abs(r.engine_l - t.engine_l), 1) <= 0.3))"""
-_MARKET = f"""{_PAIRS},
-has_try AS (SELECT DISTINCT brand_norm, model_norm FROM listings WHERE currency = 'TRY'),
-stepped AS (
-  SELECT p.*, s.step FROM (SELECT p.*, p.t_currency <> 'TRY' AND h.brand_norm IS NOT NULL AS gbp_first FROM pairs p LEFT JOIN has_try h USING (brand_norm, model_norm)) p
-  JOIN (VALUES (1, 1, true), (2, 1, false), (3, 2, true), (4, 2, false)) s(step, span, gbp)
-   ON abs(p.year - p.t_year) <= s.span AND (NOT s.gbp OR (p.gbp_first AND p.currency <> 'TRY'))),
-capped AS (
-  SELECT *, CASE WHEN t_km IS NOT NULL AND km IS NOT NULL THEN price_gbp * exp(-0.011::DOUBLE * (t_km - km) / 10000) ELSE price_gbp END AS adj FROM stepped
+
+
+def _steps_sql(span: int, targets: str) -> str:
+    """The statistics of the two steps of a span, for the targets that a condition on t_id names."""
+    x = f"_{span}"
+    return f"""
+stepped{x} AS (
+  SELECT p.t_id, p.t_year, p.t_km, p.t_price, p.t_currency, p.id, p.year, p.km, p.price_gbp, p.seller, p.is_active, p.closeness, s.step
+  FROM (SELECT p.*, p.t_currency <> 'TRY' AND h.brand_norm IS NOT NULL AS gbp_first FROM pairs p LEFT JOIN has_try h USING (brand_norm, model_norm)
+        WHERE abs(p.year - p.t_year) <= {span} AND {targets}) p
+  JOIN (VALUES ({2 * span - 1}, true), ({2 * span}, false)) s(step, gbp) ON NOT s.gbp OR (p.gbp_first AND p.currency <> 'TRY')),
+capped{x} AS (
+  SELECT *, CASE WHEN t_km IS NOT NULL AND km IS NOT NULL THEN price_gbp * exp(-0.011::DOUBLE * (t_km - km) / 10000) ELSE price_gbp END AS adj FROM stepped{x}
   QUALIFY row_number() OVER (PARTITION BY t_id, step, seller ORDER BY closeness, id) <= 2),
-sorted AS (SELECT t_id, step, list_sort(list(adj)) AS xs, count(*) AS n0, median(adj) AS m FROM capped GROUP BY ALL HAVING count(*) >= 3),
-rank AS (SELECT *, greatest(1, least((n0 + 1) // 4, n0 - 1)) AS j1, greatest(1, least(3 * (n0 + 1) // 4, n0 - 1)) AS j3 FROM sorted),
-quart AS (SELECT *, (xs[j1] * (4 - (n0 + 1 - 4 * j1)) + xs[j1 + 1] * (n0 + 1 - 4 * j1)) / 4 AS q1,
-                    (xs[j3] * (4 - (3 * (n0 + 1) - 4 * j3)) + xs[j3 + 1] * (3 * (n0 + 1) - 4 * j3)) / 4 AS q3 FROM rank),
-fence AS (SELECT t_id, step, CASE WHEN n0 < 8 THEN 0.5 * m ELSE q1 - 1.5 * (q3 - q1) END AS lo, CASE WHEN n0 < 8 THEN m / 0.5 ELSE q3 + 1.5 * (q3 - q1) END AS hi FROM quart),
-kept AS (SELECT c.* FROM capped c JOIN fence f USING (t_id, step) WHERE c.adj BETWEEN f.lo AND f.hi),
-logmid AS (SELECT t_id, step, median(ln(adj)) AS lm FROM kept GROUP BY ALL),
-stat AS (
+sorted{x} AS (SELECT t_id, step, list_sort(list(adj)) AS xs, count(*) AS n0, median(adj) AS m FROM capped{x} GROUP BY ALL HAVING count(*) >= 3),
+rank{x} AS (SELECT *, greatest(1, least((n0 + 1) // 4, n0 - 1)) AS j1, greatest(1, least(3 * (n0 + 1) // 4, n0 - 1)) AS j3 FROM sorted{x}),
+quart{x} AS (SELECT *, (xs[j1] * (4 - (n0 + 1 - 4 * j1)) + xs[j1 + 1] * (n0 + 1 - 4 * j1)) / 4 AS q1,
+                    (xs[j3] * (4 - (3 * (n0 + 1) - 4 * j3)) + xs[j3 + 1] * (3 * (n0 + 1) - 4 * j3)) / 4 AS q3 FROM rank{x}),
+fence{x} AS (SELECT t_id, step, CASE WHEN n0 < 8 THEN 0.5 * m ELSE q1 - 1.5 * (q3 - q1) END AS lo, CASE WHEN n0 < 8 THEN m / 0.5 ELSE q3 + 1.5 * (q3 - q1) END AS hi FROM quart{x}),
+kept{x} AS (SELECT c.* FROM capped{x} c JOIN fence{x} f USING (t_id, step) WHERE c.adj BETWEEN f.lo AND f.hi),
+logmid{x} AS (SELECT t_id, step, median(ln(adj)) AS lm FROM kept{x} GROUP BY ALL),
+stat{x} AS (
   SELECT t_id, step, any_value(t_year) AS t_year, any_value(t_km) AS t_km, any_value(t_price) AS t_price, any_value(t_currency) AS t_currency,
     count(*) AS n, count(DISTINCT seller) AS sellers_n, median(adj) AS median, quantile_cont(adj, 0.25) AS p25, min(adj) AS low, max(adj) AS high,
     count(*) FILTER (NOT is_active) / count(*)::DOUBLE AS archived_share,
     CASE WHEN count(*) FILTER (km <> 0) >= 3 THEN floor(median(km) FILTER (km <> 0))::INTEGER END AS median_km,
     CASE WHEN any_value(t_km) IS NOT NULL THEN count(*) FILTER (km IS NULL OR abs(km - t_km) <= 50000) END AS near_n,
     median(year::DOUBLE) AS median_year, CASE WHEN count(*) >= 5 THEN greatest(1.4826 * median(abs(ln(adj) - lm)), 0.03) END AS sigma
-  FROM kept JOIN logmid USING (t_id, step) GROUP BY t_id, step
-  HAVING count(*) >= 3 AND (step IN (2, 4) OR count(*) >= 8) AND count(DISTINCT seller) >= 2),
+  FROM kept{x} JOIN logmid{x} USING (t_id, step) GROUP BY t_id, step
+  HAVING count(*) >= 3 AND (step IN (2, 4) OR count(*) >= 8) AND count(DISTINCT seller) >= 2)"""
+
+
+_MARKET = f"""{_PAIRS},
+has_try AS (SELECT DISTINCT brand_norm, model_norm FROM listings WHERE currency = 'TRY'),{_steps_sql(1, "true")},
+rich AS (SELECT DISTINCT t_id FROM stat_1 WHERE n >= 8),{_steps_sql(2, "p.t_id NOT IN (SELECT t_id FROM rich)")},
+stat AS (SELECT * FROM stat_1 UNION ALL SELECT * FROM stat_2),
 pick AS (
   SELECT *, min(step) OVER w AS first_step, min(CASE WHEN n >= 8 THEN step END) OVER w AS rich_step FROM stat WINDOW w AS (PARTITION BY t_id)),
 market AS (
@@ -147,16 +160,16 @@ QUERIES = {
 ORACLE_SQL = {
     "DM_market_median": f"""WITH {_PAIRS},
 capped AS (SELECT * FROM pairs WHERE abs(year - t_year) <= 1 QUALIFY row_number() OVER (PARTITION BY t_id, seller ORDER BY closeness, id) <= 2)
-SELECT t_id AS id, count(*) AS n, count(DISTINCT seller) AS sellers_n, round(median(price_gbp), 4) AS median, round(quantile_cont(price_gbp, 0.25), 4) AS p25
+SELECT t_id AS id, count(*) AS n, count(DISTINCT seller) AS sellers_n, round(median(price_gbp), 6) AS median, round(quantile_cont(price_gbp, 0.25), 6) AS p25
 FROM capped GROUP BY t_id HAVING count(*) >= 3""",
     "DM01_find_market": f"""WITH {_MARKET}
-SELECT t_id AS id, step, n, sellers_n, round(median, 4) AS median, round(p25, 4) AS p25, round(low, 4) AS low, round(high, 4) AS high,
-  round(archived_share, 4) AS archived_share, round(median_year, 4) AS median_year, round(ln(t_price / median) / sigma, 4) AS z, median_km, near_n, merged FROM market""",
+SELECT t_id AS id, step, n, sellers_n, round(median, 6) AS median, round(p25, 6) AS p25, round(low, 6) AS low, round(high, 6) AS high,
+  round(archived_share, 6) AS archived_share, round(median_year, 6) AS median_year, round(ln(t_price / median) / sigma, 6) AS z, median_km, near_n, merged FROM market""",
     "DM02_DM08_assessment": f"""WITH {_DECIDED}
-SELECT t_id AS id, n, round(profit, 4) AS profit, round(pct, 4) AS profit_pct, confidence, raw_tier, tier, gaps,
+SELECT t_id AS id, n, round(profit, 6) AS profit, round(pct, 6) AS profit_pct, confidence, raw_tier, tier, gaps,
   round(least((0.95 * median - 300) / 1.2, 0.95 * median - 1050), 6) AS ceiling FROM decided""",
     "SC04_DM37_evaluate_recent": f"""WITH {_DECIDED}
-SELECT t_id AS id, n, round(profit, 4) AS profit, round(pct, 4) AS profit_pct, confidence, tier, gaps FROM decided
+SELECT t_id AS id, n, round(profit, 6) AS profit, round(pct, 6) AS profit_pct, confidence, tier, gaps FROM decided
 WHERE t_id IN (SELECT id FROM listings WHERE is_active AND datediff('day', first_seen_at::DATE, {_DATE}) BETWEEN 0 AND {S.recent_days})""",
     "AG36_backtest": f"""WITH {_DECIDED}
 SELECT confidence, count(*) AS adverts, round(median(abs(t_price - median) / median), 6) AS median_error,

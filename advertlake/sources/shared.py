@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder, in a local session only."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="advertlake-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -20,3 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, kind: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def persisted(df: DataFrame) -> DataFrame:
+    """df as a written table of the shared folder, for results that a plan reads twice: a lost executor loses none of it."""
+    path, schema = new_path(df.sparkSession, "table"), df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
