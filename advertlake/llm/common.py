@@ -85,9 +85,12 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
     return stars.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def spread_join(rows: DataFrame, known: DataFrame, on: str, by, salts: int = 16) -> DataFrame:
-    """rows left join known (one row for each value of `on`), where one value may hold a third of all rows: its rows are dealt over `salts` tasks
-    by the number `by`, and known is repeated so often. Rows whose `on` is null are dealt too. Both sides are shuffled: known has no size bound."""
+def spread_join(rows: DataFrame, known: DataFrame, on: str, by, salts: int = 16, small: int = 200_000) -> DataFrame:
+    """rows left join known (one row for each value of `on`), where one value may hold a third of all rows. known is written and counted: up to
+    `small` rows are broadcast; of more, each is repeated `salts` times, and the rows are dealt over so many tasks by the number `by`."""
+    known = written(known)
+    if known.count() <= small:
+        return rows.join(F.broadcast(known), on, "left")
     left = rows.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int"))
     right = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right.hint("merge"), [on, "_salt"], "left").drop("_salt")

@@ -107,7 +107,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     named = edges.select(F.explode(F.array("url", "target")).alias("u")).select(node_of(F.col("u")).alias("node"), host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     named = named.distinct()
     own = p.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
-    known = written(host_rules(own.select("host").unionByName(named.select("host")), rules))
+    known = host_rules(own.select("host").unionByName(named.select("host")), rules)
+    known = written(known)
     ruled = spread_join(named, known, "host", F.col("node")).select("node", best_rule(F.col("rules"), F.col("path")).alias("r")).filter("r is not null")
     verdicts = (
         ruled.join(group, "node")
@@ -115,7 +116,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         .agg(F.max(F.col("r.verdict") == "block").alias("blocked"), F.max(F.col("r.verdict") == "allow").alias("allowed"))
         .filter("blocked and not allowed")
     )
-    alias = written(group.join(verdicts, "component").select("node", F.lit("block").alias("alias_verdict")))
+    alias = group.join(verdicts, "component").select("node", F.lit("block").alias("alias_verdict"))
     by = F.xxhash64("page_id", "path")
     out = spread_join(own, known, "host", by).select("page_id", "host", "path", best_rule(F.col("rules"), F.col("path")).alias("r"), "node")
     out = spread_join(out, alias, "node", by)
