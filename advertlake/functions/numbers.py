@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(v) with v bound to the value, so that what v is used for often is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _at(xs: Column, i: Column) -> Column:
     return F.get(xs, i.cast("int"))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from advertlake.plans import advert_text, book, changes, curves, delivery, market, reads, relational, streams
+from advertlake.plans import advert_text, book, changes, curves, delivery, market, reads, relational, streams, texts
 
-_PLANS = [market, relational, book, streams, delivery, curves, advert_text, reads, changes]
+_PLANS = [market, relational, book, streams, delivery, curves, advert_text, reads, changes, texts]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _PLANS for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _PLANS for k, q in m.ORACLE_SQL.items()}
 
