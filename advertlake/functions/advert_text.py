@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from advertlake.functions.numbers import let
 from advertlake.functions.text import tr_lower
 
 # fixed values: rule tables of name and pattern, for lower-case text
@@ -55,9 +56,18 @@ def customs_stated(text: Column) -> Column:
 
 def cost_unknown(text: Column) -> Column:
     """A cost is named without its size: in the 25 characters before one of its mentions nothing makes it small or definite."""
-    parts = F.split(tr_lower(F.coalesce(text, F.lit(""))), f"(?U){COST_UNKNOWN}", -1)
-    before = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return F.exists(before, lambda p: ~_says(F.right(p, F.lit(25)), COST_MINOR))
+    t = tr_lower(F.coalesce(text, F.lit("")))
+    cut = F.struct(F.split(t, f"(?U){COST_UNKNOWN}", -1).alias("parts"), F.regexp_extract_all(t, F.lit(f"(?U){COST_UNKNOWN}"), F.lit(0)).alias("said"))
+
+    def open_(v: Column) -> Column:
+        def before(k: Column) -> Column:
+            whole = F.transform(F.slice(v["parts"], 1, k + 1), lambda p, i: F.when(i < k, F.concat(p, F.get(v["said"], i))).otherwise(p))
+            return F.right(F.array_join(whole, ""), F.lit(25))
+
+        places = F.filter(F.sequence(F.lit(0), F.size(v["parts"]) - 1), lambda k: k < F.size(v["parts"]) - 1)
+        return F.exists(places, lambda k: ~_says(before(k), COST_MINOR))
+
+    return let(cut, open_)
 
 
 def steering(text: Column) -> Column:

@@ -23,10 +23,10 @@ def effective_km(km: Column, year: Column, as_of: dt.date) -> Column:
     return F.when(~odd & ~low, km)
 
 
-def seller_key(platform: Column, handle: Column, phone: Column, id_: Column) -> Column:
-    """Phone, else the site's own handle, else the advert itself."""
-    blank = F.coalesce(F.length(phone) == 0, F.lit(True))
-    return F.when(~blank, phone).when(handle.isNotNull(), F.concat_ws(":", platform, handle)).otherwise(F.concat(F.lit("id:"), id_.cast("string")))
+def seller_key(handle: Column, phone: Column, id_: Column, prefix: str) -> Column:
+    """Phone, else a handle that carries the prefix of a site's own accounts, else the advert itself."""
+    own = handle.startswith(prefix) & (F.length(handle) > len(prefix))
+    return F.when(F.length(phone) > 0, phone).when(own, handle).otherwise(F.concat(F.lit("id:"), id_.cast("string")))
 
 
 def km_adjusted(price: Column, km_to: Column, km_from: Column, per_10k: float) -> Column:

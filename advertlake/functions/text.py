@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PHONE = r"(\+?\d[\d ]{8,14}\d)"
-_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# fixed values: a number as an advert gives it, any number that may be one, and an address of mail
+_PHONE = r"(?<![\d+])(?:(?:\+|00)?\s*90[\s.\-]*)?\(?0?(?:5\d\d|392)\)?[\s.\-]*\d{3}[\s.\-]*\d{2}[\s.\-]*\d{2}(?!\d)"
+_ANY_PHONE = r"(?<!\d)(?:\+|00)?\d(?:[\s.\-()]?\d){8,13}(?!\d)"
+_MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 
 
 def tr_lower(text: Column) -> Column:
@@ -15,9 +17,22 @@ def tr_lower(text: Column) -> Column:
 
 
 def phones(text: Column) -> Column:
-    """Distinct phone-like numbers of a text in order, digits only."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PHONE), 1)
-    return F.array_distinct(F.transform(found, lambda p: F.regexp_replace(p, "[^0-9]", "")))
+    """Distinct numbers of a text in order, 12 digits with the country code."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PHONE), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda p: F.concat(F.lit("90"), F.right(F.regexp_replace(p, "[^0-9]", ""), F.lit(10)))))
+
+
+# fixed values: words that stand beside the number on a sign
+SIGN_WORDS = r"\b(?:satilik(?:tir)?|acil|sahibinden|sahibi|tel|telefon|whatsapp|wp|arayin|araniz|for|sale|cep|gsm)\b"
+
+
+def is_sign(folded: Column, most: int = 40) -> Column:
+    """Whether a folded text without its numbers is no more than a sign: few letters and digits beside the usual words."""
+    return F.length(F.regexp_replace(F.regexp_replace(folded, SIGN_WORDS, " "), "[^a-z0-9]", "")) <= most
+
+
+def without_phones(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), _PHONE, " ")
 
 
 def normalize_phone(raw: Column) -> Column:
@@ -26,8 +41,24 @@ def normalize_phone(raw: Column) -> Column:
     return F.when((F.length(d) == 12) & d.startswith("90"), d).when((F.length(d) == 11) & d.startswith("0"), F.concat(F.lit("9"), d)).when((F.length(d) == 10) & d.startswith("5"), F.concat(F.lit("90"), d))
 
 
+def mask_phones(text: Column) -> Column:
+    return F.regexp_replace(text, _ANY_PHONE, "[tel]")
+
+
 def mask_pii(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, _MAIL, "<mail>"), _PHONE, "<phone>")
+    return F.regexp_replace(mask_phones(text), _MAIL, "[eposta]")
+
+
+def pasted_link(url: Column) -> Column:
+    """Host and path of an address as a user pastes it, punctuation behind it left out; null without a host or a path."""
+    bare = F.rtrim(url, F.lit(").,;!?"))
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^(www|m|web|mobile)\.", "")
+    path = F.rtrim(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("/"))
+    return F.when((host != "") & (path != ""), F.concat(host, path))
+
+
+def domain_matches(host: Column, domain: str) -> Column:
+    return (host == domain) | host.endswith(f".{domain}")
 
 
 def canonical_link(url: Column) -> Column:
@@ -53,18 +84,6 @@ def engine_liters(text: Column) -> Column:
     return F.when(n.between(0.5, 8.5), F.bround(n, 1))
 
 
-def flags(text: Column, table: dict[str, str]) -> Column:
-    """Names of a rule table whose pattern occurs, in the table's order."""
-    t = tr_lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(t.rlike(p), n) for n, p in table.items()]))
-
-
-def text_fingerprint(text: Column) -> Column:
-    """md5 of the first 300 characters of the lower-case letters and digits of the first 1000, words split by one space; null under 60."""
-    words = F.trim(F.regexp_replace(F.lower(F.substring(text, 1, 1000)), "[^a-z0-9]+", " "))
-    return F.when(F.length(words) >= 60, F.md5(F.substring(words, 1, 300).cast("binary")))
-
-
 # fixed values: spellings of fuels and gears and what they stand for
 FUELS = {"elektrik": "elektrikli", "electric": "elektrikli", "hybrit": "hibrit", "hybrid": "hibrit", "mazot": "dizel"}
 GEARS = {"düz": "manuel", "duz": "manuel", "düz vites": "manuel", "duz vites": "manuel", "manual": "manuel",

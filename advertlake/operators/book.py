@@ -40,15 +40,19 @@ def ridge_curves(rows: DataFrame, s: Settings) -> DataFrame:
 
 def next_status(prev: DataFrame, new: DataFrame, keys: list[str], s: Settings) -> DataFrame:
     """Tonight's book after yesterday's: a change beyond the limit keeps the old value as suspect, until the same candidate (within the
-    confirming share) has come two nights running. prev: keys, value, candidate; new: keys, value, n, sellers."""
-    p = prev.select(*keys, F.col("value").alias("old"), "candidate")
+    confirming share) has come book_confirm_nights nights running. An old value of 0 or less is replaced at once.
+    prev: keys, value, candidate, nights (candidates only of suspect rows); new: keys, value, n, sellers."""
+    p = prev.select(*keys, F.col("value").alias("old"), "candidate", F.col("nights").alias("waited"))
     d = new.join(p, keys, "left")
-    jump = F.abs(F.col("value") - F.col("old")) > s.book_change_limit * F.col("old")
-    again = F.abs(F.col("value") - F.col("candidate")) <= s.book_confirm_limit * F.col("candidate")
-    held = F.coalesce(jump & ~F.coalesce(again, F.lit(False)), F.lit(False))
-    thin = (F.col("n") < 5) | (F.col("sellers") < 3)
-    return d.select(*keys, F.when(held, F.col("old")).otherwise(F.col("value")).alias("value"), F.when(held, F.col("value")).alias("candidate"),
-                    F.when(held, "supheli").when(thin, "ince").otherwise("oturmus").alias("status"))
+    jump = F.coalesce((F.col("old") > 0) & (F.abs(F.col("value") - F.col("old")) > s.book_change_limit * F.col("old")), F.lit(False))
+    again = F.coalesce((F.col("candidate") != 0) & (F.abs(F.col("value") - F.col("candidate")) <= s.book_confirm_limit * F.abs("candidate")), F.lit(False))
+    nights = F.when(again, F.coalesce("waited", F.lit(0)) + 1).otherwise(1)
+    held = jump & ~(again & (nights >= s.book_confirm_nights))
+    thin = (F.col("n") < s.book_settled_min_n) | (F.col("sellers") < s.book_settled_min_sellers)
+    return d.select(
+        *keys, F.when(held, F.col("old")).otherwise(F.col("value")).alias("value"), F.when(held, F.col("value")).alias("candidate"),
+        F.when(held, nights).otherwise(0).alias("nights"), F.when(held, "supheli").when(thin, "ince").otherwise("oturmus").alias("status"),
+    )
 
 
 def row_reason(s: Settings) -> Column:

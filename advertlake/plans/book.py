@@ -12,7 +12,6 @@ from advertlake.settings import ANALOGUE as S
 from advertlake.sources.listings import LISTINGS_SQL, listings
 
 # fixed values: rule tables of name and pattern
-_FLAGS = {"tag": "\\(c\\)|licen[sc]e", "mail": "@", "digits": "[0-9]{6,}", "money": "[$€£]"}
 
 
 def curves(spark, d):
@@ -24,8 +23,11 @@ def status(spark, d):
     x = listings(spark, d)
     def side(rows):
         return rows.groupBy("brand_norm", "model_norm").agg(F.median("price_gbp").alias("value"), F.count("*").alias("n"), F.count_distinct("seller").alias("sellers"))
-    prev = side(x.filter("is_active")).withColumn("candidate", F.lit(None).cast("double"))
-    return book.next_status(prev, side(x.filter("is_sold")), ["brand_norm", "model_norm"], S).select("brand_norm", "model_norm", F.round("value", 4).alias("value"), "status")
+    new = side(x.filter("is_sold"))
+    near = new.select("brand_norm", "model_norm", (F.col("value") * 1.05).alias("candidate"), F.when(F.col("n") % 3 == 0, 1).otherwise(0).alias("nights"))
+    prev = side(x.filter("is_active")).select("brand_norm", "model_norm", "value").join(near.filter(F.col("brand_norm").endswith("1")), ["brand_norm", "model_norm"], "left")
+    got = book.next_status(prev, new, ["brand_norm", "model_norm"], S.but(book_change_limit=0.03))
+    return got.select("brand_norm", "model_norm", F.round("value", 4).alias("value"), "nights", "status")
 
 
 def quarantine(spark, d):
@@ -36,12 +38,6 @@ def duplicates(spark, d):
     return book.greedy_duplicates(listings(spark, d).dropDuplicates(["id"]), S)
 
 
-def text_rules(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select(
-        "doc_id", F.array_join(X.phones(t), ",").alias("phones"), F.md5(X.mask_pii(F.coalesce(t, F.lit(""))).cast("binary")).alias("masked"), F.array_join(X.flags(t, _FLAGS), ",").alias("flags"))
-
-
 def mentioned_handles(spark, d):
     h = table(spark, d, "documents").select("doc_id", F.explode(X.handles(F.col("text"))).alias("handle"))
     g = h.groupBy("handle").agg(F.count_distinct("doc_id").alias("docs")).filter("docs >= 2")
@@ -49,7 +45,7 @@ def mentioned_handles(spark, d):
 
 
 def links(spark, d):
-    return table(spark, d, "pages").select("page_id", X.canonical_url(F.col("url")).alias("canon"))
+    return table(spark, d, "pages").select("page_id", X.pasted_link(F.concat(F.col("url"), F.when(F.col("page_id") % 3 == 0, ").").otherwise(""))).alias("canon"))
 
 
 def titles(spark, d):
@@ -65,11 +61,9 @@ def amounts(spark, d):
 
 QUERIES = {
     "AG28_AG30_ridge_curves": curves, "DM19_book_status": status, "AG34_quarantine": quarantine, "DM30_greedy_duplicates": duplicates,
-    "TX43_TX61_TX70_text_rules": text_rules, "JN07_AG19_mentioned_handles": mentioned_handles, "TX63_SF24_canonical_url": links,
+    "JN07_AG19_mentioned_handles": mentioned_handles, "TX63_SF24_pasted_link": links,
     "SC27_list_entries": titles, "PR06_placeholder_amount": amounts,
 }
-_P, _M = r"(\+?\d[\d ]{8,14}\d)", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-_X = "lower(translate(coalesce(text, ''), 'İI', 'iı'))"
 ORACLE_SQL = {
     "AG28_AG30_ridge_curves": f"""WITH {LISTINGS_SQL},
 x AS (SELECT brand_norm, model_norm, year, ln(price_gbp) AS y, (1998 - year)::DOUBLE AS a, km / 10000.0::DOUBLE AS k, least(1.0::DOUBLE, 2.0::DOUBLE / count(*) OVER (PARTITION BY brand_norm, model_norm, seller)) AS w
@@ -82,23 +76,22 @@ b AS (SELECT *, CASE WHEN km_fixed THEN (vay + 0.012::DOUBLE * vak) / vaa ELSE f
 SELECT brand_norm, model_norm, n, round(b_age, 6) AS b_age, round(b_km, 6) AS b_km, round(my - b_age * ma - b_km * mk, 6) AS intercept, km_fixed FROM b""",
     "DM19_book_status": f"""WITH {LISTINGS_SQL},
 o AS (SELECT brand_norm, model_norm, median(price_gbp) AS old FROM listings WHERE is_active GROUP BY 1, 2),
-n AS (SELECT brand_norm, model_norm, median(price_gbp) AS value, count(*) AS n, count(DISTINCT seller) AS sellers FROM listings WHERE is_sold GROUP BY 1, 2)
-SELECT brand_norm, model_norm, round(CASE WHEN abs(value - old) > 0.15::DOUBLE * old THEN old ELSE value END, 4) AS value,
-CASE WHEN abs(value - old) > 0.15::DOUBLE * old THEN 'supheli' WHEN n < 5 OR sellers < 3 THEN 'ince' ELSE 'oturmus' END AS status FROM n LEFT JOIN o USING (brand_norm, model_norm)""",
+n AS (SELECT brand_norm, model_norm, median(price_gbp) AS value, count(*) AS n, count(DISTINCT seller) AS sellers FROM listings WHERE is_sold GROUP BY 1, 2),
+j AS (SELECT n.*, o.old, coalesce(abs(value - old) > 0.03::DOUBLE * old, false) AS jump, n.brand_norm LIKE '%1' AS again, CASE WHEN n.brand_norm LIKE '%1' AND n.n % 3 = 0 THEN 2 ELSE 1 END AS night FROM n LEFT JOIN o USING (brand_norm, model_norm)),
+h AS (SELECT *, jump AND NOT (again AND night >= 2) AS held FROM j)
+SELECT brand_norm, model_norm, round(CASE WHEN held THEN old ELSE value END, 4) AS value, CASE WHEN held THEN night ELSE 0 END AS nights,
+CASE WHEN held THEN 'supheli' WHEN n < 5 OR sellers < 3 THEN 'ince' ELSE 'oturmus' END AS status FROM h""",
     "AG34_quarantine": f"""WITH {LISTINGS_SQL}, r AS (SELECT *, CASE WHEN price_gbp <= 10 THEN 'fiyat_yer_tutucu' WHEN year NOT BETWEEN 1970 AND 1999 THEN 'yil_supheli'
 WHEN km > 600000 OR (greatest(1, 1998 - year) >= 2 AND km / greatest(1, 1998 - year) > 80000) THEN 'km_supheli' END AS reason FROM listings),
 p AS (SELECT a.id, any_value(a.price_gbp) AS price, count(*) AS peers, median(b.price_gbp) AS mid FROM r a JOIN r b ON a.brand_norm = b.brand_norm AND a.model_norm = b.model_norm
 AND abs(a.year - b.year) <= 2 AND a.id <> b.id AND a.reason IS NULL AND b.reason IS NULL GROUP BY a.id HAVING count(*) >= 8)
 SELECT id, reason, NULL::BIGINT AS peers, NULL::DOUBLE AS mid FROM r WHERE reason IS NOT NULL
 UNION ALL SELECT id, CASE WHEN price < mid * 0.40::DOUBLE THEN 'fiyat_ucuz_supheli' ELSE 'fiyat_pahali_supheli' END, peers, round(mid, 4) FROM p WHERE price < mid * 0.40::DOUBLE OR price > mid * 2.50::DOUBLE""",
-    "TX43_TX61_TX70_text_rules": f"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{_P}', 1), lambda p: regexp_replace(p, '[^0-9]', '', 'g')), lambda p, i:
-list_position(list_transform(regexp_extract_all(coalesce(text, ''), '{_P}', 1), lambda q: regexp_replace(q, '[^0-9]', '', 'g')), p) = i), ',') AS phones,
-md5(regexp_replace(regexp_replace(coalesce(text, ''), '{_M}', '<mail>', 'g'), '{_P}', '<phone>', 'g')) AS masked,
-concat_ws(',', CASE WHEN regexp_matches({_X}, '\\(c\\)|licen[sc]e') THEN 'tag' END, CASE WHEN contains({_X}, '@') THEN 'mail' END, CASE WHEN regexp_matches({_X}, '[0-9]{{6,}}') THEN 'digits' END,
-CASE WHEN regexp_matches({_X}, '[$€£]') THEN 'money' END) AS flags FROM documents""",
     "JN07_AG19_mentioned_handles": """SELECT handle, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '@([A-Za-z0-9._-]+)', 1)) AS handle FROM documents)
 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2 ORDER BY docs DESC, handle LIMIT 40""",
-    "TX63_SF24_canonical_url": "SELECT page_id, rtrim(regexp_replace(split_part(split_part(lower(url), '#', 1), '?', 1), '^[a-z]+://(www\\.)?', ''), '/') AS canon FROM pages",
+    "TX63_SF24_pasted_link": r"""WITH u AS (SELECT page_id, rtrim(url || CASE WHEN page_id % 3 = 0 THEN ').' ELSE '' END, ').,;!?') AS url FROM pages),
+x AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^(www|m|web|mobile)\.', '') AS host,
+  rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS path FROM u) SELECT page_id, CASE WHEN host <> '' AND path <> '' THEN host || path END AS canon FROM x""",
     "SC27_list_entries": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS entries FROM pages""",
     "PR06_placeholder_amount": """SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderkey::VARCHAR, '^(0{5,}|1{5,}|2{5,}|3{5,}|4{5,}|5{5,}|6{5,}|7{5,}|8{5,}|9{5,})$')
 OR (starts_with('1234567890', o_orderkey::VARCHAR) AND length(o_orderkey::VARCHAR) >= 4) OR (starts_with('9876543210', o_orderkey::VARCHAR) AND length(o_orderkey::VARCHAR) >= 5)""",

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from advertlake.functions import advert_text as A
 from advertlake.functions import keys as K
 from advertlake.functions import price as P
+from advertlake.functions import text as X
 from advertlake.session import table
 
 # (brand, model, address) -> (brand_norm, model_norm, body, is a car)
@@ -79,6 +81,17 @@ CAPTIONS = [
     ("Marka: Kia\nYıl: yeni\nFiyat: sorunuz\nSATILDI", ("Kia", None, None, None, None, None, None, None, None, None, False, None, False, True)),
     ("Marka: Kia Rio\nYıl: 2012", (None,) * 10 + (None, None, None, False)),
 ]
+# text -> (phones, masked text, is a sign)
+PHONES = [
+    ("0533 123 45 67 a@b.com 0533-123-45-67", ("905331234567", "[tel] [eposta] [tel]", True)),
+    ("SATILIK 2010 Vitz tel: (0548) 111 22 33", ("905481112233", "SATILIK 2010 Vitz tel: (0548) 111 22 33", True)),
+    ("+90 392 815 11 22 / 0090 533 1234567", ("903928151122,905331234567", "[tel] / [tel]", True)),
+    ("km 120000, fiyat 6500, ilan 12345678", ("", "km 120000, fiyat 6500, ilan 12345678", True)),
+    ("arac cok temizdir masrafsizdir boyasizdir hatasizdir 05331112233 sahibinden arayin", ("905331112233", "arac cok temizdir masrafsizdir boyasizdir hatasizdir [tel] sahibinden arayin", False)),
+    (None, ("", None, True)),
+]
+# text -> a cost of unknown size
+COSTS = [("ufak masrafı var masrafı var", False), ("aracın masrafları vardır", True), ("boya masrafı var", False), ("masrafsız", False), (None, False), ("temiz araç, motorunda masraf var. ufak masrafı var", True)]
 PLACES = [("Lefkoşa, merkez", "lefkosa"), ("girne alsancak", "girne"), ("Alsancak", "girne"), ("Benz C Serisi", None), (None, None), ("GAZİMAĞUSA", "magusa"), ("yeni iskele", "iskele")]
 
 
@@ -116,6 +129,15 @@ def places(spark, d):
     return _orders(spark, d).select("o_orderkey", K.district(_case([p[0] for p in PLACES], F.col("o_orderkey"))).alias("district"))
 
 
+def phone_rules(spark, d):
+    rows = _orders(spark, d).select("o_orderkey", _case([p[0] for p in PHONES], F.col("o_orderkey")).alias("t"))
+    return rows.select("o_orderkey", F.array_join(X.phones(F.col("t")), ",").alias("phones"), X.mask_pii(F.col("t")).alias("masked"), X.is_sign(K.fold(X.without_phones(F.col("t")))).alias("sign"))
+
+
+def costs(spark, d):
+    return _orders(spark, d).select("o_orderkey", A.cost_unknown(_case([c[0] for c in COSTS], F.col("o_orderkey"))).alias("open"))
+
+
 def folded(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(K.fold(F.col("text")).cast("binary")).alias("folded"))
 
@@ -131,6 +153,8 @@ QUERIES = {
     "TX04_TX05_TX06_TX07_TX08_TX09_TX10_PR05_keys": names,
     "TX16_TX17_TX18_TX19_TX20_TX21_PR07_prices": prices,
     "TX22_TX24_TX25_TX26_TX27_captions": captions,
+    "TX61_TX62_TX69_TX70_phones": phone_rules,
+    "TX46_cost_unknown": costs,
     "TX15_district": places,
     "TX01_fold": folded,
     "TX12_TX13_TX14_SF27_post_fingerprint": post_starts,
@@ -156,6 +180,8 @@ ORACLE_SQL = {
     "TX04_TX05_TX06_TX07_TX08_TX09_TX10_PR05_keys": _cases_sql(["brand_norm", "model_norm", "body", "car"], [n[1] for n in NAMES], {"car": "BOOLEAN"}),
     "TX16_TX17_TX18_TX19_TX20_TX21_PR07_prices": _cases_sql(["joined", "amount", "currency", "guess", "implausible"], [p[1] for p in PRICES], {"amount": "DOUBLE", "guess": "BOOLEAN", "implausible": "BOOLEAN"}),
     "TX22_TX24_TX25_TX26_TX27_captions": _cases_sql([*_CAPTION, "sold"], [c[1] for c in CAPTIONS], {"year": "INTEGER", "km": "INTEGER", "price_amount": "DOUBLE", **{c: "BOOLEAN" for c in ("negotiable", "swap", "year_unsure", "sold")}}),
+    "TX61_TX62_TX69_TX70_phones": _cases_sql(["phones", "masked", "sign"], [p[1] for p in PHONES], {"sign": "BOOLEAN"}),
+    "TX46_cost_unknown": _cases_sql(["open"], [(c[1],) for c in COSTS], {"open": "BOOLEAN"}),
     "TX15_district": _cases_sql(["district"], [(p[1],) for p in PLACES], {}),
     "TX01_fold": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(strip_accents(translate(text, 'ıİ', 'ii'))), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g'))) AS folded FROM documents",
     "TX12_TX13_TX14_SF27_post_fingerprint": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '1995 ' || text ELSE text END AS t FROM documents), s AS (SELECT doc_id, coalesce({_START}, '') AS start FROM d)

@@ -43,6 +43,9 @@ class Settings:
     km_slope_fixed: float = -0.012
     book_change_limit: float = 0.15
     book_confirm_limit: float = 0.07
+    book_confirm_nights: int = 2
+    book_settled_min_n: int = 5
+    book_settled_min_sellers: int = 3
     est_z: float = 1.53
     est_min_curve_sellers: int = 5
     as_of: dt.date = dt.date(2026, 10, 1)

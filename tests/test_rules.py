@@ -79,10 +79,12 @@ def test_greedy_marking_equals_all_pairs(spark):
 
 
 def test_book_needs_two_nights_for_a_jump(spark):
-    prev = spark.createDataFrame([("k1", 100.0, None), ("k2", 100.0, 125.0)], "k string, value double, candidate double")
-    new = spark.createDataFrame([("k1", 130.0, 9, 4), ("k2", 130.0, 9, 4), ("k3", 50.0, 2, 2)], "k string, value double, n int, sellers int")
-    got = {r.k: (r.value, r.status) for r in book.next_status(prev, new, ["k"], Settings()).collect()}
-    assert got == {"k1": (100.0, "supheli"), "k2": (130.0, "oturmus"), "k3": (50.0, "ince")}
+    prev = spark.createDataFrame([("k1", 100.0, None, 0), ("k2", 100.0, 125.0, 1), ("k4", 0.0, None, 0), ("k5", 100.0, 180.0, 1)], "k string, value double, candidate double, nights int")
+    new = spark.createDataFrame([("k1", 130.0, 9, 4), ("k2", 130.0, 9, 4), ("k3", 50.0, 2, 2), ("k4", 70.0, 9, 4), ("k5", 130.0, 9, 4)], "k string, value double, n int, sellers int")
+    got = {r.k: (r.value, r.status, r.nights) for r in book.next_status(prev, new, ["k"], Settings()).collect()}
+    assert got == {"k1": (100.0, "supheli", 1), "k2": (130.0, "oturmus", 0), "k3": (50.0, "ince", 0), "k4": (70.0, "oturmus", 0), "k5": (100.0, "supheli", 1)}
+    slow = {r.k: (r.value, r.status, r.nights) for r in book.next_status(prev, new, ["k"], Settings(book_confirm_nights=3)).collect()}
+    assert slow["k2"] == (100.0, "supheli", 2)
 
 
 def test_upsert_is_idempotent(spark):
@@ -96,4 +98,4 @@ def test_text_rules(spark):
     df = spark.createDataFrame([("0533 123 45 67 a@b.com 0533 123 45 67", "İIŞ", "1,6 lt")], "t string, u string, e string")
     r = df.select(text.phones(F.col("t")).alias("p"), text.mask_pii(F.col("t")).alias("m"), text.tr_lower(F.col("u")).alias("l"), text.engine_liters(F.col("e")).alias("e"),
                   text.normalize_phone(F.lit("0533 123 45 67")).alias("n")).first()
-    assert (r.p, r.m, r.l, r.e, r.n) == (["05331234567"], "<phone> <mail> <phone>", "iış", 1.6, "905331234567")
+    assert (r.p, r.m, r.l, r.e, r.n) == (["905331234567"], "[tel] [eposta] [tel]", "iış", 1.6, "905331234567")
