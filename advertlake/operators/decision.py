@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from advertlake.functions.rules import NEGOTIABLE, STRONG, confidence, profit, tier
 from advertlake.operators.market import find_market
 from advertlake.settings import Settings
+from advertlake.sources.shared import persisted
 
 
 def work_list(pool: DataFrame, s: Settings) -> DataFrame:
@@ -54,7 +55,7 @@ def assess(market: DataFrame, targets: DataFrame, s: Settings) -> DataFrame:
 def decide(targets: DataFrame, pool: DataFrame, s: Settings) -> DataFrame:
     """assess(), then the cautious-mileage check: a strong target of unknown mileage and some age is judged again as if it had the market's median
     mileage plus unknown_km_extra, and is lowered with the gap km_temkinli unless it stays strong. Then a plain market, without z gate."""
-    first = assess(find_market(targets, pool, s), targets, s)
+    first = persisted(assess(find_market(targets, pool, s), targets, s))
     doubt = (F.col("tier") == STRONG) & F.col("t_km").isNull() & (s.as_of.year - F.col("t_year") >= s.unknown_km_min_age) & (F.col("median_km") > 0)
     assumed = first.filter(doubt).select(F.col("t_id").alias("d_id"), (F.col("median_km") + s.unknown_km_extra).alias("d_km"))
     again = targets.join(assumed, F.col("id") == F.col("d_id")).withColumn("km", F.col("d_km")).drop("d_id", "d_km")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,6 +150,19 @@ gapped AS (
 decided AS (SELECT *, CASE WHEN n >= 20 THEN 'yuksek' WHEN n >= 8 THEN 'orta' WHEN n >= 3 THEN 'dusuk' ELSE 'yok' END AS confidence,
   CASE WHEN raw_tier = 'guclu' AND g <> '' THEN 'pazarlik' ELSE raw_tier END AS tier, CASE WHEN raw_tier = 'guclu' THEN g ELSE '' END AS gaps FROM gapped)"""
 
+_NAMES = re.findall(r"(?:^|,\n|\), )([a-z_0-9]+) AS \(", _DECIDED.split("listings AS (", 1)[1])
+
+
+def _again(text: str) -> str:
+    """The same expressions under names of their own."""
+    return re.sub(rf"\b({'|'.join(sorted(set(_NAMES) - {'eff', 'pool', 'has_try'}, key=len, reverse=True))})\b(?! *\()", r"\1_b", text)
+
+
+_DECIDE = f"""{_DECIDED},
+doubt AS (SELECT t_id, median_km + {S.unknown_km_extra} AS km FROM decided WHERE tier = 'guclu' AND t_km IS NULL AND {S.as_of.year} - t_year >= {S.unknown_km_min_age} AND median_km > 0),
+target_b AS (SELECT e.* REPLACE (d.km AS km) FROM (SELECT DISTINCT ON (id) * FROM eff) e JOIN doubt d ON d.t_id = e.id),
+{_again(_DECIDED.split("target AS (SELECT DISTINCT ON (id) * FROM eff),", 1)[1].replace("z > -2.0", "false").replace("has_try AS (SELECT DISTINCT brand_norm, model_norm FROM listings WHERE currency = 'TRY'),", "")).strip()}"""
+
 QUERIES = {
     "DM_market_median": market_median,
     "DM01_find_market": find_market,
@@ -174,6 +189,9 @@ WHERE t_id IN (SELECT id FROM listings WHERE is_active AND datediff('day', first
     "AG36_backtest": f"""WITH {_DECIDED}
 SELECT confidence, count(*) AS adverts, round(median(abs(t_price - median) / median), 6) AS median_error,
   count(*) FILTER (raw_tier = 'guclu') AS strong, count(*) FILTER (tier = 'pazarlik') AS negotiable FROM decided GROUP BY confidence""",
+    "DM07_DM11_decide": f"""WITH {_DECIDE}
+SELECT d.t_id AS id, CASE WHEN w.lower THEN 'pazarlik' ELSE tier END AS tier, CASE WHEN w.lower THEN 'km_temkinli' ELSE gaps END AS gaps, round(profit, 6) AS profit, round(z, 6) AS z
+FROM decided d LEFT JOIN (SELECT t_id, NOT EXISTS (SELECT 1 FROM decided_b b WHERE b.t_id = u.t_id AND b.tier = 'guclu') AS lower FROM doubt u) w ON w.t_id = d.t_id""",
     "WN14_nearest_comparables": f"""WITH {_PAIRS},
 d AS (SELECT *, closeness + 0.1 * abs(price_gbp - t_price) / t_price AS distance FROM pairs)
 SELECT t_id AS id, row_number() OVER (PARTITION BY t_id ORDER BY distance, id)::INTEGER AS rank, id AS other_id, round(distance, 6) AS distance
