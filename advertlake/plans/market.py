@@ -78,6 +78,36 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("t_id").alias("id"), "rank", F.col("id").alias("other_id"), F.round("distance", 6).alias("distance"))
 
 
+def _clear(d: DataFrame) -> DataFrame:
+    return d.select(F.col("t_id").alias("id"), F.col("n").cast("long").alias("n"), *_money("profit", "profit_pct", "z"))
+
+
+def clean_negotiable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = listings(spark, sf_dir)
+    return _clear(decision.clean_negotiable(_targets(pool), pool, S))
+
+
+def cheap_to_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = listings(spark, sf_dir)
+    return _clear(decision.cheap_to_verify(_targets(pool), pool, S))
+
+
+def ask_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = listings(spark, sf_dir)
+    return decision.ask_value(_targets(pool), pool, S).select(F.col("t_id").alias("id"), F.col("n").cast("long").alias("n"), *_money("median"), F.col("max_buy").cast("double").alias("max_buy"))
+
+
+def send_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each assessed advert: whether it may be sent, is worth sharing, and its profit as the stored percentage."""
+    pool = listings(spark, sf_dir)
+    t = _targets(pool)
+    d = decision.assess(market.find_market(t, pool, S), t, S)
+    price = F.col("t_price_gbp")
+    method = F.when(F.col("t_year") % 2 == 0, "A").otherwise("B")
+    pct = F.greatest(F.lit(-999.99), F.least(F.lit(999.99), F.round(F.col("profit_pct") * 100, 2)))
+    return d.select(F.col("t_id").alias("id"), decision.send_floor(F.col("tier"), F.col("n"), method, S).alias("sendable"), decision.worth_sharing(price, F.col("median"), S, 0.10).alias("shared"), F.floor(pct).alias("percent"))
+
+
 _DATE = f"DATE '{S.as_of}'"
 _EFFECTIVE = """CASE WHEN km IN (123456, 1234567, 654321, 12345678) OR regexp_matches(km::VARCHAR, '^(1{6,7}|2{6,7}|3{6,7}|4{6,7}|5{6,7}|6{6,7}|7{6,7}|8{6,7}|9{6,7})$')
     OR coalesce((km < 1000 AND 1998 - year >= 2) OR (km < 15000 AND 1998 - year >= 10), false) THEN NULL ELSE km END"""
@@ -169,6 +199,10 @@ QUERIES = {
     "DM02_DM08_assessment": decisions,
     "SC04_DM37_evaluate_recent": evaluate_recent,
     "DM07_DM11_decide": decide,
+    "DM13_clean_negotiable": clean_negotiable,
+    "DM14_cheap_to_verify": cheap_to_verify,
+    "DM16_ask_value": ask_value,
+    "DM17_DM34_PR19_PR23_SF05_send_checks": send_checks,
     "AG36_backtest": tier_backtest,
     "WN14_nearest_comparables": nearest,
 }
@@ -192,6 +226,20 @@ SELECT confidence, count(*) AS adverts, round(median(abs(t_price - median) / med
     "DM07_DM11_decide": f"""WITH {_DECIDE}
 SELECT d.t_id AS id, CASE WHEN w.lower THEN 'pazarlik' ELSE tier END AS tier, CASE WHEN w.lower THEN 'km_temkinli' ELSE gaps END AS gaps, round(profit, 6) AS profit, round(z, 6) AS z
 FROM decided d LEFT JOIN (SELECT t_id, NOT EXISTS (SELECT 1 FROM decided_b b WHERE b.t_id = u.t_id AND b.tier = 'guclu') AS lower FROM doubt u) w ON w.t_id = d.t_id""",
+    "DM13_clean_negotiable": f"""WITH {_DECIDE.replace("pct >= 0.20 ", "pct >= 0.15 ").replace("profit < 750 ", "profit < 500 ")}
+SELECT t_id AS id, n, round(profit, 6) AS profit, round(pct, 6) AS profit_pct, round(z, 6) AS z FROM decided d WHERE tier = 'guclu' AND n >= 8
+AND NOT EXISTS (SELECT 1 FROM doubt u WHERE u.t_id = d.t_id AND NOT EXISTS (SELECT 1 FROM decided_b b WHERE b.t_id = u.t_id AND b.tier = 'guclu'))""",
+    "DM14_cheap_to_verify": f"""WITH {_DECIDE},
+loose AS (SELECT *, CASE WHEN c = 'guclu' AND t_price < 0.35::DOUBLE * median THEN 'pazarlik' ELSE c END AS l_tier FROM t3),
+l_gap AS (SELECT * FROM loose WHERE l_tier = 'guclu' AND n >= 8 AND coalesce(t_currency <> 'TRY', true) AND coalesce(near_n >= 8, true) AND t_price <= p25
+  AND NOT (median_year - t_year >= 1 OR (step >= 3 AND median_year - t_year > 0))),
+firm AS (SELECT t_id FROM decided d WHERE tier = 'guclu' AND NOT EXISTS (SELECT 1 FROM doubt u WHERE u.t_id = d.t_id AND NOT EXISTS (SELECT 1 FROM decided_b b WHERE b.t_id = u.t_id AND b.tier = 'guclu')))
+SELECT t_id AS id, n, round(profit, 6) AS profit, round(pct, 6) AS profit_pct, round(z, 6) AS z FROM l_gap WHERE t_id NOT IN (SELECT t_id FROM firm)""",
+    "DM16_ask_value": f"""WITH {_MARKET}, a AS (SELECT *, floor(least((0.95 * median - 300) / 1.2, 0.95 * median - 1050) / 50) * 50 AS max_buy FROM market WHERE n >= 8)
+SELECT t_id AS id, n, round(median, 6) AS median, max_buy::DOUBLE AS max_buy FROM a WHERE max_buy > 0""",
+    "DM17_DM34_PR19_PR23_SF05_send_checks": f"""WITH {_DECIDED}
+SELECT t_id AS id, CASE WHEN tier = 'guclu' THEN t_year % 2 = 0 AND n >= 8 ELSE true END AS sendable, t_price - floor(least((0.95 * median - 300) / 1.2, 0.95 * median - 1050) / 50) * 50 <= t_price * 0.10::DOUBLE AS shared,
+  floor(greatest(-999.99::DOUBLE, least(999.99::DOUBLE, round(pct * 100, 2))))::BIGINT AS percent FROM decided""",
     "WN14_nearest_comparables": f"""WITH {_PAIRS},
 d AS (SELECT *, closeness + 0.1 * abs(price_gbp - t_price) / t_price AS distance FROM pairs)
 SELECT t_id AS id, row_number() OVER (PARTITION BY t_id ORDER BY distance, id)::INTEGER AS rank, id AS other_id, round(distance, 6) AS distance

@@ -34,6 +34,9 @@ class Settings:
     unknown_km_extra: int = 45_000
     unknown_km_min_age: int = 5
     fresh_try_factor: float = 0.89
+    clean_threshold: float = 0.15
+    clean_min_profit: float = 500.0
+    verify_min_ratio: float = 0.35
     ridge_lambda: float = 0.5
     curve_min_rows: int = 8
     curve_min_years: int = 3
