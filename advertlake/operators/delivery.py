@@ -50,12 +50,15 @@ def release_orphans(rows: DataFrame) -> DataFrame:
 
 
 def standing_matches(rows: DataFrame, filters: DataFrame) -> DataFrame:
-    """Each saved filter (filter_id, brand_norm or null, price_max, year_min) with the rows it lets through. Filters with a brand are an equi-join; those
-    without one are few and go to every row. filters is a user's own list; it is broadcast only where Spark finds it small."""
+    """Each saved filter (filter_id, brand_norm or null, price_max, year_min) with the rows it lets through. Filters with a brand are joined by brand,
+    those without one by model year: each is repeated for the years from its first one to the newest that a row has."""
     fits = (F.col("price_gbp") <= F.col("price_max")) & (F.col("year") >= F.col("year_min"))
     f = filters.withColumnRenamed("brand_norm", "f_brand")
     named = rows.join(f.filter("f_brand is not null"), (F.col("brand_norm") == F.col("f_brand")) & fits)
-    free = rows.join(f.filter("f_brand is null"), fits)
+    least, most = rows.agg(F.min("year"), F.max("year")).first()
+    free = f.filter("f_brand is null").filter(F.col("year_min") <= F.lit(most))
+    free = free.withColumn("f_year", F.explode(F.sequence(F.greatest("year_min", F.lit(least)).cast("int"), F.lit(most).cast("int"))))
+    free = rows.join(free, (F.col("year") == F.col("f_year")) & (F.col("price_gbp") <= F.col("price_max"))).drop("f_year")
     return named.unionByName(free).drop("f_brand", "price_max", "year_min")
 
 
