@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from advertlake.functions.rules import effective_km
 from advertlake.operators.book import KEYS, closed_form
+from advertlake.operators.market import trimmed, usable_pool
 from advertlake.settings import Settings
 
 # fixed values: outliers lie beyond so many robust deviations; the mileage slope of a prediction is at most this
 ROBUST_K, KM_SLOPE_FLOOR = 2.5, -0.005
+# fixed values: slopes of age and mileage where a model has no curve
+AGE_SLOPE, KM_SLOPE = -0.08, -0.03
 
 
 def curve_points(rows: DataFrame, s: Settings) -> DataFrame:
@@ -77,3 +80,41 @@ def curve_rows(curves: DataFrame, dense: DataFrame, s: Settings) -> DataFrame:
     ref = F.floor(F.least(F.col("km_per_year") * F.greatest(s.as_of.year - F.col("year"), F.lit(0.5)), F.col("max_km")) + 1e-6)
     y = y.withColumn("ref_km", ref).withColumn("value", predict(F.col("year"), F.col("ref_km"), s))
     return y.select(*KEYS, "year", "ref_km", "value", (F.col("value") * F.exp(-s.est_z * F.col("sigma"))).alias("low"), (F.col("value") * F.exp(s.est_z * F.col("sigma"))).alias("high"), "n", "sellers")
+
+
+def comparable_rows(rows: DataFrame, curves: DataFrame, s: Settings) -> DataFrame:
+    """Book rows by method A: for each model and year with adverts, those within a year of it (the newest max_per_seller of a seller), brought to that
+    year and the group's usual mileage by the model's slopes, trimmed as a market is; median, inclusive quartiles, mileage, rows and sellers."""
+    d = usable_pool(rows, s).dropna(subset=KEYS).filter(F.coalesce("steering", F.lit("RHD")) == "RHD")
+    years = d.select(*KEYS, "year").distinct()
+    d = d.withColumn("of", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1))).join(years.withColumnRenamed("year", "of"), [*KEYS, "of"], "left_semi")
+    newest = Window.partitionBy(*KEYS, "of", "seller").orderBy(F.desc("first_seen_at"), "id")
+    d = d.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= s.max_per_seller)
+    group = Window.partitionBy(*KEYS, "of")
+    known = F.when(F.col("km") != 0, F.col("km"))
+    d = d.withColumn("ref_km", F.when(F.count(known).over(group) >= 3, F.floor(F.median(known).over(group))))
+    d = d.join(curves.select(*KEYS, "b_age", "b_km"), KEYS, "left")
+    age = F.coalesce(F.least(F.col("b_age"), F.lit(0.0)), F.lit(AGE_SLOPE))
+    km = F.coalesce(F.least(F.col("b_km"), F.lit(KM_SLOPE_FLOOR)), F.lit(KM_SLOPE))
+    moved = F.ln("price_gbp") + age * (F.col("year") - F.col("of")) + F.coalesce(km * (F.col("ref_km") - known) / 10000, F.lit(0.0))
+    d = trimmed(d.withColumns({"adj": F.exp(moved), "t_id": F.concat_ws("|", *KEYS), "step": F.col("of")}), s)
+    g = d.groupBy(*KEYS, F.col("of").alias("year")).agg(
+        F.percentile("adj", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("ref_km").alias("ref_km"), F.count("*").alias("n"), F.count_distinct("seller").alias("sellers"))
+    g = g.filter(F.col("n") >= s.min_comparables)
+    return g.select(*KEYS, "year", "ref_km", F.get("q", F.lit(1)).alias("value"), F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(2)).alias("high"), "n", "sellers")
+
+
+def sales_info(book: DataFrame, sales: DataFrame) -> DataFrame:
+    """Book rows with the number and median price of the sales (keys, year, price_gbp) within a year of theirs."""
+    near = sales.select(*KEYS, F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("year"), "price_gbp")
+    got = near.groupBy(*KEYS, "year").agg(F.count("*").alias("sales_n"), F.median("price_gbp").alias("sales_median"))
+    return book.join(got, [*KEYS, "year"], "left").withColumn("sales_n", F.coalesce("sales_n", F.lit(0)))
+
+
+def self_check(recent: DataFrame, curves: DataFrame, s: Settings, most: float = 0.25, least: int = 5) -> DataFrame:
+    """Per model with a curve: recent adverts that can be judged, the curve's median error, and whether it is too large to be relied on."""
+    t = recent.filter(~F.col("steering").eqNullSafe("LHD") & (F.col("price_gbp") > 0)).select(*KEYS, "year", "price_gbp", effective_km(F.col("km"), F.col("year"), s.as_of).alias("km"))
+    t = t.dropna(subset=["km", "year"]).join(curves, KEYS)
+    off = F.abs(F.ln("price_gbp") - F.ln(predict(F.col("year"), F.col("km"), s)))
+    g = t.groupBy(*KEYS).agg(F.count("*").alias("judged"), (F.exp(F.median(off)) - 1).alias("error"))
+    return g.withColumn("unreliable", (F.col("judged") >= least) & (F.col("error") > most))

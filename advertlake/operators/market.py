@@ -90,10 +90,10 @@ def _steps(targets: DataFrame, pool: DataFrame, s: Settings, span: int) -> DataF
     steps = F.when(gbp, F.array(F.lit(2 * span - 1), F.lit(2 * span))).otherwise(F.array(F.lit(2 * span)))
     pairs = pairs.withColumn("step", F.explode(steps)).repartition("t_id")
     rows = capped(pairs, s, "t_id", "step").withColumn("adj", km_adjusted(F.col("price_gbp"), F.col("t_km"), F.col("km"), s.km_adjust_per_10k))
-    return rows.transform(lambda d: _trimmed(d, s)).transform(lambda d: _statistics(d, s))
+    return rows.transform(lambda d: trimmed(d, s)).transform(lambda d: _statistics(d, s))
 
 
-def _trimmed(rows: DataFrame, s: Settings) -> DataFrame:
+def trimmed(rows: DataFrame, s: Settings) -> DataFrame:
     """Keeps prices within a band around the median (fewer than 8), else within 1.5 quartile distances of the exclusive quartiles."""
     w = Window.partitionBy("t_id", "step")
     rows = rows.withColumns({"n0": F.count("*").over(w), "m0": F.median("adj").over(w), "rn": F.row_number().over(w.orderBy("adj", "id"))})

@@ -29,7 +29,25 @@ def curve_rows(spark, d):
     return got.select("brand_norm", "model_norm", "year", F.col("ref_km").cast("long").alias("ref_km"), F.round(F.ln("value"), 5).alias("ln_value"), F.round(F.ln("high"), 5).alias("ln_high"), "n")
 
 
-QUERIES = {"AG31_robust_curves": robust, "DM22_estimates": estimates, "DM18_curve_rows": curve_rows}
+def comparable_rows(spark, d):
+    x = listings(spark, d)
+    got = C.comparable_rows(x, C.robust_curves(x, S), S)
+    return got.select("brand_norm", "model_norm", "year", F.col("ref_km").cast("long").alias("ref_km"), *[F.round(F.ln(c), 5).alias(f"ln_{c}") for c in ("value", "low", "high")], "n", "sellers")
+
+
+def sales(spark, d):
+    x = listings(spark, d)
+    book = x.select("brand_norm", "model_norm", "year").distinct()
+    return C.sales_info(book, x.filter("is_sold and km is null")).select("brand_norm", "model_norm", "year", "sales_n", F.round("sales_median", 4).alias("sales_median"))
+
+
+def self_check(spark, d):
+    x = listings(spark, d)
+    got = C.self_check(x.filter(F.col("first_seen_at") > F.lit("1998-01-01").cast("timestamp")), C.robust_curves(x, S), S, 0.9)
+    return got.select("brand_norm", "model_norm", "judged", *_r("error"), "unreliable")
+
+
+QUERIES = {"AG31_robust_curves": robust, "DM22_estimates": estimates, "DM18_curve_rows": curve_rows, "AG25_AG27_WN13_DM21_DM24_comparable_rows": comparable_rows, "AG26_sales_info": sales, "AG33_self_check": self_check}
 _Y = S.as_of.year
 
 
@@ -69,4 +87,26 @@ FROM eff e JOIN curve USING (brand_norm, model_norm) JOIN dense USING (brand_nor
 WHERE steering IS DISTINCT FROM 'LHD' AND ekm IS NOT NULL AND e.year BETWEEN min_year - 1 AND max_year + 1 AND ekm <= max_km * 1.1::DOUBLE AND sellers >= {S.est_min_curve_sellers}""",
     "DM18_curve_rows": f"""WITH {_CURVES}, y AS (SELECT *, floor(least(km_per_year * greatest({_Y} - year, 0.5::DOUBLE), max_km) + 1e-6)::BIGINT AS ref_km FROM curve JOIN dense USING (brand_norm, model_norm) WHERE year BETWEEN min_year AND max_year)
 SELECT brand_norm, model_norm, year, ref_km, round({_LN.format(y=f'{_Y} - year', km='ref_km')}, 5) AS ln_value, round({_LN.format(y=f'{_Y} - year', km='ref_km')} + {S.est_z}::DOUBLE * sigma, 5) AS ln_high, n FROM y""",
+    "AG25_AG27_WN13_DM21_DM24_comparable_rows": f"""WITH {_CURVES},
+pool AS (SELECT * FROM eff WHERE price_gbp BETWEEN 500 AND 250000 AND (is_active OR is_sold) AND datediff('day', first_seen_at::DATE, DATE '{S.as_of}') <= {S.window_days}
+  AND (NOT is_active OR datediff('day', first_seen_at::DATE, DATE '{S.as_of}') <= {S.active_max_age_days}) AND coalesce(steering, 'RHD') = 'RHD'),
+wide AS (SELECT *, unnest([year - 1, year, year + 1]) AS o FROM pool),
+near_y AS (SELECT w.* FROM wide w JOIN (SELECT DISTINCT brand_norm, model_norm, year AS o FROM pool) y USING (brand_norm, model_norm, o)),
+cap AS (SELECT * FROM near_y QUALIFY row_number() OVER (PARTITION BY brand_norm, model_norm, o, seller ORDER BY first_seen_at DESC, id) <= 2),
+ref AS (SELECT *, CASE WHEN count(*) FILTER (ekm <> 0) OVER g >= 3 THEN floor(median(ekm) FILTER (ekm <> 0) OVER g) END AS ref_km FROM cap WINDOW g AS (PARTITION BY brand_norm, model_norm, o)),
+adj AS (SELECT r.*, exp(ln(price_gbp) + coalesce(least(b_age, 0), -0.08::DOUBLE) * (r.year - o) + coalesce(coalesce(least(b_km, -0.005::DOUBLE), -0.03::DOUBLE) * (ref_km - CASE WHEN ekm <> 0 THEN ekm END) / 10000, 0)) AS adj
+  FROM ref r LEFT JOIN curve USING (brand_norm, model_norm)),
+sorted AS (SELECT brand_norm, model_norm, o, list_sort(list(adj)) AS xs, count(*) AS n0, median(adj) AS m FROM adj GROUP BY ALL HAVING count(*) >= 3),
+rank AS (SELECT *, greatest(1, least((n0 + 1) // 4, n0 - 1)) AS j1, greatest(1, least(3 * (n0 + 1) // 4, n0 - 1)) AS j3 FROM sorted),
+quart AS (SELECT *, (xs[j1] * (4 - (n0 + 1 - 4 * j1)) + xs[j1 + 1] * (n0 + 1 - 4 * j1)) / 4 AS q1, (xs[j3] * (4 - (3 * (n0 + 1) - 4 * j3)) + xs[j3 + 1] * (3 * (n0 + 1) - 4 * j3)) / 4 AS q3 FROM rank),
+fence AS (SELECT brand_norm, model_norm, o, CASE WHEN n0 < 8 THEN 0.5 * m ELSE q1 - 1.5 * (q3 - q1) END AS lo, CASE WHEN n0 < 8 THEN m / 0.5 ELSE q3 + 1.5 * (q3 - q1) END AS hi FROM quart),
+kept AS (SELECT a.* FROM adj a JOIN fence f USING (brand_norm, model_norm, o) WHERE a.adj BETWEEN f.lo AND f.hi)
+SELECT brand_norm, model_norm, o AS year, any_value(ref_km)::BIGINT AS ref_km, round(ln(median(adj)), 5) AS ln_value, round(ln(quantile_cont(adj, 0.25)), 5) AS ln_low, round(ln(quantile_cont(adj, 0.75)), 5) AS ln_high,
+  count(*) AS n, count(DISTINCT seller) AS sellers FROM kept GROUP BY ALL HAVING count(*) >= 3""",
+    "AG26_sales_info": f"""WITH {LISTINGS_SQL}, b AS (SELECT DISTINCT brand_norm, model_norm, year FROM listings)
+SELECT b.brand_norm, b.model_norm, b.year, count(l.id) AS sales_n, round(median(l.price_gbp), 4) AS sales_median FROM b LEFT JOIN listings l
+  ON l.brand_norm = b.brand_norm AND l.model_norm = b.model_norm AND abs(l.year - b.year) <= 1 AND l.is_sold AND l.km IS NULL GROUP BY ALL""",
+    "AG33_self_check": f"""WITH {_CURVES}, e AS (SELECT brand_norm, model_norm, abs(ln(price_gbp) - ({_LN.format(y=f'{_Y} - e.year', km='ekm')})) AS off FROM eff e JOIN curve USING (brand_norm, model_norm)
+  WHERE steering IS DISTINCT FROM 'LHD' AND ekm IS NOT NULL AND price_gbp > 0 AND first_seen_at > TIMESTAMP '1998-01-01')
+SELECT brand_norm, model_norm, count(*) AS judged, round(exp(median(off)) - 1, 5) AS error, count(*) >= 5 AND exp(median(off)) - 1 > 0.9 AS unreliable FROM e GROUP BY ALL""",
 }
