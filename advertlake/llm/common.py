@@ -48,9 +48,8 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
 
     Alternates "large star" and "small star": each node hooks its neighbours to the smallest
     neighbour, which leaves a star per component after about log(n) rounds. A round groups by node
-    with a min (partial sums before the shuffle) and never gathers a neighbour list, so a node with a
-    third of all edges is only a key of many small rows. Ends when a round changes nothing; raises if max_rounds is
-    given and does not suffice.
+    with a min (partial sums before the shuffle) and never gathers a neighbour list; the minima go back to the edges
+    of a hot node as in spread_join. Ends when a round changes nothing; raises if max_rounds is given and does not suffice.
     """
     e = written(
         edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
@@ -58,17 +57,17 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    before = None
+    before, edges_now = None, e.count()
     for done in count():
         if done == max_rounds:
             raise RuntimeError(f"connected_components: still changing after {max_rounds} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_minima(both, low, edges_now).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(low2, "a")
+            _with_minima(large, low2, edges_now)
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
             .select("x.*")
         )
@@ -79,12 +78,21 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
         )
         if now == before or not now[0]:
             break
-        before = now
+        before, edges_now = now, now[0]
     stars = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _with_minima(edges: DataFrame, low: DataFrame, n: int, salts: int = 16, small: int = 200_000) -> DataFrame:
+    """edges (a, b) join low (one row for each a), of at most n rows."""
+    if n <= small:
+        return edges.join(F.broadcast(low), "a")
+    left = edges.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    right = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right.hint("merge"), ["a", "_salt"]).drop("_salt")
+
+
 def spread_join(rows: DataFrame, known: DataFrame, on: str, by, salts: int = 16, small: int = 200_000) -> DataFrame:
     """rows left join known (one row for each value of `on`), where one value may hold a third of all rows. known is written and counted: up to
     `small` rows are broadcast; of more, each is repeated `salts` times, and the rows are dealt over so many tasks by the number `by`."""

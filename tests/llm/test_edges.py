@@ -1,5 +1,6 @@
 """Empty tables, nulls, ties, repeated rows and clashing names for the operators and the pipeline's stages."""
 
+import numpy as np
 import pytest
 
 
@@ -86,6 +87,26 @@ def test_components_are_finished_or_refused(spark):
         common.connected_components(chain, max_rounds=1)
 
 
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components_equal_union_find(spark, monkeypatch, small):
+    monkeypatch.setattr(common._with_minima, "__defaults__", (4, small))
+    rng = np.random.default_rng(small)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(0, int(i)) for i in range(500, 900)] + [(i, i + 1) for i in range(900, 960)] + [(None, 3), (7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
 def test_classifier_without_labels_or_documents(spark):
     docs, none = spark.createDataFrame(ROWS, DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_classifier.classify(docs, none).count() == len(ROWS)
@@ -129,3 +150,28 @@ def test_odd_vectors(spark):
     assert embedding_dedup.near_duplicates(empty).count() == 0 and nearest_neighbours.neighbours(empty).count() == 0
 
 
+
+
+def test_values_of_odd_documents(spark):
+    docs = spark.createDataFrame(ROWS, DOCS)
+    tokens = sorted(((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs).collect()))
+    assert [t[:2] for t in tokens] == [(-1, 16), (1, 0), (2, 0), (3, 3), (4, 33), (4, 33), (5, 33), (6, len(LONG))] and [t[2] for t in tokens[1:4]] == [0, 0, 0] and tokens[4][2] == tokens[5][2] == tokens[6][2] == 7
+    cut = substring_dedup.digest(spark.createDataFrame([*ROWS, (9, LONG, "en", "b", 1, 1, 1, 1, 1, 1)], DOCS)).collect()
+    removed = {(r.doc_id, r.n_words): r.n_removed for r in cut}
+    assert removed[(6, 30000)] == 0 and removed[(9, 30000)] == 30000 and removed[(1, 0)] == 0 and removed[(5, 7)] == 0
+    plan = {(r.doc_id, r.size) for r in source_mixing.mixing_plan(docs).collect()}
+    assert plan == {(1, 0), (2, 0), (3, 0), (4, 7), (5, 7), (6, 30000), (None, 4)}
+    shards = sharding.shard_by_bytes(docs).collect()
+    assert sorted(r.size for r in shards) == sorted([8, 8, 11, 41, 41, 41, len(LONG) + 8, 24])
+
+
+def test_a_large_group_of_equal_texts_is_cut(spark):
+    rows = [(i, "the same text in many documents") for i in range(3000)] + [(5000 + i, f"own text number {i}") for i in range(1500)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    per, slots = {}, {}
+    for r in got:
+        per[r.shard] = per.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    mean = sum(per.values()) / 24
+    assert len(got) == len(rows) and len(per) == 24 and max(abs(v - mean) for v in per.values()) <= 0.1 * mean
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
