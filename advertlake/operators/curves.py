@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from advertlake.functions.rules import effective_km
-from advertlake.operators.book import KEYS, closed_form
+from advertlake.operators.book import KEYS, closed_form, next_status
 from advertlake.operators.market import trimmed, usable_pool
 from advertlake.settings import Settings
+from advertlake.sources.shared import persisted
 
 # fixed values: outliers lie beyond so many robust deviations; the mileage slope of a prediction is at most this
 ROBUST_K, KM_SLOPE_FLOOR = 2.5, -0.005
@@ -77,6 +78,11 @@ def estimates(targets: DataFrame, curves: DataFrame, dense: DataFrame, s: Settin
 def curve_rows(curves: DataFrame, dense: DataFrame, s: Settings) -> DataFrame:
     """Book rows by method B: every dense year of a curve's range, at the usual mileage of that age, with bounds est_z deviations away."""
     y = curves.withColumn("year", F.explode(F.sequence("min_year", "max_year"))).join(dense, [*KEYS, "year"], "left_semi")
+    return at_usual_mileage(y, s)
+
+
+def at_usual_mileage(y: DataFrame, s: Settings) -> DataFrame:
+    """Book rows of curves (with keys and year): the price at the usual mileage of that age, and bounds est_z deviations away."""
     ref = F.floor(F.least(F.col("km_per_year") * F.greatest(s.as_of.year - F.col("year"), F.lit(0.5)), F.col("max_km")) + 1e-6)
     y = y.withColumn("ref_km", ref).withColumn("value", predict(F.col("year"), F.col("ref_km"), s))
     return y.select(*KEYS, "year", "ref_km", "value", (F.col("value") * F.exp(-s.est_z * F.col("sigma"))).alias("low"), (F.col("value") * F.exp(s.est_z * F.col("sigma"))).alias("high"), "n", "sellers")
@@ -118,3 +124,27 @@ def self_check(recent: DataFrame, curves: DataFrame, s: Settings, most: float =
     off = F.abs(F.ln("price_gbp") - F.ln(predict(F.col("year"), F.col("km"), s)))
     g = t.groupBy(*KEYS).agg(F.count("*").alias("judged"), (F.exp(F.median(off)) - 1).alias("error"))
     return g.withColumn("unreliable", (F.col("judged") >= least) & (F.col("error") > most))
+
+
+def build_book(rows: DataFrame, sales: DataFrame, s: Settings, prev: DataFrame | None = None) -> DataFrame:
+    """The nightly book: rows of comparables (A); of the model's curve (B) for its dense years that have no settled or suspect row; and of the brand's
+    curve (C), for the adverts' years of models that have neither. prev: last night's keys, year, value, candidate, nights. Rows carry method, status
+    and the sales near their year."""
+    keys = [*KEYS, "year"]
+    curves = persisted(robust_curves(rows, s))
+    if prev is None:
+        prev = rows.select(*keys, F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("candidate"), F.lit(0).alias("nights")).limit(0)
+
+    def judged(new: DataFrame, method: str) -> DataFrame:
+        st = next_status(prev, new, keys, s).select(*keys, F.col("value").alias("kept"), "candidate", "nights", "status")
+        return new.join(st, keys).withColumns({"value": F.col("kept"), "method": F.lit(method)}).drop("kept")
+
+    a = persisted(judged(comparable_rows(rows, curves, s), "A"))
+    b = judged(curve_rows(curves, dense_years(rows, s), s), "B").join(a.filter("status <> 'ince'"), keys, "left_anti")
+    few = (F.col("status") == "oturmus") & (F.col("sellers") < s.est_min_curve_sellers)
+    b = b.withColumn("status", F.when(few, "ince").otherwise(F.col("status")))
+    both = persisted(a.join(b, keys, "left_anti").unionByName(b))
+    brand = robust_curves(rows.withColumn("model_norm", F.lit("*")), s.but(curve_max_sigma=s.brand_max_sigma)).drop("model_norm")
+    bare = usable_pool(rows, s).dropna(subset=KEYS).select(*keys).distinct().join(both.select(*KEYS).distinct(), KEYS, "left_anti").join(brand, "brand_norm")
+    c = at_usual_mileage(bare, s).withColumns({"method": F.lit("C"), "status": F.lit("ince"), "candidate": F.lit(None).cast("double"), "nights": F.lit(0)})
+    return sales_info(both.unionByName(c), sales)

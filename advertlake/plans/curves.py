@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from advertlake.operators import curves as C
@@ -9,6 +11,9 @@ from advertlake.settings import ANALOGUE as S
 from advertlake.sources.listings import LISTINGS_SQL, listings
 
 
+_THIN = ["ECONOMY", "PROMO"]
+
+
 def _r(*cols):
     return [F.round(c, 5).alias(c) for c in cols]
 
@@ -35,6 +40,14 @@ def comparable_rows(spark, d):
     return got.select("brand_norm", "model_norm", "year", F.col("ref_km").cast("long").alias("ref_km"), *[F.round(F.ln(c), 5).alias(f"ln_{c}") for c in ("value", "low", "high")], "n", "sellers")
 
 
+def whole_book(spark, d):
+    """Half of the models are too thin for rows of their own, so that all three methods give some."""
+    x = listings(spark, d)
+    thin = F.when(F.col("model_norm").isin(_THIN), F.col("year") == 1999).otherwise(True)
+    got = C.build_book(x.filter(thin & ~(F.col("model_norm").isin(_THIN) & (F.col("seller") % 10 > 1))), x.filter("is_sold and km is null"), S.but(brand_max_sigma=1.0))
+    return got.select("brand_norm", "model_norm", "year", "method", "status", F.round(F.ln("value"), 5).alias("ln_value"), "n", "sellers", "sales_n")
+
+
 def sales(spark, d):
     x = listings(spark, d)
     book = x.select("brand_norm", "model_norm", "year").distinct()
@@ -47,7 +60,7 @@ def self_check(spark, d):
     return got.select("brand_norm", "model_norm", "judged", *_r("error"), "unreliable")
 
 
-QUERIES = {"AG31_robust_curves": robust, "DM22_estimates": estimates, "DM18_curve_rows": curve_rows, "AG25_AG27_WN13_DM21_DM24_comparable_rows": comparable_rows, "AG26_sales_info": sales, "AG33_self_check": self_check}
+QUERIES = {"AG31_robust_curves": robust, "DM22_estimates": estimates, "DM18_curve_rows": curve_rows, "AG25_AG27_WN13_DM21_DM24_comparable_rows": comparable_rows, "AG26_sales_info": sales, "DM18_DM20_SM36_whole_book": whole_book, "AG33_self_check": self_check}
 _Y = S.as_of.year
 
 
@@ -80,15 +93,7 @@ curve AS (SELECT brand_norm, model_norm, any_value(ma) AS ma, any_value(mk) AS m
   FROM marked JOIN c USING (brand_norm, model_norm) WHERE near OR NOT refit GROUP BY 1, 2 HAVING sigma <= {S.curve_max_sigma} AND any_value(b_age) <= {S.curve_max_age_slope}),
 dense AS (SELECT brand_norm, model_norm, of_year AS year FROM (SELECT brand_norm, model_norm, unnest(generate_series(year - 2, year + 2)) AS of_year FROM pts) GROUP BY ALL HAVING count(*) >= 3)"""
 _LN = "my + b_age * (({y}) - ma) + least(b_km, -0.005::DOUBLE) * ({km} / 10000.0::DOUBLE - mk)"
-ORACLE_SQL = {
-    "AG31_robust_curves": f"""WITH {_CURVES} SELECT brand_norm, model_norm, round(my, 5) AS my, round(b_age, 5) AS b_age, round(b_km, 5) AS b_km, round(sigma, 5) AS sigma, round(km_per_year, 5) AS km_per_year, n, sellers, min_year, max_year, max_km FROM curve""",
-    "DM22_estimates": f"""WITH {_CURVES} SELECT e.id, round({_LN.format(y=f'{_Y} - e.year', km='ekm')}, 5) AS ln_value, round({_LN.format(y=f'{_Y} - e.year', km='ekm')} - {S.est_z}::DOUBLE * sigma, 5) AS ln_lower, n, sellers
-FROM eff e JOIN curve USING (brand_norm, model_norm) JOIN dense USING (brand_norm, model_norm, year)
-WHERE steering IS DISTINCT FROM 'LHD' AND ekm IS NOT NULL AND e.year BETWEEN min_year - 1 AND max_year + 1 AND ekm <= max_km * 1.1::DOUBLE AND sellers >= {S.est_min_curve_sellers}""",
-    "DM18_curve_rows": f"""WITH {_CURVES}, y AS (SELECT *, floor(least(km_per_year * greatest({_Y} - year, 0.5::DOUBLE), max_km) + 1e-6)::BIGINT AS ref_km FROM curve JOIN dense USING (brand_norm, model_norm) WHERE year BETWEEN min_year AND max_year)
-SELECT brand_norm, model_norm, year, ref_km, round({_LN.format(y=f'{_Y} - year', km='ref_km')}, 5) AS ln_value, round({_LN.format(y=f'{_Y} - year', km='ref_km')} + {S.est_z}::DOUBLE * sigma, 5) AS ln_high, n FROM y""",
-    "AG25_AG27_WN13_DM21_DM24_comparable_rows": f"""WITH {_CURVES},
-pool AS (SELECT * FROM eff WHERE price_gbp BETWEEN 500 AND 250000 AND (is_active OR is_sold) AND datediff('day', first_seen_at::DATE, DATE '{S.as_of}') <= {S.window_days}
+_COMPS = f"""pool AS (SELECT * FROM eff WHERE price_gbp BETWEEN 500 AND 250000 AND (is_active OR is_sold) AND datediff('day', first_seen_at::DATE, DATE '{S.as_of}') <= {S.window_days}
   AND (NOT is_active OR datediff('day', first_seen_at::DATE, DATE '{S.as_of}') <= {S.active_max_age_days}) AND coalesce(steering, 'RHD') = 'RHD'),
 wide AS (SELECT *, unnest([year - 1, year, year + 1]) AS o FROM pool),
 near_y AS (SELECT w.* FROM wide w JOIN (SELECT DISTINCT brand_norm, model_norm, year AS o FROM pool) y USING (brand_norm, model_norm, o)),
@@ -100,9 +105,46 @@ sorted AS (SELECT brand_norm, model_norm, o, list_sort(list(adj)) AS xs, count(*
 rank AS (SELECT *, greatest(1, least((n0 + 1) // 4, n0 - 1)) AS j1, greatest(1, least(3 * (n0 + 1) // 4, n0 - 1)) AS j3 FROM sorted),
 quart AS (SELECT *, (xs[j1] * (4 - (n0 + 1 - 4 * j1)) + xs[j1 + 1] * (n0 + 1 - 4 * j1)) / 4 AS q1, (xs[j3] * (4 - (3 * (n0 + 1) - 4 * j3)) + xs[j3 + 1] * (3 * (n0 + 1) - 4 * j3)) / 4 AS q3 FROM rank),
 fence AS (SELECT brand_norm, model_norm, o, CASE WHEN n0 < 8 THEN 0.5 * m ELSE q1 - 1.5 * (q3 - q1) END AS lo, CASE WHEN n0 < 8 THEN m / 0.5 ELSE q3 + 1.5 * (q3 - q1) END AS hi FROM quart),
-kept AS (SELECT a.* FROM adj a JOIN fence f USING (brand_norm, model_norm, o) WHERE a.adj BETWEEN f.lo AND f.hi)
+kept AS (SELECT a.* FROM adj a JOIN fence f USING (brand_norm, model_norm, o) WHERE a.adj BETWEEN f.lo AND f.hi)"""
+_BASE = _CURVES.replace("listings AS (", "listings_all AS (", 1).replace("""eff AS (SELECT *""", f"""listings AS (SELECT * FROM listings_all WHERE model_norm NOT IN ('ECONOMY', 'PROMO') OR (year = 1999 AND seller % 10 <= 1)),
+eff AS (SELECT *""", 1)
+_BRAND = _CURVES.split("pts AS (", 1)[1]
+
+
+def _brand_sql() -> str:
+    """The curves over all models of a brand, under names of their own."""
+    text = "pts AS (" + _BRAND.split(",\ndense AS", 1)[0]
+    text = text.replace("SELECT brand_norm, model_norm, id", "SELECT brand_norm, '*' AS model_norm, id", 1).replace("PARTITION BY brand_norm, model_norm, seller", "PARTITION BY brand_norm, seller", 1)
+    return re.sub(r"\b(pts|f1_m|f1_v|f1_f|f1|r1|r2|r3|marked|near|f2_m|f2_v|f2_f|f2|c|curve)\b(?=[ ,.)\n])", r"\1_x", text)
+
+
+ORACLE_SQL = {
+    "AG31_robust_curves": f"""WITH {_CURVES} SELECT brand_norm, model_norm, round(my, 5) AS my, round(b_age, 5) AS b_age, round(b_km, 5) AS b_km, round(sigma, 5) AS sigma, round(km_per_year, 5) AS km_per_year, n, sellers, min_year, max_year, max_km FROM curve""",
+    "DM22_estimates": f"""WITH {_CURVES} SELECT e.id, round({_LN.format(y=f'{_Y} - e.year', km='ekm')}, 5) AS ln_value, round({_LN.format(y=f'{_Y} - e.year', km='ekm')} - {S.est_z}::DOUBLE * sigma, 5) AS ln_lower, n, sellers
+FROM eff e JOIN curve USING (brand_norm, model_norm) JOIN dense USING (brand_norm, model_norm, year)
+WHERE steering IS DISTINCT FROM 'LHD' AND ekm IS NOT NULL AND e.year BETWEEN min_year - 1 AND max_year + 1 AND ekm <= max_km * 1.1::DOUBLE AND sellers >= {S.est_min_curve_sellers}""",
+    "DM18_curve_rows": f"""WITH {_CURVES}, y AS (SELECT *, floor(least(km_per_year * greatest({_Y} - year, 0.5::DOUBLE), max_km) + 1e-6)::BIGINT AS ref_km FROM curve JOIN dense USING (brand_norm, model_norm) WHERE year BETWEEN min_year AND max_year)
+SELECT brand_norm, model_norm, year, ref_km, round({_LN.format(y=f'{_Y} - year', km='ref_km')}, 5) AS ln_value, round({_LN.format(y=f'{_Y} - year', km='ref_km')} + {S.est_z}::DOUBLE * sigma, 5) AS ln_high, n FROM y""",
+    "AG25_AG27_WN13_DM21_DM24_comparable_rows": f"""WITH {_CURVES},
+{_COMPS}
 SELECT brand_norm, model_norm, o AS year, any_value(ref_km)::BIGINT AS ref_km, round(ln(median(adj)), 5) AS ln_value, round(ln(quantile_cont(adj, 0.25)), 5) AS ln_low, round(ln(quantile_cont(adj, 0.75)), 5) AS ln_high,
   count(*) AS n, count(DISTINCT seller) AS sellers FROM kept GROUP BY ALL HAVING count(*) >= 3""",
+    "DM18_DM20_SM36_whole_book": f"""WITH {_BASE},
+{_COMPS},
+a AS (SELECT brand_norm, model_norm, o AS year, ln(median(adj)) AS v, count(*) AS n, count(DISTINCT seller) AS sellers FROM kept GROUP BY ALL HAVING count(*) >= 3),
+a2 AS (SELECT *, CASE WHEN n < 5 OR sellers < 3 THEN 'ince' ELSE 'oturmus' END AS status FROM a),
+b AS (SELECT brand_norm, model_norm, y.year, {_LN.format(y=f'{_Y} - y.year', km='ref_km')} AS v, y.n, y.sellers, CASE WHEN y.n < 5 OR y.sellers < {S.est_min_curve_sellers} THEN 'ince' ELSE 'oturmus' END AS status
+  FROM (SELECT *, floor(least(km_per_year * greatest({_Y} - year, 0.5::DOUBLE), max_km) + 1e-6)::BIGINT AS ref_km FROM curve JOIN dense USING (brand_norm, model_norm) WHERE year BETWEEN min_year AND max_year) y
+  WHERE NOT EXISTS (SELECT 1 FROM a2 WHERE a2.brand_norm = y.brand_norm AND a2.model_norm = y.model_norm AND a2.year = y.year AND a2.status <> 'ince')),
+ab AS (SELECT brand_norm, model_norm, year, 'B' AS method, status, v, n, sellers FROM b UNION ALL SELECT brand_norm, model_norm, year, 'A', status, v, n, sellers FROM a2 WHERE (brand_norm, model_norm, year) NOT IN (SELECT (brand_norm, model_norm, year) FROM b)),
+{_brand_sql()},
+bare AS (SELECT DISTINCT p.brand_norm, p.model_norm, p.year FROM (SELECT * FROM eff WHERE price_gbp BETWEEN 500 AND 250000 AND (is_active OR is_sold) AND datediff('day', first_seen_at::DATE, DATE '{S.as_of}') <= {S.window_days}
+  AND (NOT is_active OR datediff('day', first_seen_at::DATE, DATE '{S.as_of}') <= {S.active_max_age_days})) p WHERE (p.brand_norm, p.model_norm) NOT IN (SELECT (brand_norm, model_norm) FROM ab)),
+cc AS (SELECT q.brand_norm, q.model_norm, q.year, 'C' AS method, 'ince' AS status, {_LN.format(y=f'{_Y} - q.year', km='ref_km')} AS v, n, sellers
+  FROM (SELECT b.*, x.* EXCLUDE (brand_norm, model_norm), floor(least(km_per_year * greatest({_Y} - b.year, 0.5::DOUBLE), max_km) + 1e-6)::BIGINT AS ref_km FROM bare b JOIN curve_x x ON x.brand_norm = b.brand_norm) q),
+book AS (SELECT * FROM ab UNION ALL SELECT * FROM cc),
+sold AS (SELECT brand_norm, model_norm, unnest([year - 1, year, year + 1]) AS year FROM listings_all WHERE is_sold AND km IS NULL)
+SELECT k.brand_norm, k.model_norm, k.year, k.method, k.status, round(k.v, 5) AS ln_value, k.n, k.sellers, (SELECT count(*) FROM sold s WHERE s.brand_norm = k.brand_norm AND s.model_norm = k.model_norm AND s.year = k.year) AS sales_n FROM book k""",
     "AG26_sales_info": f"""WITH {LISTINGS_SQL}, b AS (SELECT DISTINCT brand_norm, model_norm, year FROM listings)
 SELECT b.brand_norm, b.model_norm, b.year, count(l.id) AS sales_n, round(median(l.price_gbp), 4) AS sales_median FROM b LEFT JOIN listings l
   ON l.brand_norm = b.brand_norm AND l.model_norm = b.model_norm AND abs(l.year - b.year) <= 1 AND l.is_sold AND l.km IS NULL GROUP BY ALL""",

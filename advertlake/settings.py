@@ -50,6 +50,7 @@ class Settings:
     book_settled_min_n: int = 5
     book_settled_min_sellers: int = 3
     est_z: float = 1.53
+    brand_max_sigma: float = 0.35
     est_min_curve_sellers: int = 5
     as_of: dt.date = dt.date(2026, 10, 1)
 
