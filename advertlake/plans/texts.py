@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from advertlake.functions import advert_text as A
 from advertlake.functions import keys as K
+from advertlake.functions import links as L
 from advertlake.functions import price as P
 from advertlake.functions import text as X
 from advertlake.session import table
@@ -92,6 +93,29 @@ PHONES = [
 ]
 # text -> a cost of unknown size
 COSTS = [("ufak masrafı var masrafı var", False), ("aracın masrafları vardır", True), ("boya masrafı var", False), ("masrafsız", False), (None, False), ("temiz araç, motorunda masraf var. ufak masrafı var", True)]
+# (platform, link) -> (kind, handle, key)
+LINKS = [
+    (("instagram", "https://www.instagram.com/Oto.Galeri/"), ("instagram", "oto.galeri", "ig:oto.galeri")),
+    (("instagram", "https://instagram.com/p/abc123/"), ("ig_post", "", None)),
+    (("facebook", "http://m.facebook.com/groups/12345/?ref=x"), ("facebook", "12345", "fb:12345")),
+    (("facebook", "https://facebook.com/groups/12345/posts/9"), ("fb_post", "", None)),
+    (("facebook", "https://www.facebook.com/SomePage/"), ("fb_post", "", "fbp:somepage")),
+    (("facebook", "https://facebook.com/marketplace"), ("fb_post", "", None)),
+    (("facebook", "https://facebook.com/share/g/xyz"), ("fb_share", "", None)),
+    (("web", "https://user:pw@WWW.Cars.example.co.uk:8080/a?b#c"), ("web", "cars.example.co.uk", "web:cars.example.co.uk")),
+    (("instagram", "https://cars.example.com/"), ("web", "cars.example.com", None)),
+    (("web", "see https://cars.example.com/"), (None, None, None)),
+    (("web", "https://localhost/x"), (None, None, None)),
+    (("web", None), (None, None, None)),
+]
+# (text, phone) -> (names the region, an advert of the region)
+REGIONS = [
+    (("KKTC ARABAM", None), (True, True)), (("SAHIBINDEN AL SAT (KIBRIS)", None), (True, True)), (("GİRNE 2.EL PAZARI", None), (True, True)),
+    (("Bristol Uni Students - buy, sell", None), (False, False)), (("TÜRKİYE İskele Kiralama", None), (False, True)), (("temiz araç 0533 123 45 67", None), (False, True)),
+    (("temiz araç", "905481112233"), (False, True)), (("temiz araç", "905311112233"), (False, False)), ((None, None), (False, False)),
+]
+# (brand, model, engine) -> variant
+VARIANTS = [(("BMW", "320i Cabrio", "2.0"), "320"), (("Mercedes-Benz", "C Serisi C 180", None), "180"), (("BMW", "M4", "3.0"), ""), (("Toyota", "Vitz", "1.33"), "1.4"), (("Toyota", "Vitz", "1.0"), "1.0"), (("Kia", "x", "9.5"), ""), (("Kia", None, None), "")]
 PLACES = [("Lefkoşa, merkez", "lefkosa"), ("girne alsancak", "girne"), ("Alsancak", "girne"), ("Benz C Serisi", None), (None, None), ("GAZİMAĞUSA", "magusa"), ("yeni iskele", "iskele")]
 
 
@@ -138,6 +162,31 @@ def costs(spark, d):
     return _orders(spark, d).select("o_orderkey", A.cost_unknown(_case([c[0] for c in COSTS], F.col("o_orderkey"))).alias("open"))
 
 
+def source_links(spark, d):
+    k = F.col("o_orderkey")
+    rows = _orders(spark, d).select("o_orderkey", _case([x[0][0] for x in LINKS], k).alias("p"), _case([x[0][1] for x in LINKS], k).alias("u"))
+    return rows.select("o_orderkey", L.source_link(F.col("u")).alias("l"), L.source_key(F.col("p"), F.col("u")).alias("key")).select("o_orderkey", "l.kind", "l.handle", "key")
+
+
+def regions(spark, d):
+    k = F.col("o_orderkey")
+    rows = _orders(spark, d).select("o_orderkey", _case([x[0][0] for x in REGIONS], k).alias("t"), _case([x[0][1] for x in REGIONS], k).alias("phone"))
+    rows = rows.withColumn("f", K.fold(F.coalesce("t", F.lit(""))))
+    return rows.select("o_orderkey", L.names_region(F.col("f")).alias("named"), L.text_of_region(F.col("f"), F.col("t"), F.col("phone")).alias("local"))
+
+
+def region_groups(spark, d):
+    """Groups of orders judged by the share of their adverts that are of the region."""
+    rows = regions(spark, d).withColumn("g", F.col("o_orderkey") % 50)
+    return rows.groupBy("g").agg(F.count("*").alias("n"), F.count_if("local").alias("hits")).select("g", "n", "hits", L.region_share(F.col("hits"), F.col("n")).alias("local"))
+
+
+def variants(spark, d):
+    k = F.col("o_orderkey")
+    rows = _orders(spark, d).select("o_orderkey", *[_case([v[0][i] for v in VARIANTS], k).alias(c) for i, c in enumerate("bme")])
+    return rows.select("o_orderkey", L.variant(F.col("b"), F.col("m"), F.col("e").cast("double")).alias("variant"))
+
+
 def folded(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(K.fold(F.col("text")).cast("binary")).alias("folded"))
 
@@ -155,6 +204,10 @@ QUERIES = {
     "TX22_TX24_TX25_TX26_TX27_captions": captions,
     "TX61_TX62_TX69_TX70_phones": phone_rules,
     "TX46_cost_unknown": costs,
+    "TX53_TX54_TX55_source_links": source_links,
+    "TX50_TX51_regions": regions,
+    "AG41_region_groups": region_groups,
+    "TX56_variant": variants,
     "TX15_district": places,
     "TX01_fold": folded,
     "TX12_TX13_TX14_SF27_post_fingerprint": post_starts,
@@ -181,6 +234,11 @@ ORACLE_SQL = {
     "TX16_TX17_TX18_TX19_TX20_TX21_PR07_prices": _cases_sql(["joined", "amount", "currency", "guess", "implausible"], [p[1] for p in PRICES], {"amount": "DOUBLE", "guess": "BOOLEAN", "implausible": "BOOLEAN"}),
     "TX22_TX24_TX25_TX26_TX27_captions": _cases_sql([*_CAPTION, "sold"], [c[1] for c in CAPTIONS], {"year": "INTEGER", "km": "INTEGER", "price_amount": "DOUBLE", **{c: "BOOLEAN" for c in ("negotiable", "swap", "year_unsure", "sold")}}),
     "TX61_TX62_TX69_TX70_phones": _cases_sql(["phones", "masked", "sign"], [p[1] for p in PHONES], {"sign": "BOOLEAN"}),
+    "TX53_TX54_TX55_source_links": _cases_sql(["kind", "handle", "key"], [x[1] for x in LINKS], {}),
+    "TX50_TX51_regions": _cases_sql(["named", "local"], [x[1] for x in REGIONS], {"named": "BOOLEAN", "local": "BOOLEAN"}),
+    "AG41_region_groups": f"""WITH r AS ({_cases_sql(["local"], [(x[1][1],) for x in REGIONS], {"local": "BOOLEAN"})})
+SELECT o_orderkey % 50 AS g, count(*) AS n, count(*) FILTER (local) AS hits, count(*) >= 3 AND count(*) FILTER (local) * 3 >= count(*) * 2 AS local FROM r GROUP BY 1""",
+    "TX56_variant": _cases_sql(["variant"], [(v[1],) for v in VARIANTS], {}),
     "TX46_cost_unknown": _cases_sql(["open"], [(c[1],) for c in COSTS], {"open": "BOOLEAN"}),
     "TX15_district": _cases_sql(["district"], [(p[1],) for p in PLACES], {}),
     "TX01_fold": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(strip_accents(translate(text, 'ıİ', 'ii'))), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g'))) AS folded FROM documents",
