@@ -56,9 +56,18 @@ def brakes(spark, d):
     return spark.read.schema(watch._BRAKE).parquet(out).select("event_id", "severity", "pause_until_us")
 
 
-QUERIES = {"SC21_reject_reasons": rejects, "SM01_SM02_ingest": posts, "SM21_failure_counter": failures, "SM29_brake": brakes}
+def daily(spark, d):
+    """Events per local day and type, of the days that the watermark has closed."""
+    out = new_path(spark, "daily")
+    watch.to_table(watch.daily_counts(_stream(spark, d), "ts", "event_type", "Asia/Famagusta"), out, new_path(spark, "chk"))
+    return spark.read.schema("day date, event_type string, rows long").parquet(out).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "rows")
+
+
+QUERIES = {"SM23_daily_counts": daily, "SC21_reject_reasons": rejects, "SM01_SM02_ingest": posts, "SM21_failure_counter": failures, "SM29_brake": brakes}
 _REASON = """CASE WHEN value > 200 THEN 'bozuk_satir' WHEN value < 10 THEN 'surum' WHEN event_type = 'signup' THEN 'platform' WHEN user_id = 7 OR props IS NULL THEN 'alan' END"""
 ORACLE_SQL = {
+    "SM23_daily_counts": """WITH e AS (SELECT event_type, timezone('Asia/Famagusta', timezone('UTC', ts))::DATE AS day FROM events)
+SELECT strftime(day, '%Y-%m-%d') AS day, event_type, count(*) AS rows FROM e WHERE day <= (SELECT max(day) FROM e) - 2 GROUP BY ALL""",
     "SC21_reject_reasons": f"SELECT coalesce({_REASON}, 'ok') AS reason, count(*) AS lines FROM events GROUP BY 1",
     "SM01_SM02_ingest": f"""SELECT user_id::VARCHAR AS source_key, event_id AS post_id, floor(epoch_us(ts) / 1000000)::BIGINT AS posted_s, event_type NOT IN ('error', 'click') AS dated,
 CASE WHEN user_id % 5 >= 3 THEN 'galeri' WHEN user_id % 5 >= 1 THEN 'sahibinden' END AS seller_kind FROM events WHERE {_REASON} IS NULL""",

@@ -32,7 +32,7 @@ SELECT o_orderkey AS id, o_orderkey % 10 AS source_id, concat(CAST(o_orderkey *
   concat('https://', CASE WHEN o_orderkey % 2 = 0 THEN 'www.' ELSE 'm.' END, 'site', CAST(o_orderkey % 10 AS STRING), '.example/ad/', CAST(o_orderkey AS STRING), '/?q=1') AS url,
   concat('Brand#', CAST(o_custkey % 7 AS STRING)) AS brand_norm, CASE WHEN o_custkey % 29 <> 0 THEN concat('M', CAST(o_custkey % 5 AS STRING)) END AS model_norm,
   CAST(CASE WHEN o_custkey % 37 <> 0 THEN 1990 + o_custkey % 11 END AS INT) AS year, CAST(CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey * 37 % 250000 END AS INT) AS km,
-  CASE WHEN o_orderkey % 23 <> 0 THEN round(o_totalprice / 50, 2) END AS price_gbp, o_totalprice AS price_amount,
+  CASE WHEN o_orderkey % 23 <> 0 THEN o_totalprice / 50 END AS price_gbp, o_totalprice AS price_amount,
   CASE o_orderkey % 4 WHEN 0 THEN 'TRY' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency,
   CASE WHEN o_custkey % 4 <> 0 THEN concat('9053', lpad(CAST(o_custkey AS STRING), 8, '0')) END AS seller_phone,
   CASE WHEN o_custkey % 3 = 0 THEN concat('site:', CAST(o_custkey AS STRING)) WHEN o_custkey % 3 = 1 THEN 'someone' END AS seller_handle,
