@@ -65,13 +65,43 @@ class Pieces:
             ends[at] = i
         self.width = len(codes) + 1
         step = sorted((a * self.width + k, b) for a, own in enumerate(nodes) for k, b in own.items())
-        self.step_key = np.array([s[0] for s in step], np.int64)
-        self.step_to = np.array([s[1] for s in step], np.int64)
+        self._hashed(np.array([s[0] for s in step], np.int64), np.array([s[1] for s in step], np.int64))
         self.end = np.array(ends, np.int64)
         self.code = np.zeros(0x110000, np.int32)
         self.code[list(codes)] = list(codes.values())
         self.fallback = -temperature * np.log(n)
 
+    def _hashed(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """The trie's steps as a hash table with linear probing, at most a quarter full."""
+        bits = int(4 * len(keys) + 1).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot_key, self.slot_to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        slots = self._slot(keys)
+        for k, t, at in zip(keys.tolist(), to.tolist(), slots.tolist(), strict=True):
+            while self.slot_key[at] >= 0:
+                at = (at + 1) & self.mask
+            self.slot_key[at], self.slot_to[at] = k, t
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(_ODD)) >> self.shift).astype(np.int64)
+
+    def step(self, keys: np.ndarray) -> np.ndarray:
+        """The node that each step (node * width + character) leads to, -1 where there is none."""
+        slot = self._slot(keys)
+        held = self.slot_key[slot]
+        hit = held == keys
+        out = np.where(hit, self.slot_to[slot], -1)
+        todo = np.flatnonzero(~hit & (held >= 0))
+        at = slot[todo]
+        while len(todo):
+            at = (at + 1) & self.mask
+            held = self.slot_key[at]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.slot_to[at[hit]]
+            more = ~hit & (held >= 0)
+            todo, at = todo[more], at[more]
+        return out
+
     def lattice(self, segments: list[str]) -> "Lattice":
         return Lattice(self, segments)
 
@@ -95,11 +125,9 @@ class Lattice:
         at, where, k = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
         single = np.zeros(len(chars), bool)
         while len(at):
-            c = code[at + k]
-            key = where * own.width + c
-            j = np.minimum(np.searchsorted(own.step_key, key), len(own.step_key) - 1)
-            ok = (own.step_key[j] == key) & (c > 0)
-            at, where = at[ok], own.step_to[j[ok]]
+            to = own.step(where * own.width + code[at + k])
+            ok = to >= 0
+            at, where = at[ok], to[ok]
             k += 1
             full = own.end[where] >= 0
             start.append(at[full])
