@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from advertlake.llm import (
     embedding_dedup,
+    filter_audit,
     near_dedup,
     nearest_neighbours,
     piece_sampling,
@@ -68,6 +69,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
@@ -79,9 +84,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_filter_audit": op11_filter_audit,
     "pipeline": pipeline.run,
 }
 
+
 def _ref_sql(col: str) -> str:
     return rf"regexp_replace(regexp_replace(trim({col}), '(?i)&(amp|#38|#x26);', '&', 'g'), '(?s)#.*$', '')"
 
@@ -100,6 +107,34 @@ def _resolved_sql(base: str) -> str:
 
 #: DuckDB SQL over the same tables. The other queries learn, sample or search: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op11_filter_audit": r"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT d.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS e FROM doc d LEFT JOIN lab l USING (doc_id)),
+sets AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END ||
+    CASE WHEN e THEN 'E' ELSE '' END AS bad, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY ALL),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM f p, f q, f r, f s, f t
+           WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (SELECT o, step, substr(o, step, 1) AS x, substr(o, 1, step - 1) AS before FROM orders, range(1, 6) r(step)),
+-- the filter that removes a set of failures is the first of the order in it
+met AS (
+  SELECT z.part, s.o, s.step, s.x,
+    sum(n) FILTER (contains(bad, s.x) AND regexp_extract(s.before, '[' || bad || ']') = '')::BIGINT AS removed,
+    sum(n) FILTER (regexp_extract(s.before || s.x, '[' || bad || ']') = '')::BIGINT AS kept,
+    sum(n) FILTER (contains(bad, s.x) AND regexp_extract(s.before, '[' || bad || ']') <> '')::BIGINT AS redundant,
+    sum(n) FILTER (bad = s.x)::BIGINT AS unique_fails,
+    sum(good) FILTER (contains(bad, s.x) AND regexp_extract(s.before, '[' || bad || ']') = '')::BIGINT AS good_lost,
+    sum(toxic) FILTER (contains(bad, s.x) AND regexp_extract(s.before, '[' || bad || ']') = '')::BIGINT AS toxic_lost
+  FROM (SELECT part, CASE WHEN bad = '' THEN '0' ELSE bad END AS bad, n, good, toxic FROM sets) z, steps s GROUP BY z.part, s.o, s.step, s.x),
+fair AS (SELECT part, x, sum(removed)::BIGINT AS shapley FROM met GROUP BY part, x)
+SELECT m.part, m.o AS filter_order, m.step::INTEGER AS step, coalesce(m.kept, 0) AS kept, coalesce(m.removed, 0) AS removed, coalesce(m.redundant, 0) AS redundant,
+  coalesce(m.unique_fails, 0) AS unique_fails, coalesce(m.good_lost, 0) AS good_lost, coalesce(m.toxic_lost, 0) AS toxic_lost, coalesce(g.shapley, 0) AS shapley
+FROM met m JOIN fair g USING (part, x)
+""",
     "op3_source_mixing": r"""
 WITH RECURSIVE doc AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
