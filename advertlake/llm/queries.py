@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from advertlake.llm import (
     embedding_dedup,
     filter_audit,
+    hard_negatives,
     near_dedup,
     nearest_neighbours,
     piece_sampling,
@@ -73,6 +74,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline.run,
 }
 
@@ -107,6 +115,18 @@ def _resolved_sql(base: str) -> str:
 
 #: DuckDB SQL over the same tables. The other queries learn, sample or search: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+pos AS (
+  SELECT a.vec_id AS a, p.vec_id AS p, list_inner_product(a.q, p.q)::BIGINT AS ps FROM v a JOIN v p ON a.label = p.label AND a.vec_id <> p.vec_id
+  WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY ps DESC, p.vec_id) <= 5),
+neg AS (SELECT a.vec_id AS a, n.vec_id AS n, list_inner_product(a.q, n.q)::BIGINT AS ns FROM v a JOIN v n ON a.label <> n.label WHERE a.vec_id % 50 = 0)
+SELECT a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY a, p ORDER BY ns DESC, n)::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
+FROM pos JOIN neg USING (a) WHERE 50 * ps <= 100 * ns AND 100 * ns <= 95 * ps
+QUALIFY rank <= 3
+""",
     "op11_filter_audit": r"""
 WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
