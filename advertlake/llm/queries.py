@@ -16,6 +16,7 @@ from advertlake.llm import (
     piece_sampling,
     pipeline,
     quality_classifier,
+    secret_scan,
     sharding,
     source_mixing,
     substring_dedup,
@@ -74,6 +75,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_secret_scan": op12_secret_scan,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline.run,
 }
