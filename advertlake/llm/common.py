@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from hashlib import blake2b
 from itertools import count
 
 import numpy as np
@@ -104,9 +105,6 @@ def spread_join(rows: DataFrame, known: DataFrame, on: str, by, salts: int = 16,
     return left.join(right.hint("merge"), [on, "_salt"], "left").drop("_salt")
 
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply)."""
     x = x.astype(np.uint64, copy=True)
@@ -144,22 +142,34 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[size]
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (bytes) and 64-bit hash of each word [^\\x20\\x09-\\x0D]+ of UTF-8 bytes; time in proportion to the bytes."""
-    b = np.frombuffer(text, np.uint8)
-    space = np.ones(len(b) + 2, bool)
-    np.take(_SPACE, b, out=space[1:-1])
+class _Digests(dict):
+    """128 bits of BLAKE2b for each word; short ones are kept."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = blake2b(word, digest_size=16).digest()
+        if len(word) <= 64:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = got
+        return got
+
+
+_DIGESTS = _Digests()
+
+
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (bytes) of each word [^\\x20\\x09-\\x0D]+ of UTF-8 bytes."""
+    space = np.ones(len(text) + 2, bool)
+    np.take(_SPACE, np.frombuffer(text, np.uint8), out=space[1:-1])
     edge = np.flatnonzero(space[1:] != space[:-1])
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return start, end, np.zeros(0, np.uint64)
-    up, down = powers(len(b) + 1)
-    v = b.astype(np.uint64)
-    v += np.uint64(1)
-    v *= up[: len(b)]
-    s = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(v, out=s[1:])
-    return start, end, mix((s[end] - s[start]) * down[start] ^ ((end - start).astype(np.uint64) * _MULT))
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, the halves of a cryptographic digest: unlike polynomials modulo 2**64, they tell words apart that are
+    built to collide."""
+    both = np.frombuffer(b"".join(map(_DIGESTS.__getitem__, text.split())), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -40,12 +40,23 @@ def batches(docs: DataFrame, least_bytes: int = 4 << 20) -> tuple[int, np.ndarra
     return n, np.array(ids, np.int64)
 
 
-def batch_of(splits: np.ndarray, col: Column) -> Column:
+def batch_of(splits: np.ndarray, col: Column, mark: Column | None = None) -> Column:
+    """The batch of an id. With a mark (a 64-bit hash), the rows of an id that fills several batches are dealt over them by ranges of it: batches then
+    follow the order of (id, mark)."""
+
     @F.pandas_udf("int")
     def find(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(splits, ids.to_numpy(), side="right").astype(np.int32))
 
-    return find(col) if len(splits) else F.lit(0)
+    @F.pandas_udf("int")
+    def find_both(ids: pd.Series, marks: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(splits, ids.to_numpy(), side=s) for s in ("left", "right"))
+        share = ((marks.to_numpy() >> 11) + (1 << 52)) / float(1 << 53)
+        return pd.Series((low + (share * (high - low + 1)).astype(np.int64)).astype(np.int32))
+
+    if not len(splits):
+        return F.lit(0)
+    return find(col) if mark is None else find_both(col, mark)
 
 
 def table_of(rows: Iterator[pa.RecordBatch]) -> pa.Table | None:

@@ -46,7 +46,7 @@ _FP = np.uint64((1 << 40) - 1)
 
 def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a text, sorted, and how often each occurs."""
-    h = word_hashes((text or "").encode())[2]
+    h = word_hashes((text or "").encode())[0]
     if not len(h):
         return h, np.zeros(0, np.int64)
     return np.unique(window_hashes(h, min(size, len(h))), return_counts=True)
@@ -58,18 +58,27 @@ def weights(tf: np.ndarray, q: np.ndarray, n_docs: int) -> np.ndarray:
     return (tf * (1 + IDF_SHARE * np.clip(1 - q / _STEP / whole, 0, 1))).astype(np.float32)
 
 
-def band_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """ICWS: for each of BANDS * ROWS functions the shingle with the least ln(a) and its level t; a key for each band."""
-    x = h[None, :] * _ODD[:, None]
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    r = _GAMMA[(x >> np.uint64(48)).astype(np.uint16)]
-    log_c = _LOG_GAMMA[(x >> np.uint64(32)).astype(np.uint16)]
-    beta = (x >> np.uint64(16)).astype(np.uint16).astype(np.float32) * np.float32(2**-16)
-    t = np.floor(np.log(w)[None, :] / r + beta)
-    pick = np.argmin(log_c - r * (t - beta + 1), axis=1)
+def band_keys(h: np.ndarray, w: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
+    """ICWS: for each of BANDS * ROWS functions the shingle with the least ln(a) and its level t; a key for each band. Long texts go through in slices."""
+    least = np.full(len(_ODD), np.inf, np.float32)
+    pick, level = np.zeros(len(_ODD), np.uint64), np.zeros(len(_ODD), np.int64)
     k = np.arange(len(_ODD))
-    drawn = mix(h[pick] + t[k, pick].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for lo in range(0, len(h), at_once):
+        own = h[lo : lo + at_once]
+        x = own[None, :] * _ODD[:, None]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        r = _GAMMA[(x >> np.uint64(48)).astype(np.uint16)]
+        log_c = _LOG_GAMMA[(x >> np.uint64(32)).astype(np.uint16)]
+        beta = (x >> np.uint64(16)).astype(np.uint16).astype(np.float32) * np.float32(2**-16)
+        t = np.floor(np.log(w[lo : lo + at_once])[None, :] / r + beta)
+        log_a = log_c - r * (t - beta + 1)
+        at = np.argmin(log_a, axis=1)
+        better = log_a[k, at] < least
+        least = np.where(better, log_a[k, at], least)
+        pick = np.where(better, own[at], pick)
+        level = np.where(better, t[k, at].astype(np.int64), level)
+    drawn = mix(pick + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     key = np.zeros(BANDS, np.uint64)
     for j in range(ROWS):
         key = mix(key * np.uint64(31) + drawn[j::ROWS])

@@ -20,31 +20,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from advertlake.llm.common import mix, window_hashes, word_hashes, written
+from advertlake.llm.common import mix, window_hashes, word_hashes, word_places, written
 from advertlake.llm.exchange import batch_of, batches, row_id, split_by_bucket, table_of
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
-_OTHER = np.uint64(0x2545F4914F6CDD1D)
 
 
 class Batch:
-    """The windows of the documents of one batch, in the order of (doc_id, text)."""
+    """The windows of the documents of one batch, in the order of (doc_id, mark, text)."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], window: int, buckets: int):
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or ""))
+    def __init__(self, ids: list[int], marks: list[int], texts: list[str | None], window: int, buckets: int):
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], marks[i], texts[i] or ""))
         self.raw = [(texts[i] or "").encode() for i in self.order]
         self.window, self.block, self.buckets = window, window // 2, buckets
         self.spans, probes, aligned, wide, more, self.places = [], [], [], [], [], []
         for k, raw in enumerate(self.raw):
-            start, end, h = word_hashes(raw)
-            self.spans.append((start, end))
-            if len(h) < window:
+            self.spans.append(word_places(raw))
+            if len(self.spans[-1][0]) < window:
                 continue
+            h, other = word_hashes(raw)
             run = window_hashes(h, self.block)
             probes.append(run)
             aligned.append(np.arange(len(run)) % self.block == 0)
             wide.append(window_hashes(h, window))
-            more.append((window_hashes(mix(h ^ _OTHER), window) >> np.uint64(32)).astype(np.uint32))
+            more.append((window_hashes(other, window) >> np.uint64(32)).astype(np.uint32))
             self.places.append((k, len(run), len(wide[-1])))
         none = np.zeros(0, np.uint64)
         self.probe = np.concatenate(probes) if probes else none
@@ -220,9 +219,9 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     n, splits = batches(docs)
     other = [c for c in docs.columns if c != "text"]
     names = {c: f"c{i}" for i, c in enumerate(other)}
-    base = docs.select(row_id().alias("id"), F.col("text").alias("text"), *[F.col(c).alias(names[c]) for c in other])
-    base = base.withColumn("g", batch_of(splits, F.col("id")))
-    lean = base.select("g", "id", "text")
+    base = docs.select(row_id().alias("id"), F.xxhash64("text").alias("mark"), F.col("text").alias("text"), *[F.col(c).alias(names[c]) for c in other])
+    base = base.withColumn("g", batch_of(splits, F.col("id"), F.col("mark")))
+    lean = base.select("g", "id", "mark", "text")
 
     def loaded(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, dict, dict]]:
         t = table_of(rows)
@@ -238,12 +237,12 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def send_probes(rows):
         for g, t, _, _ in loaded(rows):
-            b = Batch(t["id"].to_pylist(), t["text"].to_pylist(), window, n)
+            b = Batch(t["id"].to_pylist(), t["mark"].to_pylist(), t["text"].to_pylist(), window, n)
             yield _packed([(g, k, data) for k, data in b.probe_rows()])
 
     def send_windows(rows):
         for g, t, answers, _ in loaded(rows):
-            b = Batch(t["id"].to_pylist(), t["text"].to_pylist(), window, n)
+            b = Batch(t["id"].to_pylist(), t["mark"].to_pylist(), t["text"].to_pylist(), window, n)
             yield _packed([(g, k, data) for k, data in b.wide_rows(answers)])
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -251,7 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     def cut(rows):
         for _, t, answers, earlier in loaded(rows):
             texts = t["text"].to_pylist()
-            b = Batch(t["id"].to_pylist(), texts, window, n)
+            b = Batch(t["id"].to_pylist(), t["mark"].to_pylist(), texts, window, n)
             got = b.cut(b.repeated(answers, earlier))
             own = t.take(pa.array([x[0] for x in got], pa.int64()))
             left = pa.array([texts[x[0]] if x[3] is None else x[3] for x in got], pa.string())

@@ -78,3 +78,10 @@ def test_buckets_of_several_tiles(spark, edits):
     wrong = [d for d in want if got[d] != want[d]]
     assert pairs > 500 and len(wrong) <= 0.01 * len(rows), (len(wrong), pairs)
     assert all(got[d] == want[d] for d in want if d >= 1000)
+
+
+def test_long_texts_are_signed_in_slices():
+    rng = np.random.default_rng(4)
+    h, w = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)), None
+    w = rng.uniform(1, 9, len(h)).astype(np.float32)
+    assert (near_dedup.band_keys(h, w, 1 << 20) == near_dedup.band_keys(h, w, 700)).all()
