@@ -84,4 +84,4 @@ def test_long_texts_are_signed_in_slices():
     rng = np.random.default_rng(4)
     h, w = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)), None
     w = rng.uniform(1, 9, len(h)).astype(np.float32)
-    assert (near_dedup.band_keys(h, w, 1 << 20) == near_dedup.band_keys(h, w, 700)).all()
+    assert (N.band_keys(h, w, 1 << 20) == N.band_keys(h, w, 700)).all()
