@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from hashlib import blake2b
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -142,19 +142,36 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[size]
 
 
-class _Digests(dict):
-    """128 bits of BLAKE2b for each word; short ones are kept."""
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_PRIME = np.uint64((1 << 31) - 1)
+_LOW, _SLICE = np.uint64(31), 1 << 20
+#: Bases that generate the whole group modulo the prime, and a value of each byte, for two polynomial hashes that share nothing with those modulo 2**64.
+_GENERATORS = (7, 1_220_703_125)
+_BYTES = np.random.default_rng(31).integers(1, (1 << 31) - 1, (2, 256)).astype(np.uint64)
+_PRIME_TABLES: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        got = blake2b(word, digest_size=16).digest()
-        if len(word) <= 64:
-            if len(self) >= 300_000:
-                self.clear()
-            self[word] = got
-        return got
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & _PRIME) + (x >> _LOW)
+    x = (x & _PRIME) + (x >> _LOW)
+    return np.where(x >= _PRIME, x - _PRIME, x)
 
-_DIGESTS = _Digests()
+
+def _prime_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo the prime, at least n of each, by doubling."""
+    size = 1 << max(10, int(n).bit_length())
+    if (base, size) not in _PRIME_TABLES:
+        both = []
+        for b in (base, pow(base, -1, int(_PRIME))):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, _folded(p * np.uint64(pow(b, len(p), int(_PRIME))))])
+            both.append(p)
+        if len(_PRIME_TABLES) > 8:
+            _PRIME_TABLES.clear()
+        _PRIME_TABLES[base, size] = (both[0], both[1])
+    return _PRIME_TABLES[base, size]
 
 
 def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +182,54 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word, the halves of a cryptographic digest: unlike polynomials modulo 2**64, they tell words apart that are
-    built to collide."""
-    both = np.frombuffer(b"".join(map(_DIGESTS.__getitem__, text.split())), np.uint64).reshape(-1, 2)
-    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+def word_hashes(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per text: start and end (bytes) and two 64-bit hashes of its words. The second hash comes from two polynomials modulo a prime, the first from these
+    and one modulo 2**64, so words that are built to collide in the one do not in the other. Texts are hashed about a MB at a time, short ones
+    together, long ones in slices (a longer word as a whole)."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > _SLICE:
+            yield from _hashes_of_all(held)
+            held, size = [], 0
+        held.append(text)
+        size += len(text) + 1
+    yield from _hashes_of_all(held)
+
+
+def _hashes_of_all(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    whole = b" ".join(texts)
+    b, (start, end) = np.frombuffer(whole, np.uint8), word_places(whole)
+    cuts = [0, *(np.flatnonzero(np.diff(start // _SLICE)) + 1).tolist(), len(start)]
+    parts = [_hashes_of(b, start[i:j], end[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
+    none = np.zeros(0, np.uint64)
+    first, second = (np.concatenate([none, *[p[k] for p in parts]]) for k in range(2))
+    offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    at = np.searchsorted(start, offsets)
+    for k in range(len(texts)):
+        own = slice(at[k], at[k + 1])
+        yield start[own] - offsets[k], end[own] - offsets[k], first[own], second[own]
+
+
+def _hashes_of(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    b = b[start[0] : end[-1]]
+    start, end = start - start[0], end - start[0]
+    s, both = np.zeros(len(b) + 1, np.uint64), []
+    for base, values in zip(_GENERATORS, _BYTES, strict=True):
+        up, down = _prime_powers(base, len(b) + 1)
+        v = values[b]
+        v *= up[: len(b)]
+        high = v >> _LOW
+        v &= _PRIME
+        v += high
+        np.cumsum(v, out=s[1:])
+        both.append(_folded(_folded(s[end] - s[start]) * down[start]))
+    second = mix(both[0] | both[1] << _LOW) + (end - start).astype(np.uint64) * _ODD
+    up, down = powers(len(b) + 1)
+    v = b.astype(np.uint64)
+    v += np.uint64(1)
+    v *= up[: len(b)]
+    np.cumsum(v, out=s[1:])
+    return mix((s[end] - s[start]) * down[start] ^ second), mix(second)
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -44,12 +44,10 @@ _ODD = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) +
 _FP = np.uint64((1 << 40) - 1)
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of a text, sorted, and how often each occurs."""
-    h = word_hashes((text or "").encode())[0]
-    if not len(h):
-        return h, np.zeros(0, np.int64)
-    return np.unique(window_hashes(h, min(size, len(h))), return_counts=True)
+def shingles(texts: list[str | None], size: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per text its distinct shingle hashes, sorted, and how often each occurs."""
+    for _, _, h, _ in word_hashes((t or "").encode() for t in texts):
+        yield np.unique(window_hashes(h, min(size, len(h))), return_counts=True) if len(h) else (h, np.zeros(0, np.int64))
 
 
 def weights(tf: np.ndarray, q: np.ndarray, n_docs: int) -> np.ndarray:
@@ -91,12 +89,12 @@ class _Batch:
     def __init__(self, docs: pa.Table, copies: dict[int, int], buckets: int):
         self.nodes, self.ids, self.parts, self.tf, self.times = [], [], [], [], []
         self.buckets = buckets
-        seen = set()
+        seen, own = set(), []
         for i, node, text in zip(docs["id"].to_pylist(), docs["node"].to_pylist(), docs["text"].to_pylist(), strict=True):
-            if node in seen or not (m := copies.get(node, 1)):
-                continue
-            seen.add(node)
-            h, tf = shingles(text)
+            if node not in seen and (m := copies.get(node, 1)):
+                seen.add(node)
+                own.append((i, node, m, text))
+        for (i, node, m, _), (h, tf) in zip(own, shingles([x[3] for x in own]), strict=True):
             if len(h):
                 self.nodes.append(node)
                 self.ids.append(i)
@@ -358,8 +356,7 @@ def _verify(unit: DataFrame, payload: DataFrame, n_docs: int, threshold: float)
             if len(own) < 2 or not left:
                 return []
             hs, ws = [], []
-            for x in own:
-                h, tf = shingles(x["text"])
+            for x, (h, tf) in zip(own, shingles([x["text"] for x in own]), strict=True):
                 hs.append(h)
                 ws.append(weights(tf, np.frombuffer(x["q"], np.uint8), n_docs))
             node, band = [x["node"] for x in own], own[0]["band"]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from advertlake.llm.common import mix, window_hashes, word_hashes, word_places, written
+from advertlake.llm.common import mix, window_hashes, word_hashes, written
 from advertlake.llm.exchange import batch_of, batches, row_id, split_by_bucket, table_of
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -34,11 +34,10 @@ class Batch:
         self.raw = [(texts[i] or "").encode() for i in self.order]
         self.window, self.block, self.buckets = window, window // 2, buckets
         self.spans, probes, aligned, wide, more, self.places = [], [], [], [], [], []
-        for k, raw in enumerate(self.raw):
-            self.spans.append(word_places(raw))
-            if len(self.spans[-1][0]) < window:
+        for k, (start, end, h, other) in enumerate(word_hashes(self.raw)):
+            self.spans.append((start, end))
+            if len(h) < window:
                 continue
-            h, other = word_hashes(raw)
             run = window_hashes(h, self.block)
             probes.append(run)
             aligned.append(np.arange(len(run)) % self.block == 0)

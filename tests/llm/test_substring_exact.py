@@ -21,21 +21,25 @@ def _thue_morse(n):
 @pytest.mark.parametrize("n", [1024, 2048, 4096])
 def test_words_built_to_collide(spark, n):
     a, b = _thue_morse(n)
-    first, second = (common.word_hashes(f"{w} x".encode()) for w in (a, b))
-    assert first[0][0] != second[0][0] and first[1][0] != second[1][0] and first[0][1] == second[0][1]
+    first, second = common.word_hashes([f"{w} x".encode() for w in (a, b)])
+    assert first[2][0] != second[2][0] and first[3][0] != second[3][0] and first[2][1] == second[2][1]
     shared = " ".join(f"w{i}" for i in range(19))
     docs = spark.createDataFrame([(1, f"{shared} {a}"), (2, f"{shared} {b}"), (3, f"{shared} {a}")], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in substring_dedup.digest(docs).collect()} == {1: 0, 2: 0, 3: 20}
 
 
-def test_places_and_hashes_agree():
+def test_words_are_those_of_the_pattern(monkeypatch):
     rng = random.Random(0)
-    for _ in range(200):
-        text = "".join(rng.choices("ab \t\n\x0b\x0c\r\x1c\x85\xa0é　", k=rng.randrange(40)))
-        words = WORD.findall(text)
-        start, end = common.word_places(text.encode())
-        assert [text.encode()[a:z].decode() for a, z in zip(start, end, strict=True)] == words
-        assert len(common.word_hashes(text.encode())[0]) == len(words)
+    texts = ["".join(rng.choices("ab \t\n\x0b\x0c\r\x1c\x85\xa0é　", k=rng.randrange(40))) for _ in range(300)]
+    texts[7] = "ab " * 40 + "x" * 90
+    known: dict[str, tuple] = {}
+    for size in (1 << 20, 64):  # many texts at a time, and long ones in slices
+        monkeypatch.setattr(common, "_SLICE", size)
+        for text, (start, end, one, two) in zip(texts, common.word_hashes(t.encode() for t in texts), strict=True):
+            words = WORD.findall(text)
+            assert [text.encode()[a:z].decode() for a, z in zip(start, end, strict=True)] == words
+            assert all(known.setdefault(w, h) == h for w, h in zip(words, zip(one, two, strict=True), strict=True))
+    assert len({h for h, _ in known.values()}) == len({h for _, h in known.values()}) == len(known)
 
 
 @pytest.mark.parametrize("share", [1.0, 0.4])
