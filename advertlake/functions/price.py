@@ -1,7 +1,7 @@
 """Prices and templated captions of adverts as columns.
 
-A text is cut into tokens (numbers with their scale, currencies, the marks that may stand between the two, and the rest); a number's currency is the
-one that follows it, else the one before it. All steps are array functions over the tokens of a row.
+A text is cut at its numbers; a number's currency is the one that follows it, else the one before it, with no more than a few marks between them. All
+steps are array functions over the numbers of a row and look at neighbours only.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from advertlake.functions.numbers import let
 from advertlake.functions.rules import placeholder_amount
-from advertlake.functions.text import normalize_phone, tr_lower
+from advertlake.functions.text import mentions, normalize_phone, tr_lower
 
 # fixed values: spellings of currencies (Turkish copula endings may follow the first two), and the least amount in lira that can be a car's price
 _ENDING = r"(?:(?![a-z])|(?=[dt][ıiuü]r(?![a-zçğıöşü])))"
@@ -22,10 +22,9 @@ CURRENCIES = [
     ("USD", r"(?<![a-z])(?:usd|dolar)(?![a-z])|\$"),
 ]
 TRY_CAR_LEAST = 50_000
-_NUMBER = r"(?<![\d,])(?:(?<=\p{L}\.)|(?<!\.))(?>\d(?:[\d.,]*\d)?)(?>\s*(?:bin|k)(?![a-zçğıöşü]))?"
-_MARKS = r"(?:\.-)?[\s()\[\]:=/–-]+|\.-"
+_NUMBER = r"(?iu)(?<![\d,])(?:(?<=\p{L}\.)|(?<!\.))(?>\d(?:[\d.,]*\d)?)(?>\s*(?:bin|k)(?![a-zçğıöşü]))?"
+_MARKS = r"(?:\.-)?[\s()\[\]:=/–-]*"
 _ANY = "|".join(f"(?:{p})" for _, p in CURRENCIES)
-_TOKEN = rf"(?iu){_NUMBER}|{_ANY}|{_MARKS}|."
 
 
 def joined_thousands(text: Column) -> Column:
@@ -52,60 +51,45 @@ def amount_of(token: Column) -> Column:
     return F.when(scaled, n * 1000).otherwise(n)
 
 
-def currency_of(token: Column) -> Column:
-    out = None
-    for code, pattern in CURRENCIES:
-        hit = token.rlike(f"(?iu)^(?:{pattern})$")
-        out = F.when(hit, code) if out is None else out.when(hit, code)
-    return out
-
-
-def price_tokens(text: Column) -> Column:
-    """Array of (amount, currency, tight, yearish) of a text's numbers in order; ordinals ("1. el", "2. sahibinden") are left out. Of two numbers
-    on both sides of one currency it belongs to the one without a gap, else to the one that is no year, else to both."""
-    return let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda parts: let(_read(parts), _resolved))
-
-
-def _read(parts: Column) -> Column:
-    """The numbers among the tokens, each with the currency beside it and that currency's place."""
-
-    def at(i: Column) -> Column:
-        return F.coalesce(F.get(parts, i), F.lit(""))
-
-    def is_mark(t: Column) -> Column:
-        return t.rlike(rf"^(?:{_MARKS})$")
-
-    def one(i: Column) -> Column:
-        def beside(v: Column) -> Column:
-            t = v["t"]
-            stuck = t.rlike(r"(?iu)^(?:\d{4,}|\d{1,3}[.,]\d{3}).*(?:bin|k)$")  # "1500 bin": the scale is no scale, and no currency follows
-            after = F.when(~stuck, currency_of(v["a"]))
-            before = currency_of(v["b"])
-            place = F.when(after.isNotNull(), v["pa"]).when(before.isNotNull(), v["pb"])
-            tight = F.when(after.isNotNull(), v["pa"] == i + 1).when(before.isNotNull(), v["pb"] == i - 1).otherwise(False)
-            return F.struct(amount_of(t).alias("amount"), F.coalesce(after, before).alias("currency"), tight.alias("tight"), t.rlike(r"^(19[89]\d|20[0-3]\d)$").alias("yearish"), place.alias("place"))
-
-        pa, pb = F.when(is_mark(at(i + 1)), i + 2).otherwise(i + 1), F.when(is_mark(at(i - 1)), i - 2).otherwise(i - 1)
-        return let(F.struct(at(i).alias("t"), at(pa).alias("a"), at(pb).alias("b"), pa.alias("pa"), pb.alias("pb")), beside)
-
-    def is_number(i: Column) -> Column:
-        rest = F.array_join(F.slice(parts, i + 2, 8), "")
-        return at(i).rlike(r"^\d") & ~rest.rlike(r"(?iu)^\.?\s*(?:el\b|sahib)")
-
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), is_number)
-    return F.filter(F.transform(places, one), lambda t: t["amount"] > 0)
-
-
-def _resolved(found: Column) -> Column:
-    def one(t: Column) -> Column:
-        def judged(rivals: Column) -> Column:
-            tight, plain = F.exists(rivals, lambda o: o["tight"]), F.exists(rivals, lambda o: ~o["yearish"])
-            loses = (F.size(rivals) > 1) & F.when(tight, ~t["tight"]).when(plain, t["yearish"]).otherwise(False)
-            return F.struct(t["amount"].alias("amount"), F.when(~loses, t["currency"]).alias("currency"), (t["tight"] & ~loses).alias("tight"), t["yearish"].alias("yearish"))
+def _currency_at(text: Column, pattern: str) -> Column:
+    """The currency whose spelling the pattern has in place of {}."""
+    return F.coalesce(*[F.when(text.rlike("(?iu)" + pattern.replace("{}", f"(?:{p})")), code) for code, p in CURRENCIES])
+
+
+def price_tokens(text: Column, reach: int = 14) -> Column:
+    """Array of (amount, currency, tight, yearish, box, before, after) of a text's numbers in order, the last two being the `reach` characters around it;
+    ordinals ("1. el", "2. sahibinden") are left out. Of two numbers on both sides of one currency it belongs to the one without a gap, else to
+    the one that is no year, else to both. box: the form TRY5,200 of a sales box."""
+
+    def read(m: Column) -> Column:
+        stuck = m["hit"].rlike(r"(?iu)^(?:\d{4,}|\d{1,3}[.,]\d{3}).*(?:bin|k)$")  # "1500 bin": the scale is no scale, and no currency follows
+        follows = F.when(~stuck, _currency_at(m["right"], f"^{_MARKS}{{}}"))
+        leads = _currency_at(m["left"], f"{{}}{_MARKS}$")
+        tight = F.when(follows.isNotNull(), m["right"].rlike(f"(?iu)^(?:{_ANY})")).when(leads.isNotNull(), m["left"].rlike(f"(?iu)(?:{_ANY})$")).otherwise(False)
+        # the text up to the next number is one currency with its marks: it may be that number's, too
+        passes = follows.isNotNull() & m["right"].rlike(f"(?iu)^{_MARKS}(?:{_ANY}){_MARKS}$")
+        keep = ~F.concat(F.left(m["right"], F.lit(12)), F.lit(" ")).rlike(r"(?iu)^\.?\s*(?:el\b|sahib)")
+        return F.struct(
+            amount_of(m["hit"]).alias("amount"), F.coalesce(follows, leads).alias("currency"), tight.alias("tight"), m["hit"].rlike(r"^(19[89]\d|20[0-3]\d)$").alias("yearish"),
+            (follows.isNull() & m["left"].rlike(r"(?<![A-Za-z])TRY$")).alias("box"), m["before"].alias("before"), m["after"].alias("after"),
+            follows.isNotNull().alias("follows"), passes.alias("passes"), keep.alias("keep"),
+        )
+
+    def resolved(found: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            before, after = F.get(found, i - 1), F.get(found, i + 1)
+            with_after = t["passes"] & after["currency"].isNotNull() & ~after["follows"] & after["keep"] & (after["amount"] > 0)
+            with_before = before["passes"] & t["currency"].isNotNull() & ~t["follows"] & before["keep"] & (before["amount"] > 0)
+            rival = F.when(F.coalesce(with_after, F.lit(False)), after).when(F.coalesce(with_before, F.lit(False)), before)
+            loses = F.coalesce(F.when(t["tight"] | rival["tight"], ~t["tight"]).when(~t["yearish"] | ~rival["yearish"], t["yearish"]), F.lit(False))
+            return F.struct(
+                t["amount"].alias("amount"), F.when(~loses, t["currency"]).alias("currency"), (t["tight"] & ~loses).alias("tight"), t["yearish"].alias("yearish"), (t["box"] & ~loses).alias("box"),
+                t["before"].alias("before"), t["after"].alias("after"), t["keep"].alias("keep"),
+            )
 
-        return let(F.filter(found, lambda o: o["place"] == t["place"]), judged)
+        return F.filter(F.transform(found, one), lambda t: t["keep"] & (t["amount"] > 0))
 
-    return F.transform(found, one)
+    return let(F.transform(mentions(text, _NUMBER, reach), read), resolved)
 
 
 def parse_price(text: Column) -> Column:

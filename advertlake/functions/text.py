@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from advertlake.functions.numbers import let
+
 # fixed values: a number as an advert gives it, any number that may be one, and an address of mail
 _PHONE = r"(?<![\d+])(?:(?:\+|00)?\s*90[\s.\-]*)?\(?0?(?:5\d\d|392)\)?[\s.\-]*\d{3}[\s.\-]*\d{2}[\s.\-]*\d{2}(?!\d)"
 _ANY_PHONE = r"(?<!\d)(?:\+|00)?\d(?:[\s.\-()]?\d){8,13}(?!\d)"
@@ -16,6 +18,32 @@ def tr_lower(text: Column) -> Column:
     return F.lower(F.translate(text, "İI", "iı"))
 
 
+def mentions(text: Column, pattern: str, reach: int) -> Column:
+    """Array of (hit, before, after, left, right) for each place of a pattern: the `reach` characters around it, and the text up to the neighbouring
+    places (its middle left out where it is long). A hit has at least one character, so a bounded number of neighbours fills the reach: the
+    work grows with the text, not with the square of its hits."""
+
+    def around(v: Column) -> Column:
+        def ends(part: Column) -> Column:
+            return F.when(F.length(part) > 4 * reach, F.concat(F.left(part, F.lit(2 * reach)), F.right(part, F.lit(2 * reach)))).otherwise(part)
+
+        # part 0, hit 0, part 1, hit 1, ..., part n, ''
+        pieces = F.flatten(F.transform(v["parts"], lambda p, i: F.array(ends(p), F.coalesce(F.get(v["hits"], i), F.lit("")))))
+
+        def each(w: Column) -> Column:
+            def one(hit: Column, k: Column) -> Column:
+                first = F.greatest(F.lit(0), 2 * (k - reach))
+                before = F.array_join(F.slice(w, first + 1, 2 * k + 1 - first), "")
+                after = F.array_join(F.slice(w, 2 * k + 3, F.lit(2 * reach)), "")
+                return F.struct(hit.alias("hit"), F.right(before, F.lit(reach)).alias("before"), F.left(after, F.lit(reach)).alias("after"), F.get(w, 2 * k).alias("left"), F.get(w, 2 * k + 2).alias("right"))
+
+            return F.transform(v["hits"], one)
+
+        return let(pieces, each)
+
+    return let(F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), around)
+
+
 def phones(text: Column) -> Column:
     """Distinct numbers of a text in order, 12 digits with the country code."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PHONE), F.lit(0))
