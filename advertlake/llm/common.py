@@ -144,7 +144,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64((1 << 31) - 1)
-_LOW, _SLICE = np.uint64(31), 1 << 20
+_LOW, _SLICE = np.uint64(31), 1 << 17
 #: Bases that generate the whole group modulo the prime, and a value of each byte, for two polynomial hashes that share nothing with those modulo 2**64.
 _GENERATORS = (7, 1_220_703_125)
 _BYTES = np.random.default_rng(31).integers(1, (1 << 31) - 1, (2, 256)).astype(np.uint64)
@@ -160,7 +160,7 @@ def _folded(x: np.ndarray) -> np.ndarray:
 
 def _prime_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo the prime, at least n of each, by doubling."""
-    size = 1 << max(10, int(n).bit_length())
+    size = 1 << max(10, (n + 1).bit_length())
     if (base, size) not in _PRIME_TABLES:
         both = []
         for b in (base, pow(base, -1, int(_PRIME))):
@@ -168,7 +168,7 @@ def _prime_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             while len(p) < size:
                 p = np.concatenate([p, _folded(p * np.uint64(pow(b, len(p), int(_PRIME))))])
             both.append(p)
-        if len(_PRIME_TABLES) > 8:
+        if len(_PRIME_TABLES) > 4:
             _PRIME_TABLES.clear()
         _PRIME_TABLES[base, size] = (both[0], both[1])
     return _PRIME_TABLES[base, size]
@@ -184,8 +184,8 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per text: start and end (bytes) and two 64-bit hashes of its words. The second hash comes from two polynomials modulo a prime, the first from these
-    and one modulo 2**64, so words that are built to collide in the one do not in the other. Texts are hashed about a MB at a time, short ones
-    together, long ones in slices (a longer word as a whole)."""
+    and one modulo 2**64, so words that are built to collide in the one do not in the other. Texts are hashed 128 kB at a time, short ones
+    together, long ones in slices (a longer word as a whole), so that the tables of powers stay small."""
     held, size = [], 0
     for text in texts:
         if held and size + len(text) > _SLICE:
@@ -215,7 +215,7 @@ def _hashes_of(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     start, end = start - start[0], end - start[0]
     s, both = np.zeros(len(b) + 1, np.uint64), []
     for base, values in zip(_GENERATORS, _BYTES, strict=True):
-        up, down = _prime_powers(base, len(b) + 1)
+        up, down = _prime_powers(base, max(len(b), _SLICE))
         v = values[b]
         v *= up[: len(b)]
         high = v >> _LOW
@@ -224,7 +224,7 @@ def _hashes_of(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
         np.cumsum(v, out=s[1:])
         both.append(_folded(_folded(s[end] - s[start]) * down[start]))
     second = mix(both[0] | both[1] << _LOW) + (end - start).astype(np.uint64) * _ODD
-    up, down = powers(len(b) + 1)
+    up, down = powers(max(len(b), _SLICE))
     v = b.astype(np.uint64)
     v += np.uint64(1)
     v *= up[: len(b)]
