@@ -63,10 +63,10 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
         if done == max_rounds:
             raise RuntimeError(f"connected_components: still changing after {max_rounds} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         large = _with_minima(both, low, edges_now).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        low2 = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = (
             _with_minima(large, low2, edges_now)
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
@@ -85,24 +85,36 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
     return stars.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _with_minima(edges: DataFrame, low: DataFrame, n: int, salts: int = 16, small: int = 200_000) -> DataFrame:
-    """edges (a, b) join low (one row for each a), of at most n rows."""
+#: A key with more rows than this is joined by itself.
+HEAVY = 100_000
+
+
+def _with_minima(edges: DataFrame, low: DataFrame, n: int, heavy: int = HEAVY, small: int = 200_000) -> DataFrame:
+    """edges (a, b) join low (a, m, n: how many edges a has), of at most n rows."""
     if n <= small:
-        return edges.join(F.broadcast(low), "a")
-    left = edges.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-    right = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right.hint("merge"), ["a", "_salt"]).drop("_salt")
+        return edges.join(F.broadcast(low.drop("n")), "a")
+    low = written(low)
+    return _joined_apart(edges, low.drop("n"), "a", low.filter(F.col("n") > heavy).select("a"))
 
 
-def spread_join(rows: DataFrame, known: DataFrame, on: str, by, salts: int = 16, small: int = 200_000) -> DataFrame:
-    """rows left join known (one row for each value of `on`), where one value may hold a third of all rows. known is written and counted: up to
-    `small` rows are broadcast; of more, each is repeated `salts` times, and the rows are dealt over so many tasks by the number `by`."""
+def spread_join(rows: DataFrame, known: DataFrame, on: str, heavy: int = HEAVY, small: int = 200_000) -> DataFrame:
+    """rows left join known (one row for each value of `on`), where one value may hold a third of all rows. known is written and counted: up to `small`
+    rows are broadcast; of more, those of the values that more than `heavy` rows have (at most one in `heavy` rows) are broadcast, and the others are joined by
+    a shuffle, so no task gets more than a bounded number of rows of one value."""
     known = written(known)
     if known.count() <= small:
         return rows.join(F.broadcast(known), on, "left")
-    left = rows.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int"))
-    right = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right.hint("merge"), [on, "_salt"], "left").drop("_salt")
+    hot = written(rows.groupBy(on).agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select(on))
+    return _joined_apart(rows, known, on, hot)
+
+
+def _joined_apart(rows: DataFrame, known: DataFrame, on: str, hot: DataFrame) -> DataFrame:
+    if hot.isEmpty():
+        return rows.join(known, on, "left")
+    hot = F.broadcast(hot.withColumnRenamed(on, "_hot"))
+    own = known.join(hot, known[on].eqNullSafe(hot["_hot"]), "left_semi")
+    light = rows.join(hot, rows[on].eqNullSafe(hot["_hot"]), "left_anti").join(known, on, "left")
+    return light.unionByName(rows.join(hot, rows[on].eqNullSafe(hot["_hot"]), "left_semi").join(F.broadcast(own), on, "left"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

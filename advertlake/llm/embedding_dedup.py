@@ -236,7 +236,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     else:
         known = known.withColumns({"n": F.lit(0), "component": F.col("rep")})
     known = known.select("key", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = spread_join(brief, known.filter("n_links > 0"), "key", F.xxhash64("id"))
+    out = spread_join(brief, known.filter("n_links > 0"), "key")
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept")

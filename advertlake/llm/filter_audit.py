@@ -48,7 +48,7 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("d")).agg(F.max(F.col("quality") == 1).alias("is_good"), F.max(F.col("toxic") == 1).alias("is_toxic"))
     first = lean.filter("d is not null").groupBy("key").agg(F.min("d").alias("d")).withColumn("first", F.lit(True))
-    rows = spread_join(lean, known, "d", F.xxhash64("key")).join(first, ["key", "d"], "left")
+    rows = spread_join(lean, known, "d").join(first, ["key", "d"], "left")
     again = F.col("d").isNotNull() & F.col("first").isNull()
 
     def total(of: str) -> Column:

@@ -228,7 +228,7 @@ def _judged(docs: DataFrame, threshold: float) -> tuple[int, DataFrame]:
     n_docs = known.count()
     same = written(texts.filter("m > 1").select("node", F.col("head.id").alias("first"), "m").withColumn("to", g("first")))
     base = base.filter("node is not null").withColumn("g", g("id"))
-    notes = spread_join(known.filter("node is not null").select("id", "node", "row"), same, "node", F.col("row")).filter("m is not null").withColumn("g", g("id"))
+    notes = spread_join(known.filter("node is not null").select("id", "node", "row"), same, "node").filter("m is not null").withColumn("g", g("id"))
     notes = notes.select("g", "node", F.when(F.col("g") == F.col("to"), F.col("m")).otherwise(0).alias("m"))
 
     def dealt(*answers: DataFrame) -> DataFrame:
@@ -296,9 +296,9 @@ def _judged(docs: DataFrame, threshold: float) -> tuple[int, DataFrame]:
     group = connected_components(links)
     linked = texts.select("node", "head").join(group, "node")
     named = linked.groupBy("component").agg(F.min("head").alias("best"))
-    best = spread_join(group, named, "component", F.col("node")).select("node", "best")
+    best = spread_join(group, named, "component").select("node", "best")
     marked = texts.join(best, "node", "left").filter("m > 1 or best is not null").select("node", "m", F.coalesce("best", "head").alias("best"))
-    out = spread_join(known.select("id", "node", "row"), marked, "node", F.col("row"))
+    out = spread_join(known.select("id", "node", "row"), marked, "node")
     alone = F.col("best").isNull()
     kept = alone | (F.col("row") == F.col("best.row"))
     return salt, out.select(

@@ -109,7 +109,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     own = p.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
     known = host_rules(own.select("host").unionByName(named.select("host")), rules)
     known = written(known)
-    ruled = spread_join(named, known, "host", F.col("node")).select("node", best_rule(F.col("rules"), F.col("path")).alias("r")).filter("r is not null")
+    ruled = spread_join(named, known, "host").select("node", best_rule(F.col("rules"), F.col("path")).alias("r")).filter("r is not null")
     verdicts = (
         ruled.join(group, "node")
         .groupBy("component")
@@ -117,7 +117,6 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         .filter("blocked and not allowed")
     )
     alias = group.join(verdicts, "component").select("node", F.lit("block").alias("alias_verdict"))
-    by = F.xxhash64("page_id", "path")
-    out = spread_join(own, known, "host", by).select("page_id", "host", "path", best_rule(F.col("rules"), F.col("path")).alias("r"), "node")
-    out = spread_join(out, alias, "node", by)
+    out = spread_join(own, known, "host").select("page_id", "host", "path", best_rule(F.col("rules"), F.col("path")).alias("r"), "node")
+    out = spread_join(out, alias, "node")
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "alias_verdict", F.lit("allow")).alias("verdict"))
