@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from advertlake.llm.common import mix
 
 _MARK = "▁"
+#: Characters of segments whose lattice a worker keeps.
+KEPT = 400_000
 _SEGMENT = re.compile(" +[^ ]*")
 _ODD = 0x9E3779B97F4A7C15
 
@@ -36,6 +38,7 @@ class Pieces:
     def __init__(self, path: str, temperature: float):
         import sentencepiece
 
+        self.path = path
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.bytes_of: list[bytes] = [b""] * n
@@ -70,6 +73,8 @@ class Pieces:
         self.code = np.zeros(0x110000, np.int32)
         self.code[list(codes)] = list(codes.values())
         self.fallback = -temperature * np.log(n)
+        self.kept: dict[str, int] = {}
+        self.kept_lattice: Lattice | None = None
 
     def _hashed(self, keys: np.ndarray, to: np.ndarray) -> None:
         """The trie's steps as a hash table with linear probing, at most a quarter full."""
@@ -110,79 +115,98 @@ class Pieces:
 
 
 class Lattice:
-    """All edges of the lattices of some segments; node numbers run through all segments, size + 1 for each."""
+    """All edges of the lattices of some segments. Nodes are numbered by depth and then segment (the longest first), so one sort by the end node brings
+    the edges in the order of the forward pass; edges that end at node i are ptr[i] to ptr[i + 1]."""
 
     def __init__(self, own: Pieces, segments: list[str]):
-        size = np.fromiter(map(len, segments), np.int64, len(segments))
-        chars = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
-        seg = np.repeat(np.arange(len(segments)), size)
-        self.first = np.cumsum(size + 1) - size - 1
-        self.last = self.first + size
-        node = np.arange(len(chars)) + seg  # node before each character
-        code = own.code[chars]
-        stop = np.repeat(np.cumsum(size), size)
+        given = np.fromiter(map(len, segments), np.int64, len(segments))
+        longest = np.argsort(-given, kind="stable")
+        self.place = np.empty(len(segments), np.int64)
+        self.place[longest] = np.arange(len(segments))
+        size = given[longest]
+        deepest = int(size[0]) if len(size) else 0
+        # off[d] + place of the segment: its node at depth d
+        self.off = np.concatenate(([0], np.cumsum(np.searchsorted(-size, -np.arange(deepest + 1), side="right"))))
+        chars = np.frombuffer("".join([segments[i] for i in longest.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        code, stop = own.code[chars], np.repeat(np.cumsum(size), size).astype(np.int32)
+        begin_of = (stop - np.repeat(size, size)).astype(np.int32)
+        seg, depth = np.repeat(np.arange(len(size), dtype=np.int32), size), np.arange(len(chars), dtype=np.int32) - begin_of
         start, length, piece = [], [], []
-        at, where, k = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        at, where, k = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), np.int64), 0
         single = np.zeros(len(chars), bool)
         while len(at):
             to = own.step(where * own.width + code[at + k])
             ok = to >= 0
             at, where = at[ok], to[ok]
             k += 1
-            full = own.end[where] >= 0
+            found = own.end[where]
+            full = found >= 0
             start.append(at[full])
-            length.append(np.full(int(full.sum()), k))
-            piece.append(own.end[where[full]])
+            length.append(np.full(len(start[-1]), k, np.int32))
+            piece.append(found[full].astype(np.int32))
             if k == 1:
-                single[at[full]] = True
+                single[start[0]] = True
             going = at + k < stop[at]
             at, where = at[going], where[going]
-        bare = np.flatnonzero(~single)
+        bare = np.flatnonzero(~single).astype(np.int32)
         start.append(bare)
-        length.append(np.ones(len(bare), np.int64))
+        length.append(np.ones(len(bare), np.int32))
         piece.append(-chars[bare] - 1)  # characters without a piece: their bytes
         s, n, p = np.concatenate(start), np.concatenate(length), np.concatenate(piece)
-        w = np.where(p >= 0, own.weight[np.maximum(p, 0)], 0.0)
+        end = (self.off[depth[s] + n] + seg[s]).astype(np.int32)
+        order = np.argsort(end, kind="stable")
+        s, n, self.piece, end = s[order], n[order], p[order], end[order]
+        self.begin = (self.off[depth[s]] + seg[s]).astype(np.int32)
+        w = own.weight[np.maximum(self.piece, 0)]
         if len(bare):
-            b = -p[len(p) - len(bare) :] - 1
-            w[len(p) - len(bare) :] = own.fallback * (1 + (b > 0x7F) + (b > 0x7FF) + (b > 0xFFFF))
-        end = node[s] + n
-        depth = end - self.first[seg[s]]
-        order = np.lexsort((end, depth))
-        s, n, p, w, end, depth = s[order], n[order], p[order], w[order], end[order], depth[order]
-        begin = end - n
-        alpha = np.zeros(len(chars) + len(segments))
-        bounds = np.searchsorted(depth, np.arange(1, int(depth[-1]) + 2)) if len(depth) else []
-        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-            x, e = alpha[begin[a:z]] + w[a:z], end[a:z]
-            head = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1])))
+            none = np.flatnonzero(self.piece < 0)
+            c = -self.piece[none] - 1
+            w[none] = own.fallback * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF).astype(np.int64))
+        nodes = int(self.off[-1])
+        self.ptr = np.searchsorted(end, np.arange(nodes + 1)).astype(np.int32)
+        alpha, share = np.zeros(nodes), np.empty(len(w))
+        for d in range(1, deepest + 1):
+            a, z = self.ptr[self.off[d]], self.ptr[self.off[d + 1]]
+            head = self.ptr[self.off[d] : self.off[d + 1]] - a  # every node but the first has an edge: its character
+            many = np.diff(head, append=z - a)
+            x = alpha[self.begin[a:z]] + w[a:z]
             m = np.maximum.reduceat(x, head)
-            alpha[e[head]] = m + np.log(np.add.reduceat(np.exp(x - np.repeat(m, np.diff(head, append=len(x)))), head))
-        order = np.argsort(end, kind="stable")
-        self.piece, self.begin, end = p[order], begin[order], end[order]
-        share = np.exp(alpha[self.begin] + w[order] - alpha[end])
-        head = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
-        run = np.cumsum(share)
-        before = np.repeat(np.concatenate(([0.0], run[head[1:] - 1])), np.diff(head, append=len(end)))
-        self.upto = end + np.minimum(run - before, 1.0)
-        self.upto[np.append(head[1:] - 1, len(end) - 1)] = end[np.append(head[1:] - 1, len(end) - 1)] + 1.0
+            x = np.exp(x - np.repeat(m, many))
+            total = np.add.reduceat(x, head)
+            alpha[self.off[d] : self.off[d + 1]] = m + np.log(total)
+            share[a:z] = x / np.repeat(total, many)
+        # share of the edges of a node up to each, added up within the node, so that a draw does not depend on what else is in the lattice
+        self.upto = share
+        live, k = np.flatnonzero(np.diff(self.ptr) > 1), 1
+        while len(live):
+            e = self.ptr[live] + k
+            self.upto[e] += self.upto[e - 1]
+            k += 1
+            live = live[self.ptr[live + 1] - self.ptr[live] > k]
+        self.upto[self.ptr[self.off[1] + 1 :] - 1 if deepest else []] = 2.0
+        self.size = given
 
     def sample(self, which: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of the segments `which` with one seed each, behind each other, and their number per segment (negative piece: -char - 1)."""
-        node, goal = self.last[which].copy(), self.first[which]
-        live = np.arange(len(which))
+        place = self.place[which]
+        node, roots = self.off[self.size[which]] + place, int(self.off[1]) if len(self.off) > 1 else 0
+        live = np.flatnonzero(node >= roots)
         taken, who = [], []
         step = 0
         while len(live):
             u = (mix(seed[live] + np.uint64((step * _ODD) % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(self.upto, node[live] + u, side="right")
+            e = self.ptr[node[live]].astype(np.int64)
+            far = np.flatnonzero(self.upto[e] <= u)
+            while len(far):
+                e[far] += 1
+                far = far[self.upto[e[far]] <= u[far]]
             taken.append(e)
             who.append(live)
             node[live] = self.begin[e]
-            live = live[node[live] > goal[live]]
+            live = live[node[live] >= roots]
             step += 1
         if not taken:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(which), np.int64)
         e, w = np.concatenate(taken), np.concatenate(who)
         count = np.bincount(w, minlength=len(which))
         depth = np.repeat(np.arange(len(taken)), [len(t) for t in taken])
@@ -191,6 +215,29 @@ class Lattice:
         return out, count
 
 
+def _both(kept: Lattice | None, fresh: Lattice, which: np.ndarray, split: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """sample() of segments of which the first `split` are those of `kept`."""
+    if not split:
+        return fresh.sample(which, seeds)
+    n, parts = np.zeros(len(which), np.int64), []
+    for lattice, at in ((kept, np.flatnonzero(which < split)), (fresh, np.flatnonzero(which >= split))):
+        got, n[at] = lattice.sample(which[at] - (0 if lattice is kept else split), seeds[at])
+        parts.append((at, got))
+    first, out = np.cumsum(n) - n, np.empty(int(n.sum()), np.int64)
+    for at, got in parts:
+        own = n[at]
+        out[np.repeat(first[at], own) + np.arange(len(got)) - np.repeat(np.cumsum(own) - own, own)] = got
+    return out, n
+
+
+class _Numbers(dict):
+    """A number for each new key, in order."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 _LOADED: dict[tuple[str, float], Pieces] = {}
 
 
@@ -207,18 +254,26 @@ def pieces(vocabulary: str, temperature: float = 1.0) -> Pieces:
 
 
 def encode_block(own: Pieces, keys: list[int], texts: list[str], seed: int) -> list[np.ndarray]:
-    """Sampled piece ids of each text."""
-    index: dict[str, int] = {}
+    """Sampled piece ids of each text. Segments that are frequent in the worker's first block keep their lattice; that changes the work, not the draws."""
+    index, kept = _Numbers(own.kept), len(own.kept)
     which, seeds, counts = [], [], []
     for key, text in zip(keys, texts, strict=True):
         parts = _SEGMENT.findall(" " + text) if text else []
-        which.append(np.fromiter((index.setdefault(p, len(index)) for p in parts), np.int64, len(parts)))
+        which.append(np.fromiter(map(index.__getitem__, parts), np.int64, len(parts)))
         base = np.uint64((key * 0xD1342543DE82EF95 + seed) % (1 << 64))
         seeds.append(mix(mix(np.full(len(parts), base)) + np.arange(len(parts), dtype=np.uint64)))
         counts.append(len(parts))
-    if not index:
+    which, seeds = np.concatenate([np.zeros(0, np.int64), *which]), np.concatenate([np.zeros(0, np.uint64), *seeds])
+    if not len(which):
         return [np.zeros(0, np.int32) for _ in texts]
-    got, n = own.lattice(list(index)).sample(np.concatenate(which), np.concatenate(seeds))
+    segments = list(index)
+    if not kept:
+        often = np.flatnonzero(np.bincount(which) > 1)
+        often = often[np.cumsum([len(segments[i]) for i in often.tolist()]) <= KEPT] if len(often) else often
+        if len(often):
+            own.kept = {segments[i]: k for k, i in enumerate(often.tolist())}
+            own.kept_lattice = own.lattice(list(own.kept))
+    got, n = _both(own.kept_lattice if kept else None, own.lattice(segments[kept:]), which, kept, seeds)
     per_text = np.add.reduceat(np.append(n, 0), np.cumsum([0, *counts[:-1]])) * (np.array(counts) > 0)
     bare = np.flatnonzero(got < 0)
     if len(bare):  # characters as bytes
@@ -246,7 +301,7 @@ def encode(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", temperature
             at = 0
             while at < len(texts):
                 z, held = at, 0
-                while z < len(texts) and (z == at or held < 1 << 21):
+                while z < len(texts) and (z == at or held < 1 << 20):
                     held += len(texts[z])
                     z += 1
                 got = encode_block(own, keys[at:z], texts[at:z], seed)

@@ -100,3 +100,16 @@ def test_decoding_the_encoded_gives_the_texts_back(spark):
     assert back == Counter((r.doc_id, r.text or "") for r in docs.collect())
     assert P.decode(got.limit(0)).count() == 0
     assert got.withColumn("x", F.col("pieces")).count() == len(texts) + 2
+
+
+def test_kept_lattices_change_no_draw():
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(30)]
+    keys = list(range(30))
+    one = P.Pieces(P.pieces("piece_bpe_32k.model").path, 1.0)
+    whole = P.encode_block(one, keys, texts, 5)
+    assert one.kept
+    in_parts = [g for k in range(0, 30, 7) for g in P.encode_block(one, keys[k : k + 7], texts[k : k + 7], 5)]
+    assert all((a == b).all() for a, b in zip(whole, in_parts, strict=True))
+    assert all(one.decode(g.tolist()) == t for g, t in zip(whole, texts, strict=True))
