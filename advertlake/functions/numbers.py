@@ -48,3 +48,24 @@ def quartile_weight(rank: Column, n: Column, i: int) -> Column:
 def ratio_close(a: Column, b: Column, share: float, floor: float = 0.0) -> Column:
     """|a - b| within a share of the larger of the two, or within floor."""
     return F.abs(a - b) <= F.greatest(F.lit(floor), share * F.greatest(a, b))
+
+
+def running_sum(xs: Column, block: int = 128) -> Column:
+    """Sums of an array up to each place. Built in blocks, so that no long array is copied for each of its entries."""
+
+    def sums(ys: Column, start: Column) -> Column:
+        grown = F.aggregate(ys, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.slice(grown, 2, F.greatest(F.size(ys), F.lit(0)))
+
+    zero = F.lit(0).cast("long")
+
+    def blocks_of(ys: Column) -> Column:
+        n = F.ceil(F.size(ys) / block).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.transform(F.slice(ys, k * block + 1, F.lit(block)), lambda x: x.cast("long")))
+        return F.when(n > 0, cut).otherwise(F.array().cast("array<array<bigint>>"))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: acc + x))
+        return let(sums(totals, zero), lambda ends: F.flatten(F.transform(blocks, lambda b, k: sums(b, F.when(k > 0, F.get(ends, k - 1)).otherwise(zero)))))
+
+    return let(let(xs, blocks_of), joined)
