@@ -111,19 +111,23 @@ def send_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DATE = f"DATE '{S.as_of}'"
 _EFFECTIVE = """CASE WHEN km IN (123456, 1234567, 654321, 12345678) OR regexp_matches(km::VARCHAR, '^(1{6,7}|2{6,7}|3{6,7}|4{6,7}|5{6,7}|6{6,7}|7{6,7}|8{6,7}|9{6,7})$')
     OR coalesce((km < 1000 AND 1998 - year >= 2) OR (km < 15000 AND 1998 - year >= 10), false) THEN NULL ELSE km END"""
+# adverts and targets go by numbers in the order of their ids, and pairs hold what the statistics need and no more: DuckDB then keeps them in memory
 _PAIRS = f"""{LISTINGS_SQL},
-eff AS (SELECT * REPLACE ({_EFFECTIVE} AS km) FROM listings),
+eff AS MATERIALIZED (SELECT * REPLACE ({_EFFECTIVE} AS km, seller::INTEGER AS seller), dense_rank() OVER (ORDER BY id)::INTEGER AS k FROM listings),
+names AS MATERIALIZED (SELECT k, any_value(id) AS id FROM eff GROUP BY k),
+has_try AS (SELECT DISTINCT brand_norm, model_norm FROM listings WHERE currency = 'TRY'),
 pool AS (SELECT * FROM eff WHERE price_gbp BETWEEN 500 AND 250000 AND (is_active OR is_sold) AND datediff('day', first_seen_at::DATE, {_DATE}) <= {S.window_days}
   AND (NOT is_active OR datediff('day', first_seen_at::DATE, {_DATE}) <= {S.active_max_age_days})),
-target AS (SELECT DISTINCT ON (id) * FROM eff),
+target AS (SELECT DISTINCT ON (k) * FROM eff),
 aim AS (SELECT t.*, unnest(generate_series(t.year - 2, t.year + 2)) AS of_year FROM target t),
-pairs AS (
-  SELECT t.id AS t_id, t.year AS t_year, t.km AS t_km, t.price_gbp AS t_price, t.currency AS t_currency, r.id, r.year, r.km, r.price_gbp, r.currency, r.seller,
-    r.is_active, r.brand_norm, r.model_norm,
+pairs AS MATERIALIZED (
+  SELECT t.k AS t_id, t.year::SMALLINT AS t_year, t.km AS t_km, r.k AS id, r.year::SMALLINT AS year, r.km, r.price_gbp, r.seller, r.is_active,
+    t.currency <> 'TRY' AND r.currency <> 'TRY' AND h.brand_norm IS NOT NULL AS gbp,
     abs(r.year - t.year) + CASE WHEN r.km <> 0 AND t.km <> 0 THEN abs(r.km - t.km) / 30000.0::DOUBLE ELSE 1.0::DOUBLE END AS closeness
-  FROM aim t JOIN pool r ON r.brand_norm = t.brand_norm AND r.model_norm = t.model_norm AND r.year = t.of_year AND r.id <> t.id
+  FROM aim t JOIN pool r ON r.brand_norm = t.brand_norm AND r.model_norm = t.model_norm AND r.year = t.of_year AND r.k <> t.k
    AND coalesce(r.steering, 'RHD') = coalesce(t.steering, 'RHD') AND (r.transmission IS NULL OR t.transmission IS NULL OR r.transmission = t.transmission)
-   AND (r.engine_l IS NULL OR t.engine_l IS NULL OR round(abs(r.engine_l - t.engine_l), 1) <= 0.3))"""
+   AND (r.engine_l IS NULL OR t.engine_l IS NULL OR round(abs(r.engine_l - t.engine_l), 1) <= 0.3)
+  LEFT JOIN has_try h ON h.brand_norm = t.brand_norm AND h.model_norm = t.model_norm)"""
 
 
 def _steps_sql(span: int, targets: str) -> str:
@@ -131,13 +135,11 @@ def _steps_sql(span: int, targets: str) -> str:
     x = f"_{span}"
     return f"""
 stepped{x} AS (
-  SELECT p.t_id, p.t_year, p.t_km, p.t_price, p.t_currency, p.id, p.year, p.km, p.price_gbp, p.seller, p.is_active, p.closeness, s.step
-  FROM (SELECT p.*, p.t_currency <> 'TRY' AND h.brand_norm IS NOT NULL AS gbp_first FROM pairs p LEFT JOIN has_try h USING (brand_norm, model_norm)
-        WHERE abs(p.year - p.t_year) <= {span} AND {targets}) p
-  JOIN (VALUES ({2 * span - 1}, true), ({2 * span}, false)) s(step, gbp) ON NOT s.gbp OR (p.gbp_first AND p.currency <> 'TRY')),
-capped{x} AS (
-  SELECT *, CASE WHEN t_km IS NOT NULL AND km IS NOT NULL THEN price_gbp * exp(-0.011::DOUBLE * (t_km - km) / 10000) ELSE price_gbp END AS adj FROM stepped{x}
-  QUALIFY row_number() OVER (PARTITION BY t_id, step, seller ORDER BY closeness, id) <= 2),
+  SELECT p.t_id, p.t_km, p.id, p.year, p.km, p.price_gbp, p.seller, p.is_active, p.closeness, s.step::TINYINT AS step
+  FROM pairs p JOIN (VALUES ({2 * span - 1}, true), ({2 * span}, false)) s(step, gbp) ON NOT s.gbp OR p.gbp WHERE abs(p.year - p.t_year) <= {span} AND {targets}),
+capped{x} AS MATERIALIZED (
+  SELECT t_id, step, t_km, year, km, seller, is_active, CASE WHEN t_km IS NOT NULL AND km IS NOT NULL THEN price_gbp * exp(-0.011::DOUBLE * (t_km - km) / 10000) ELSE price_gbp END AS adj
+  FROM stepped{x} QUALIFY row_number() OVER (PARTITION BY t_id, step, seller ORDER BY closeness, id) <= 2),
 sorted{x} AS (SELECT t_id, step, list_sort(list(adj)) AS xs, count(*) AS n0, median(adj) AS m FROM capped{x} GROUP BY ALL HAVING count(*) >= 3),
 rank{x} AS (SELECT *, greatest(1, least((n0 + 1) // 4, n0 - 1)) AS j1, greatest(1, least(3 * (n0 + 1) // 4, n0 - 1)) AS j3 FROM sorted{x}),
 quart{x} AS (SELECT *, (xs[j1] * (4 - (n0 + 1 - 4 * j1)) + xs[j1 + 1] * (n0 + 1 - 4 * j1)) / 4 AS q1,
@@ -146,8 +148,7 @@ fence{x} AS (SELECT t_id, step, CASE WHEN n0 < 8 THEN 0.5 * m ELSE q1 - 1.5 * (q
 kept{x} AS (SELECT c.* FROM capped{x} c JOIN fence{x} f USING (t_id, step) WHERE c.adj BETWEEN f.lo AND f.hi),
 logmid{x} AS (SELECT t_id, step, median(ln(adj)) AS lm FROM kept{x} GROUP BY ALL),
 stat{x} AS (
-  SELECT t_id, step, any_value(t_year) AS t_year, any_value(t_km) AS t_km, any_value(t_price) AS t_price, any_value(t_currency) AS t_currency,
-    count(*) AS n, count(DISTINCT seller) AS sellers_n, median(adj) AS median, quantile_cont(adj, 0.25) AS p25, min(adj) AS low, max(adj) AS high,
+  SELECT t_id, step, count(*) AS n, count(DISTINCT seller) AS sellers_n, median(adj) AS median, quantile_cont(adj, 0.25) AS p25, min(adj) AS low, max(adj) AS high,
     count(*) FILTER (NOT is_active) / count(*)::DOUBLE AS archived_share,
     CASE WHEN count(*) FILTER (km <> 0) >= 3 THEN floor(median(km) FILTER (km <> 0))::INTEGER END AS median_km,
     CASE WHEN any_value(t_km) IS NOT NULL THEN count(*) FILTER (km IS NULL OR abs(km - t_km) <= 50000) END AS near_n,
@@ -156,16 +157,15 @@ stat{x} AS (
   HAVING count(*) >= 3 AND (step IN (2, 4) OR count(*) >= 8) AND count(DISTINCT seller) >= 2)"""
 
 
-_MARKET = f"""{_PAIRS},
-has_try AS (SELECT DISTINCT brand_norm, model_norm FROM listings WHERE currency = 'TRY'),{_steps_sql(1, "true")},
+_MARKET = f"""{_PAIRS},{_steps_sql(1, "true")},
 rich AS (SELECT DISTINCT t_id FROM stat_1 WHERE n >= 8),{_steps_sql(2, "p.t_id NOT IN (SELECT t_id FROM rich)")},
 stat AS (SELECT * FROM stat_1 UNION ALL SELECT * FROM stat_2),
 pick AS (
   SELECT *, min(step) OVER w AS first_step, min(CASE WHEN n >= 8 THEN step END) OVER w AS rich_step FROM stat WINDOW w AS (PARTITION BY t_id)),
 market AS (
-  SELECT g.t_id, g.t_year, g.t_km, g.t_price, g.t_currency, g.step, g.n, g.sellers_n, g.low, g.high, g.archived_share, g.near_n, g.median_year, g.sigma,
+  SELECT g.t_id, e.year AS t_year, e.km AS t_km, e.price_gbp AS t_price, e.currency AS t_currency, g.step, g.n, g.sellers_n, g.low, g.high, g.archived_share, g.near_n, g.median_year, g.sigma,
     least(g.median, f.median) AS median, least(g.p25, f.p25) AS p25, least(g.median_km, f.median_km) AS median_km, g.step > g.first_step AS merged
-  FROM pick g JOIN pick f ON f.t_id = g.t_id AND f.step = g.first_step WHERE g.step = coalesce(g.rich_step, g.first_step))"""
+  FROM pick g JOIN pick f ON f.t_id = g.t_id AND f.step = g.first_step JOIN target e ON e.k = g.t_id WHERE g.step = coalesce(g.rich_step, g.first_step))"""
 _DECIDED = f"""{_MARKET},
 calc AS (SELECT *, 0.95 * median - t_price - 300 AS profit, (0.95 * median - t_price - 300) / t_price AS pct, ln(t_price / median) / sigma AS z FROM market),
 t1 AS (SELECT *, CASE WHEN n < 3 THEN 'yok' WHEN pct >= 0.20 THEN 'guclu' WHEN pct >= 0.12 THEN 'pazarlik' ELSE 'yok' END AS a FROM calc),
@@ -180,18 +180,26 @@ gapped AS (
 decided AS (SELECT *, CASE WHEN n >= 20 THEN 'yuksek' WHEN n >= 8 THEN 'orta' WHEN n >= 3 THEN 'dusuk' ELSE 'yok' END AS confidence,
   CASE WHEN raw_tier = 'guclu' AND g <> '' THEN 'pazarlik' ELSE raw_tier END AS tier, CASE WHEN raw_tier = 'guclu' THEN g ELSE '' END AS gaps FROM gapped)"""
 
-_NAMES = re.findall(r"(?:^|,\n|\), )([a-z_0-9]+) AS \(", _DECIDED.split("listings AS (", 1)[1])
+_NAMES = re.findall(r"(?:^|,\n|\), )([a-z_0-9]+) AS (?:MATERIALIZED )?\(", _DECIDED.split("listings AS (", 1)[1])
 
 
 def _again(text: str) -> str:
     """The same expressions under names of their own."""
-    return re.sub(rf"\b({'|'.join(sorted(set(_NAMES) - {'eff', 'pool', 'has_try'}, key=len, reverse=True))})\b(?! *\()", r"\1_b", text)
+    return re.sub(rf"\b({'|'.join(sorted(set(_NAMES) - {'eff', 'pool', 'has_try', 'names'}, key=len, reverse=True))})\b(?! *\()", r"\1_b", text)
 
 
 _DECIDE = f"""{_DECIDED},
 doubt AS (SELECT t_id, median_km + {S.unknown_km_extra} AS km FROM decided WHERE tier = 'guclu' AND t_km IS NULL AND {S.as_of.year} - t_year >= {S.unknown_km_min_age} AND median_km > 0),
-target_b AS (SELECT e.* REPLACE (d.km AS km) FROM (SELECT DISTINCT ON (id) * FROM eff) e JOIN doubt d ON d.t_id = e.id),
-{_again(_DECIDED.split("target AS (SELECT DISTINCT ON (id) * FROM eff),", 1)[1].replace("z > -2.0", "false").replace("has_try AS (SELECT DISTINCT brand_norm, model_norm FROM listings WHERE currency = 'TRY'),", "")).strip()}"""
+target_b AS (SELECT e.* REPLACE (d.km AS km) FROM (SELECT DISTINCT ON (k) * FROM eff) e JOIN doubt d ON d.t_id = e.k),
+{_again(_DECIDED.split("target AS (SELECT DISTINCT ON (k) * FROM eff),", 1)[1].replace("z > -2.0", "false")).strip()}"""
+
+
+def _named(sql: str, *ids: str) -> str:
+    """The query with the ids of the adverts in place of their numbers."""
+    head, tail = sql.rsplit("\nSELECT ", 1) if "\nSELECT " in sql else (None, None)
+    joins = " ".join(f"JOIN names n{i} ON n{i}.k = x.{c}" for i, c in enumerate(ids))
+    return f"{head}\nSELECT x.* REPLACE ({', '.join(f'n{i}.id AS {c}' for i, c in enumerate(ids))}) FROM (SELECT {tail}) x {joins}"
+
 
 QUERIES = {
     "DM_market_median": market_median,
@@ -219,7 +227,7 @@ SELECT t_id AS id, n, round(profit, 6) AS profit, round(pct, 6) AS profit_pct, c
   round(least((0.95 * median - 300) / 1.2, 0.95 * median - 1050), 6) AS ceiling FROM decided""",
     "SC04_DM37_evaluate_recent": f"""WITH {_DECIDED}
 SELECT t_id AS id, n, round(profit, 6) AS profit, round(pct, 6) AS profit_pct, confidence, tier, gaps FROM decided
-WHERE t_id IN (SELECT id FROM listings WHERE is_active AND datediff('day', first_seen_at::DATE, {_DATE}) BETWEEN 0 AND {S.recent_days})""",
+WHERE t_id IN (SELECT k FROM eff WHERE is_active AND datediff('day', first_seen_at::DATE, {_DATE}) BETWEEN 0 AND {S.recent_days})""",
     "AG36_backtest": f"""WITH {_DECIDED}
 SELECT confidence, count(*) AS adverts, round(median(abs(t_price - median) / median), 6) AS median_error,
   count(*) FILTER (raw_tier = 'guclu') AS strong, count(*) FILTER (tier = 'pazarlik') AS negotiable FROM decided GROUP BY confidence""",
@@ -241,7 +249,8 @@ SELECT t_id AS id, n, round(median, 6) AS median, max_buy::DOUBLE AS max_buy FRO
 SELECT t_id AS id, CASE WHEN tier = 'guclu' THEN t_year % 2 = 0 AND n >= 8 ELSE true END AS sendable, t_price - floor(least((0.95 * median - 300) / 1.2, 0.95 * median - 1050) / 50) * 50 <= t_price * 0.10::DOUBLE AS shared,
   floor(greatest(-999.99::DOUBLE, least(999.99::DOUBLE, round(pct * 100, 2))))::BIGINT AS percent FROM decided""",
     "WN14_nearest_comparables": f"""WITH {_PAIRS},
-d AS (SELECT *, closeness + 0.1 * abs(price_gbp - t_price) / t_price AS distance FROM pairs)
+d AS (SELECT p.t_id, p.id, closeness + 0.1 * abs(p.price_gbp - e.price_gbp) / e.price_gbp AS distance FROM pairs p JOIN target e ON e.k = p.t_id)
 SELECT t_id AS id, row_number() OVER (PARTITION BY t_id ORDER BY distance, id)::INTEGER AS rank, id AS other_id, round(distance, 6) AS distance
 FROM d QUALIFY rank <= 5""",
 }
+ORACLE_SQL = {n: q if n == "AG36_backtest" else _named(q, *(("id", "other_id") if n == "WN14_nearest_comparables" else ("id",))) for n, q in ORACLE_SQL.items()}
