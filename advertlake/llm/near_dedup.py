@@ -339,8 +339,13 @@ def verified_links(texts: DataFrame, signed: DataFrame, members: DataFrame, n_do
     return links.unionByName(_verify(unit, _payload(texts, signed, wide), n_docs, threshold).select("a", "b"))
 
 
-def _payload(texts: DataFrame, signed: DataFrame, members: DataFrame) -> DataFrame:
-    own = signed.select("node", "id", "q").join(members.select("node").distinct(), "node", "left_semi")
+def _payload(texts: DataFrame, signed: DataFrame, members: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """(node, text, q) of the members. Only their texts are shuffled while their numbers (8 bytes each) are few enough to broadcast, by count."""
+    nodes = written(members.select("node").distinct())
+    if nodes.count() <= small:
+        nodes = F.broadcast(nodes)
+        texts = texts.join(nodes, "node", "left_semi")
+    own = signed.select("node", "id", "q").join(nodes, "node", "left_semi")
     return own.join(texts, _same_row(own, texts)).select(own["node"], "text", "q")
 
 
