@@ -17,25 +17,22 @@ ROBUST_K, KM_SLOPE_FLOOR = 2.5, -0.005
 AGE_SLOPE, KM_SLOPE = -0.08, -0.03
 
 
-def curve_points(rows: DataFrame, s: Settings) -> DataFrame:
-    """Rows that a curve may use: not left-hand drive, price, year and believable mileage known; weight min(1, cap / rows of the seller). The
+def curve_points(rows: DataFrame, s: Settings, weighted: bool = True) -> DataFrame:
+    """Rows that a curve may use: not left-hand drive, price, year and believable mileage known; weight min(1, cap / rows of the seller), or 1. The
     sellers' row counts come from an aggregate and are joined back, so that a hot seller is no window in one task."""
     m = rows.groupBy(*KEYS, "seller").agg(F.count("*").alias("m"))
     x = rows.withColumn("km", effective_km(F.col("km"), F.col("year"), s.as_of)).join(m, [*KEYS, "seller"])
     x = x.filter((F.col("price_gbp") > 0) & F.col("year").isNotNull() & F.col("km").isNotNull() & ~F.col("steering").eqNullSafe("LHD"))
     return x.select(*KEYS, "id", "seller", "year", F.ln("price_gbp").alias("y"), (s.as_of.year - F.col("year")).cast("double").alias("a"), (F.col("km") / 10000).alias("k"),
-                    F.least(F.lit(1.0), s.max_per_seller / F.col("m")).alias("w"))
+                    (F.least(F.lit(1.0), s.max_per_seller / F.col("m")) if weighted else F.lit(1.0)).alias("w"))
 
 
 def _residual() -> Column:
     return F.col("y") - F.col("my") - F.col("b_age") * (F.col("a") - F.col("ma")) - F.col("b_km") * (F.col("k") - F.col("mk"))
 
 
-def robust_curves(rows: DataFrame, s: Settings) -> DataFrame:
-    """One curve per model: a fit, one pass that drops points beyond ROBUST_K robust deviations of the median residual, a second fit where enough points
-    remain, and the weighted spread of what was used. Curves of too wide a spread or rising with age are refused. The points stay distributed;
-    what is joined back to them is one row per model."""
-    pts = curve_points(rows, s)
+def used_points(pts: DataFrame, s: Settings) -> DataFrame:
+    """The points that the curves of their models rest on, with the fit (ma, mk, my, b_age, b_km) and the residual r; see robust_curves."""
     fitted = ["ma", "mk", "my", "b_age", "b_km"]
     first = closed_form(pts, s).select(*KEYS, *fitted)
     res = pts.join(first, KEYS).withColumn("r", _residual()).drop(*fitted)
@@ -45,13 +42,72 @@ def robust_curves(rows: DataFrame, s: Settings) -> DataFrame:
     marked = off.join(mad, KEYS).withColumn("near", (F.col("mad") <= 0) | (F.col("off") <= ROBUST_K * 1.4826 * F.col("mad"))).drop("off", "mad")
     second = closed_form(marked.filter("near"), s).select(*KEYS, F.struct(*fitted).alias("again"))
     curve = first.join(second, KEYS, "left").select(*KEYS, F.col("again").isNotNull().alias("refit"), *[F.coalesce(f"again.{c}", c).alias(c) for c in fitted])
-    used = marked.join(curve, KEYS).filter("near or not refit").withColumn("r", _residual())
+    return marked.join(curve, KEYS).filter("near or not refit").withColumn("r", _residual()).drop("near", "refit")
+
+
+def robust_curves(rows: DataFrame, s: Settings) -> DataFrame:
+    """One curve per model: a fit, one pass that drops points beyond ROBUST_K robust deviations of the median residual, a second fit where enough points
+    remain, and the weighted spread of what was used. Curves of too wide a spread or rising with age are refused. The points stay distributed;
+    what is joined back to them is one row per model."""
+    fitted = ["ma", "mk", "my", "b_age", "b_km"]
+    used = used_points(curve_points(rows, s), s)
     g = used.groupBy(*KEYS, *fitted).agg(
         F.sqrt(F.sum(F.col("w") * F.col("r") * F.col("r")) / F.greatest(F.sum("w") - 3, F.lit(1.0))).alias("sigma"), F.count("*").alias("n"), F.count_distinct("seller").alias("sellers"),
         F.min("year").alias("min_year"), F.max("year").alias("max_year"), F.floor(F.max("k") * 10000 + 1e-6).alias("max_km"), F.median(F.col("k") * 10000 / F.greatest(F.col("a"), F.lit(1.0))).alias("km_per_year"))
     return g.filter((F.col("sigma") <= s.curve_max_sigma) & (F.col("b_age") <= s.curve_max_age_slope))
 
 
+def curves_without(rows: DataFrame, s: Settings) -> DataFrame:
+    """Per row of a model with a curve (id, keys): the curve that the other rows give. Ten sums, the years, the sellers and the two greatest mileages of each
+    model are aggregated once; a row's own part is taken away from them in closed form, so there is no fit per row. Points weigh 1. What the robust
+    pass has dropped with the row present stays dropped; a row that the curve does not rest on has the model's curve."""
+    used = persisted(used_points(curve_points(rows, s, weighted=False), s).select("id", *KEYS, "seller", "year", "y", "a", "k"))
+    x = {"a": F.col("a"), "k": F.col("k"), "y": F.col("y")}
+    sums = {f"s{p}": F.sum(x[p]) for p in "aky"} | {f"s{p}{q}": F.sum(x[p] * x[q]) for p, q in ("aa", "kk", "yy", "ak", "ay", "ky")}
+    model = used.groupBy(*KEYS).agg(F.count("*").alias("n0"), F.count_distinct("seller").alias("sellers0"), F.max("k").alias("k1"), *[e.alias(c) for c, e in sums.items()])
+    years = used.groupBy(*KEYS, "year").agg(F.count("*").alias("c")).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("year", "c"))).alias("ys"))
+    tops = used.join(model.select(*KEYS, "k1"), KEYS).groupBy(*KEYS).agg(F.count_if(F.col("k") == F.col("k1")).alias("at_k1"), F.max(F.when(F.col("k") < F.col("k1"), F.col("k"))).alias("k2"))
+    model = persisted(model.join(years, KEYS).join(tops, KEYS))
+    own = used.groupBy(*KEYS, "seller").agg(F.count("*").alias("of_seller"))
+    mine = used.join(own, [*KEYS, "seller"]).select("id", *[F.col(c).alias(f"o_{c}") for c in ("year", "y", "a", "k")], "of_seller")
+    d = rows.select("id", *KEYS).join(model, KEYS).join(mine, "id", "left")
+    here = F.col("o_y").isNotNull()
+
+    def less(total: str, part: str) -> Column:
+        return F.col(total) - F.coalesce(F.expr(part), F.lit(0.0))
+
+    parts = {f"s{p}": f"o_{p}" for p in "aky"} | {f"s{p}{q}": f"o_{p} * o_{q}" for p, q in ("aa", "kk", "yy", "ak", "ay", "ky")}
+    d = d.withColumns({c: less(c, e) for c, e in parts.items()} | {"n": F.col("n0") - here.cast("int"), "sellers": F.col("sellers0") - F.coalesce(F.col("of_seller") == 1, F.lit(False)).cast("int")})
+    left = F.filter("ys", lambda y: ~F.coalesce((y["c"] == 1) & (y["year"] == F.col("o_year")), F.lit(False)))
+    last_of_top = F.coalesce((F.col("o_k") == F.col("k1")) & (F.col("at_k1") == 1), F.lit(False))
+    d = d.withColumn("ys", left).withColumn("max_k", F.when(last_of_top, F.col("k2")).otherwise(F.col("k1")))
+    d = d.filter((F.col("n") >= s.curve_min_rows) & (F.size("ys") >= s.curve_min_years))
+    d = d.withColumns({"ma": F.expr("sa / n"), "mk": F.expr("sk / n"), "my": F.expr("sy / n")} | {f"c{p}{q}": F.expr(f"s{p}{q} - s{p} * s{q} / n") for p, q in ("aa", "kk", "yy", "ak", "ay", "ky")})
+    d = d.withColumns({"vaa": F.col("caa") + s.ridge_lambda, "vkk": F.col("ckk") + s.ridge_lambda}).withColumn("det", F.expr("vaa * vkk - cak * cak"))
+    free = F.expr("(cky * vaa - cay * cak) / det")
+    d = d.withColumn("b_km", F.when(free > s.km_slope_limit, F.lit(s.km_slope_fixed)).otherwise(free))
+    d = d.withColumn("b_age", F.when(free > s.km_slope_limit, (F.col("cay") - s.km_slope_fixed * F.col("cak")) / F.col("vaa")).otherwise(F.expr("(cay * vkk - cky * cak) / det")))
+    rest = F.expr("cyy - 2 * (b_age * cay + b_km * cky) + b_age * b_age * caa + 2 * b_age * b_km * cak + b_km * b_km * ckk")
+    d = d.withColumn("sigma", F.sqrt(F.greatest(rest, F.lit(0.0)) / F.greatest(F.col("n") - 3, F.lit(1))))
+    d = d.filter((F.col("sigma") <= s.curve_max_sigma) & (F.col("b_age") <= s.curve_max_age_slope))
+    return d.select(
+        "id", *KEYS, "ma", "mk", "my", "b_age", "b_km", "sigma", "n", "sellers", F.get("ys", F.lit(0))["year"].alias("min_year"), F.element_at("ys", -1)["year"].alias("max_year"),
+        F.floor(F.col("max_k") * 10000 + 1e-6).alias("max_km"),
+    )
+
+
+def estimates_without(targets: DataFrame, rows: DataFrame, s: Settings, least: int = 3) -> DataFrame:
+    """estimates() of each target by the curve of the other rows of its model, so that no advert confirms itself: the dry run of an alarm."""
+    per_year = curve_points(rows, s, weighted=False).select("id", *KEYS, "year")
+    near = per_year.groupBy(*KEYS, "year").agg(F.count("*").alias("c")).withColumn("year", F.explode(F.sequence(F.col("year") - 2, F.col("year") + 2))).groupBy(*KEYS, "year").agg(F.sum("c").alias("c"))
+    t = targets.filter(~F.col("steering").eqNullSafe("LHD")).select("id", *KEYS, "year", "price_gbp", effective_km(F.col("km"), F.col("year"), s.as_of).alias("km")).filter("km is not null")
+    d = t.join(near, [*KEYS, "year"]).join(per_year.select("id", F.lit(1).alias("own")), "id", "left").filter(F.col("c") - F.coalesce("own", F.lit(0)) >= least)
+    d = d.join(curves_without(rows, s).drop(*KEYS), "id")
+    d = d.filter(F.col("year").between(F.col("min_year") - 1, F.col("max_year") + 1) & (F.col("km") <= F.col("max_km") * 1.1) & (F.col("sellers") >= s.est_min_curve_sellers))
+    value = predict(F.col("year"), F.col("km"), s)
+    return d.select("id", "price_gbp", value.alias("value"), (value * F.exp(-s.est_z * F.col("sigma"))).alias("lower"), "n", "sellers", "sigma")
+
+
 def dense_years(rows: DataFrame, s: Settings, least: int = 3) -> DataFrame:
     """(model, year) with at least so many usable points within two years."""
     per_year = curve_points(rows, s).groupBy(*KEYS, "year").agg(F.count("*").alias("c"))

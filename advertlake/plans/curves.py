@@ -60,7 +60,20 @@ def self_check(spark, d):
     return got.select("brand_norm", "model_norm", "judged", *_r("error"), "unreliable")
 
 
-QUERIES = {"AG31_robust_curves": robust, "DM22_estimates": estimates, "DM18_curve_rows": curve_rows, "AG25_AG27_WN13_DM21_DM24_comparable_rows": comparable_rows, "AG26_sales_info": sales, "DM18_DM20_SM36_whole_book": whole_book, "AG33_self_check": self_check}
+def without(spark, d):
+    x = listings(spark, d)
+    got = C.curves_without(x, S)
+    return got.select("id", *[(c + 0.0).alias(n) for n, c in zip(("my", "b_age", "b_km", "sigma"), _r("my", "b_age", "b_km", "sigma"))], "n", "sellers", "min_year", "max_year", F.col("max_km").cast("long").alias("max_km"))
+
+
+def dry_run(spark, d):
+    """Estimates of recent adverts, each by the curve of the others, and how far the price lies below them."""
+    x = listings(spark, d)
+    got = C.estimates_without(x.filter(F.col("first_seen_at") > F.lit("1998-01-01").cast("timestamp")), x, S)
+    return got.select("id", F.round(F.ln("value"), 5).alias("ln_value"), F.round(F.ln("lower"), 5).alias("ln_lower"), (F.round(F.ln("price_gbp") - F.ln("value"), 5) + 0.0).alias("below"), "n", "sellers")
+
+
+QUERIES = {"DM25_curves_without": without, "DM26_dry_run": dry_run, "AG31_robust_curves": robust, "DM22_estimates": estimates, "DM18_curve_rows": curve_rows, "AG25_AG27_WN13_DM21_DM24_comparable_rows": comparable_rows, "AG26_sales_info": sales, "DM18_DM20_SM36_whole_book": whole_book, "AG33_self_check": self_check}
 _Y = S.as_of.year
 
 
@@ -118,7 +131,25 @@ def _brand_sql() -> str:
     return re.sub(r"\b(pts|f1_m|f1_v|f1_f|f1|r1|r2|r3|marked|near|f2_m|f2_v|f2_f|f2|c|curve)\b(?=[ ,.)\n])", r"\1_x", text)
 
 
+# every row of a model against the points of the others, summed anew
+_PLAIN = _CURVES.replace("least(1.0::DOUBLE, 2.0::DOUBLE / count(*) OVER (PARTITION BY brand_norm, model_norm, seller)) AS w", "1.0::DOUBLE AS w")
+_WITHOUT = f"""{_PLAIN},
+used AS MATERIALIZED (SELECT brand_norm, model_norm, id, seller, year, y, a, k FROM marked JOIN c USING (brand_norm, model_norm) WHERE near OR NOT refit),
+sums AS MATERIALIZED (SELECT e.id, count(*) AS n, count(DISTINCT u.seller) AS sellers, count(DISTINCT u.year) AS years, min(u.year) AS min_year, max(u.year) AS max_year, floor(max(u.k) * 10000 + 1e-6)::BIGINT AS max_km,
+  avg(u.a) AS ma, avg(u.k) AS mk, avg(u.y) AS my FROM eff e JOIN used u ON u.brand_norm = e.brand_norm AND u.model_norm = e.model_norm AND u.id <> e.id GROUP BY e.id HAVING count(*) >= {S.curve_min_rows} AND count(DISTINCT u.year) >= {S.curve_min_years}),
+dev AS (SELECT e.id, sum((u.a - ma) * (u.a - ma)) AS aa, sum((u.k - mk) * (u.k - mk)) AS kk, sum((u.a - ma) * (u.k - mk)) AS ak, sum((u.a - ma) * (u.y - my)) AS ay, sum((u.k - mk) * (u.y - my)) AS ky, sum((u.y - my) * (u.y - my)) AS yy
+  FROM eff e JOIN sums USING (id) JOIN used u ON u.brand_norm = e.brand_norm AND u.model_norm = e.model_norm AND u.id <> e.id GROUP BY e.id),
+slope AS (SELECT *, aa + {S.ridge_lambda}::DOUBLE AS va, kk + {S.ridge_lambda}::DOUBLE AS vk FROM dev JOIN sums USING (id)),
+bent AS (SELECT *, (ky * va - ay * ak) / (va * vk - ak * ak) AS fk FROM slope),
+line AS (SELECT *, CASE WHEN fk > -0.010 THEN -0.012::DOUBLE ELSE fk END AS b_km, CASE WHEN fk > -0.010 THEN (ay + 0.012::DOUBLE * ak) / va ELSE (ay * vk - ky * ak) / (va * vk - ak * ak) END AS b_age FROM bent),
+lone AS (SELECT * FROM (SELECT *, sqrt(greatest(yy - 2 * (b_age * ay + b_km * ky) + b_age * b_age * aa + 2 * b_age * b_km * ak + b_km * b_km * kk, 0) / greatest(n - 3, 1)) AS sigma FROM line)
+  WHERE sigma <= {S.curve_max_sigma} AND b_age <= {S.curve_max_age_slope})"""
 ORACLE_SQL = {
+    "DM25_curves_without": f"""WITH {_WITHOUT} SELECT id, round(my, 5) + 0.0::DOUBLE AS my, round(b_age, 5) + 0.0::DOUBLE AS b_age, round(b_km, 5) + 0.0::DOUBLE AS b_km, round(sigma, 5) + 0.0::DOUBLE AS sigma, n, sellers, min_year, max_year, max_km FROM lone""",
+    "DM26_dry_run": f"""WITH {_WITHOUT}, t AS (SELECT e.* FROM eff e WHERE steering IS DISTINCT FROM 'LHD' AND ekm IS NOT NULL AND first_seen_at > TIMESTAMP '1998-01-01'),
+val AS (SELECT t.id, {_LN.format(y=f'{_Y} - t.year', km='ekm')} AS v, ln(t.price_gbp) AS p, sigma, l.n, l.sellers FROM t JOIN lone l ON l.id = t.id WHERE t.year BETWEEN min_year - 1 AND max_year + 1 AND ekm <= max_km * 1.1::DOUBLE
+  AND l.sellers >= {S.est_min_curve_sellers} AND (SELECT count(*) FROM pts q WHERE q.brand_norm = t.brand_norm AND q.model_norm = t.model_norm AND abs(q.year - t.year) <= 2 AND q.id <> t.id) >= 3)
+SELECT id, round(v, 5) AS ln_value, round(v - {S.est_z}::DOUBLE * sigma, 5) AS ln_lower, round(p - v, 5) + 0.0::DOUBLE AS below, n, sellers FROM val""",
     "AG31_robust_curves": f"""WITH {_CURVES} SELECT brand_norm, model_norm, round(my, 5) AS my, round(b_age, 5) AS b_age, round(b_km, 5) AS b_km, round(sigma, 5) AS sigma, round(km_per_year, 5) AS km_per_year, n, sellers, min_year, max_year, max_km FROM curve""",
     "DM22_estimates": f"""WITH {_CURVES} SELECT e.id, round({_LN.format(y=f'{_Y} - e.year', km='ekm')}, 5) AS ln_value, round({_LN.format(y=f'{_Y} - e.year', km='ekm')} - {S.est_z}::DOUBLE * sigma, 5) AS ln_lower, n, sellers
 FROM eff e JOIN curve USING (brand_norm, model_norm) JOIN dense USING (brand_norm, model_norm, year)
