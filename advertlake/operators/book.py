@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from advertlake.functions.rules import effective_km
 from advertlake.settings import Settings
+from advertlake.sources.shared import persisted
 
 KEYS = ["brand_norm", "model_norm"]
 
@@ -82,42 +84,92 @@ def quarantine(rows: DataFrame, s: Settings, low: float = 0.40, high: float = 2.
     return odd.unionByName(got.select("id", reason.alias("reason"), (F.col("n") - 1).alias("peers"), "mid").filter("reason is not null"))
 
 
+KM_STEP, KM_SHARE, KM_TURN = 500, 0.02, 25_000
+PRICE_SHARE, ROUND_PRICE_SHARE, ROUND_KM = 0.15, 0.03, 1000
+_ATTRS = [*KEYS, "year", "km", "price_gbp", "seller", "active"]
+
+
+def _log_cell(x: Column, share: float) -> Column:
+    """Cells so wide that two values within a share of the larger one lie in the same or in neighbouring cells."""
+    return F.floor(F.ln(x) / (-math.log(1 - share) * 1.0001)).cast("long")
+
+
+def _cells() -> tuple[Column, Column]:
+    """(own, reach) of a row: the cells that it lies in, and those in which the rows lie that it may match. Kinds: near mileage and same seller; near mileage
+    and near price, apart for two round mileages; same seller and near price, for unknown mileages."""
+    known, priced, sold_by = F.col("km") != 0, F.col("price_gbp") != 0, F.col("seller") != ""
+    km = F.when(F.col("km") <= KM_TURN, F.floor(F.col("km") / KM_STEP)).otherwise(1000 + _log_cell(F.col("km") / KM_TURN, KM_SHARE))
+    km = F.when(km >= 1000, km - 1000 + KM_TURN // KM_STEP).otherwise(km).cast("long")
+    even = F.col("km") % ROUND_KM == 0
+    wide, tight = _log_cell(F.col("price_gbp"), PRICE_SHARE), _log_cell(F.col("price_gbp"), ROUND_PRICE_SHARE)
+    group = [F.col(c) for c in (*KEYS, "year")]
+
+    def cell(kind: str, *at: Column) -> Column:
+        return F.xxhash64(F.lit(kind), *group, *at)
+
+    around = [F.lit(k).cast("long") for k in (-1, 0, 1)]
+    by_seller, by_price = known & sold_by, known & priced & F.col("model_norm").isNotNull()
+    own = [F.when(by_seller, cell("ks", km, F.col("seller"))), F.when(sold_by & priced, cell("sp", F.col("seller"), wide))]
+    own += [F.when(by_price & even, cell("kr", km, tight)), F.when(by_price & even, cell("ke", km, wide)), F.when(by_price & ~even, cell("kn", km, wide))]
+    reach = [F.when(by_seller, cell("ks", km + i, F.col("seller"))) for i in around] + [F.when(sold_by & priced, cell("sp", F.col("seller"), wide + i)) for i in around]
+    for i in around:
+        reach += [F.when(by_price & even, cell("kr", km + i, tight + j)) for j in around]
+        reach += [F.when(by_price, cell("kn", km + i, wide + j)) for j in around] + [F.when(by_price & ~even, cell("ke", km + i, wide + j)) for j in around]
+    return F.array_compact(F.array(*own)), F.array_compact(F.array(*reach))
+
+
+def _same_car() -> Column:
+    """Whether the head (h_ columns) is surely the row's car and may stand for it."""
+    h = {c: F.col(f"h_{c}") for c in _ATTRS}
+    same = F.col("brand_norm").eqNullSafe(h["brand_norm"]) & F.col("model_norm").eqNullSafe(h["model_norm"]) & (F.col("year") == h["year"])
+    ours = (F.col("seller") != "") & (F.col("seller") == h["seller"])
+    both = (F.col("km") != 0) & (h["km"] != 0)
+    near = F.abs(F.col("km") - h["km"]) <= F.greatest(F.lit(float(KM_STEP)), KM_SHARE * F.greatest(F.col("km"), h["km"]))
+    even = (F.col("km") % ROUND_KM == 0) & (h["km"] % ROUND_KM == 0)
+    share = F.when(both & even, ROUND_PRICE_SHARE).otherwise(PRICE_SHARE)
+    close = (F.col("price_gbp") != 0) & (h["price_gbp"] != 0) & (F.abs(F.col("price_gbp") - h["price_gbp"]) <= share * F.greatest(F.col("price_gbp"), h["price_gbp"]))
+    return same & (~F.col("active") | h["active"]) & F.when(both, near & (ours | (close & F.col("model_norm").isNotNull()))).otherwise(ours & close)
+
+
 def greedy_duplicates(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(id, canonical) of every row: the first earlier advert of the same model and year that is itself canonical and surely the same car, else
-    the row itself. Order decides: A~B and B~C do not join C to A unless C matches A. With both mileages believed (effective_km), they must be
-    within 500 or 2 %, and the seller the same or the price within 15 % (3 % where both mileages are round); otherwise the same seller and a
-    price within 15 %. Without a model only the same seller counts, without a brand or
-    year nothing does. seller (the contact) and is_active may be missing; an active advert is a copy
-    of active ones only."""
-    def mark(rows_of_key: pd.DataFrame) -> pd.DataFrame:
-        g = rows_of_key.sort_values(["first_seen_at", "id"])
-        if g["brand_norm"].isna().all() or g["year"].isna().all():
-            return pd.DataFrame({"id": g["id"], "canonical": g["id"]})
-        heads: list[tuple[str, float, float, str, bool]] = []
-        out = []
-        nameless = g["model_norm"].isna().all()
-        for i, km, price, seller, active in zip(g["id"], g["km"], g["price_gbp"], g["seller"], g["active"], strict=True):
-            same = None
-            for h, k, p, contact, live in heads:
-                ours = bool(seller) and seller == contact
-                if (active and not live) or (nameless and not ours):
-                    continue
-                known = km != 0 and k != 0
-                if known and abs(km - k) > max(500, 0.02 * max(km, k)):
-                    continue
-                share = 0.03 if known and km % 1000 == 0 and k % 1000 == 0 else 0.15
-                close = price != 0 and p != 0 and abs(price - p) <= share * max(price, p)
-                if (ours or close) if known else (ours and close):
-                    same = h
-                    break
-            if same is None:
-                heads.append((i, km, price, seller, active))
-            out.append(i if same is None else same)
-        return pd.DataFrame({"id": g["id"], "canonical": out})
-
+    the row itself. Order (first_seen_at, unknown last, then id) decides: A~B and B~C do not join C to A unless C matches A. With both mileages
+    believed (effective_km), they must be within 500 or 2 %, and the seller the same or the price within 15 % (3 % where both mileages are round);
+    otherwise the same seller and a price within 15 %. Without a model only the same seller counts, without a brand or year nothing does. seller
+    (the contact) and is_active may be missing; an active advert is a copy of active ones only.
+
+    Rows of equal attributes are one. Heads are found in rounds: rows lie in cells of mileage, price and seller, wide enough that matches lie in
+    neighbouring cells; the earliest undecided row of all cells that it reaches is a head, for no earlier row can match it, and undecided rows
+    that match a new head are copies. So rows meet heads only, no pairs of a model are made, and no model lies in one task. In the end every
+    copy gets the first head that it matches."""
     km = F.coalesce(effective_km(F.col("km"), F.col("year"), s.as_of).cast("double"), F.lit(0.0))
     seller = F.coalesce(F.col("seller").cast("string"), F.lit("")) if "seller" in rows.columns else F.lit("")
     active = F.coalesce("is_active", F.lit(False)) if "is_active" in rows.columns else F.lit(False)
-    cols = rows.select("id", *KEYS, "year", km.alias("km"), F.coalesce(F.col("price_gbp").cast("double"), F.lit(0.0)).alias("price_gbp"),
-                       seller.alias("seller"), active.alias("active"), "first_seen_at")
-    return cols.groupBy(*KEYS, "year").applyInPandas(mark, "id string, canonical string")
+    base = rows.select("id", *KEYS, "year", km.alias("km"), F.coalesce(F.col("price_gbp").cast("double"), F.lit(0.0)).alias("price_gbp"), seller.alias("seller"), active.alias("active"),
+                       F.struct(F.col("first_seen_at").isNull().alias("none"), F.col("first_seen_at").alias("at"), F.col("id").alias("id")).alias("o"))
+    sold_by, priced = F.col("seller") != "", F.col("price_gbp") != 0
+    can = F.col("brand_norm").isNotNull() & F.col("year").isNotNull() & F.when(F.col("km") != 0, sold_by | (priced & F.col("model_norm").isNotNull())).otherwise(sold_by & priced)
+    base = persisted(base.withColumn("can", can))
+    own, reach = _cells()
+    kinds = persisted(base.filter("can").groupBy(*_ATTRS).agg(F.min("o").alias("o")).withColumns({"own": own, "reach": reach}))
+    left, heads = kinds, None
+
+    def met(some: DataFrame, by: DataFrame) -> DataFrame:
+        """Rows of `some` with the heads that they match, by their order."""
+        h = by.select(*[F.col(c).alias(f"h_{c}") for c in _ATTRS], F.col("o").alias("h"), F.explode("reach").alias("cell"))
+        return some.select(*_ATTRS, "o", F.explode("own").alias("cell")).join(h, "cell").filter((F.col("h") < F.col("o")) & _same_car())
+
+    while not left.isEmpty():
+        least = left.select("o", F.explode("reach").alias("cell")).groupBy("cell").agg(F.min("o").alias("m"))
+        first = left.select("o", F.explode("own").alias("cell")).join(least, "cell").groupBy("o").agg(F.min("m").alias("m")).filter("m = o").select("o")
+        new = persisted(left.join(first, "o", "left_semi"))
+        heads = new if heads is None else heads.unionByName(new)
+        done = met(left, new).select("o").unionByName(new.select("o")).distinct()
+        left = persisted(left.join(done, "o", "left_anti"))
+    if heads is None:
+        return base.select("id", F.col("id").alias("canonical"))
+    copies = met(kinds.join(heads.select("o"), "o", "left_anti"), heads).groupBy("o").agg(F.min("h").alias("h"))
+    found = kinds.select(*_ATTRS, F.col("o").alias("rep")).join(copies.withColumnRenamed("o", "rep"), "rep", "left")
+    same = [base[c].eqNullSafe(found[c]) for c in _ATTRS]
+    got = base.join(found, same[0] & same[1] & same[2] & same[3] & same[4] & same[5] & same[6], "left").select(base["id"], "can", "rep", "h")
+    return got.select("id", F.when(F.col("can"), F.coalesce(F.col("h.id"), F.col("rep.id"))).otherwise(F.col("id")).alias("canonical"))

@@ -64,7 +64,25 @@ QUERIES = {
     "JN07_AG19_mentioned_handles": mentioned_handles, "TX63_SF24_pasted_link": links,
     "SC27_list_entries": titles, "PR06_placeholder_amount": amounts,
 }
+# the sequential rule: step i takes the i-th advert of every group, with the heads of the group so far as a list
+_GREEDY = f"""WITH RECURSIVE {LISTINGS_SQL},
+e AS (SELECT DISTINCT ON (id) id, brand_norm, model_norm, year, price_gbp, seller, is_active, first_seen_at, coalesce(CASE WHEN km IN (123456, 1234567, 654321, 12345678)
+    OR regexp_matches(km::VARCHAR, '^(1{{6,7}}|2{{6,7}}|3{{6,7}}|4{{6,7}}|5{{6,7}}|6{{6,7}}|7{{6,7}}|8{{6,7}}|9{{6,7}})$') OR (km < 1000 AND {S.as_of.year} - year >= 2) OR (km < 15000 AND {S.as_of.year} - year >= 10) THEN NULL ELSE km END, 0)::DOUBLE AS km FROM listings),
+o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY brand_norm, model_norm, year) AS g, row_number() OVER (PARTITION BY brand_norm, model_norm, year ORDER BY first_seen_at NULLS LAST, id) AS i FROM e),
+edge AS MATERIALIZED (
+  SELECT a.g, a.i, list(b.i) AS m FROM o a JOIN o b ON a.g = b.g AND b.i < a.i AND (NOT a.is_active OR b.is_active)
+    AND CASE WHEN a.km <> 0 AND b.km <> 0 THEN abs(a.km - b.km) <= greatest(500, 0.02::DOUBLE * greatest(a.km, b.km)) AND (a.seller = b.seller OR abs(a.price_gbp - b.price_gbp)
+        <= CASE WHEN a.km % 1000 = 0 AND b.km % 1000 = 0 THEN 0.03::DOUBLE ELSE 0.15::DOUBLE END * greatest(a.price_gbp, b.price_gbp))
+      ELSE a.seller = b.seller AND abs(a.price_gbp - b.price_gbp) <= 0.15::DOUBLE * greatest(a.price_gbp, b.price_gbp) END GROUP BY a.g, a.i),
+row_ AS MATERIALIZED (SELECT o.g, o.i, o.id, coalesce(edge.m, []) AS m FROM o LEFT JOIN edge USING (g, i)),
+walk(g, i, heads, head) AS (
+  SELECT DISTINCT g, 0::BIGINT, []::BIGINT[], NULL::BIGINT FROM o
+  UNION ALL
+  SELECT g, i, CASE WHEN head IS NULL THEN list_append(heads, i) ELSE heads END, head FROM (
+    SELECT w.g, r.i, w.heads, list_min(list_intersect(r.m, w.heads)) AS head FROM walk w JOIN row_ r ON r.g = w.g AND r.i = w.i + 1))
+SELECT r.id, c.id AS canonical FROM walk w JOIN row_ r USING (g, i) JOIN row_ c ON c.g = w.g AND c.i = coalesce(w.head, w.i)"""
 ORACLE_SQL = {
+    "DM30_greedy_duplicates": _GREEDY,
     "AG28_AG30_ridge_curves": f"""WITH {LISTINGS_SQL},
 x AS (SELECT brand_norm, model_norm, year, ln(price_gbp) AS y, (1998 - year)::DOUBLE AS a, km / 10000.0::DOUBLE AS k, least(1.0::DOUBLE, 2.0::DOUBLE / count(*) OVER (PARTITION BY brand_norm, model_norm, seller)) AS w
   FROM listings WHERE price_gbp > 0 AND km IS NOT NULL),

@@ -78,6 +78,27 @@ def test_greedy_marking_equals_all_pairs(spark):
     assert len(got) == len(rows) and {x.id: x.canonical for x in got} == want and 0 < len(heads) < len(rows)
 
 
+def test_greedy_marking_of_a_hot_model(spark):
+    """One model and year with many near mileages and prices, many equal rows, and few sellers; rows without a date come last."""
+    r = random.Random(6)
+    rows = []
+    for i in range(1500):
+        km = r.choice([None, 60_000, 60_000 + r.randrange(3000), r.randrange(20_000, 200_000)])
+        rows.append((f"{i:05}", "X", "Y", 2012, km, float(r.choice([5000, 5000 + r.randrange(2000), 20_000])), None if i % 97 == 0 else T0 + dt.timedelta(r.randrange(90)), f"s{r.randrange(40)}", r.random() < 0.7))
+    names = ["id", "brand_norm", "model_norm", "year", "km", "price_gbp", "first_seen_at", "seller", "is_active"]
+    heads, want = [], {}
+    for x in sorted((dict(zip(names, row, strict=True)) for row in rows), key=lambda x: (x["first_seen_at"] is None, x["first_seen_at"] or T0, x["id"])):
+        same = next((h for h in heads if (h["is_active"] or not x["is_active"]) and _same_car(h, x)), None)
+        want[x["id"]] = (same or x)["id"]
+        if same is None:
+            heads.append(x)
+    types = "id string, brand_norm string, model_norm string, year int, km int, price_gbp double, first_seen_at timestamp, seller string, is_active boolean"
+    got = {x.id: x.canonical for x in book.greedy_duplicates(spark.createDataFrame(rows, types), Settings()).collect()}
+    assert got == want and 10 < len(heads) < 1200
+    none = spark.createDataFrame([], types)
+    assert book.greedy_duplicates(none).count() == 0
+
+
 def test_book_needs_two_nights_for_a_jump(spark):
     prev = spark.createDataFrame([("k1", 100.0, None, 0), ("k2", 100.0, 125.0, 1), ("k4", 0.0, None, 0), ("k5", 100.0, 180.0, 1)], "k string, value double, candidate double, nights int")
     new = spark.createDataFrame([("k1", 130.0, 9, 4), ("k2", 130.0, 9, 4), ("k3", 50.0, 2, 2), ("k4", 70.0, 9, 4), ("k5", 130.0, 9, 4)], "k string, value double, n int, sellers int")
