@@ -28,14 +28,29 @@ _OTHER = regex.compile(r"[\x1c-\x1f]")
 #: Lower case of letters that Unicode 16 and 17 added; Python's own table is older.
 _NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
 _NEWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-#: Ranges that the regex library takes for letters and the tokenizer library does not, its tables being older.
+#: Ranges that the regex library takes for letters or numbers and the tokenizer library does not, its tables being older.
 _LATER = (
     "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
     "11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
     "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 "
-    "1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+    "1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F 11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 )
-_LATER = regex.compile("[" + "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in _LATER.split()) + "]")
+#: Marks that the tokenizer library's normalisation does not reorder, as it does not know their classes.
+_UNORDERED = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 "
+    "11070 1133B 1145E 11839-1183A 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 "
+    "1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+_LATER, _UNORDERED = (regex.compile("([" + "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in ranges.split()) + "])") for ranges in (_LATER, _UNORDERED))
+
+
+def composed(text: str) -> str:
+    """NFC as the tokenizer library has it: marks of an unknown class stand like letters and part what is around them."""
+    if text.isascii():
+        return text
+    if not _UNORDERED.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", p) for p in _UNORDERED.split(text))
 
 
 def byte_symbols() -> list[str]:
@@ -114,7 +129,7 @@ class WordBpe:
             parts = self.special.split(word)
         got: list[bytes] = []
         for p in parts:
-            p = unicodedata.normalize("NFC", p).replace("Σ", "σ").lower()
+            p = composed(p).replace("Σ", "σ").lower()
             if not p.isascii():
                 p = p.translate(_NEWER)
                 if _LATER.search(p):
