@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from advertlake.session import table
 from advertlake.sources.shared import new_path
-from advertlake.streaming import ingest, watch
+from advertlake.streaming import ingest, tail, watch
 
 
 def _stream(spark, d):
@@ -63,9 +63,40 @@ def daily(spark, d):
     return spark.read.schema("day date, event_type string, rows long").parquet(out).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "rows")
 
 
-QUERIES = {"SM23_daily_counts": daily, "SC21_reject_reasons": rejects, "SM01_SM02_ingest": posts, "SM21_failure_counter": failures, "SM29_brake": brakes}
+def tailed(spark, d):
+    """The events as lines of a folder that a tail reads in batches of 20 kB."""
+    path, out, chk = (new_path(spark, kind) for kind in ("lines", "tail", "chk"))
+    e = table(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type", "user_id")).alias("value"))
+    e.repartition(3).write.text(path)
+    query = tail.to_batches(tail.tail(spark, path, chk, 20_000), out, chk)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = spark.read.schema(f"{tail.SCHEMA}, batch int").parquet(out).select(F.from_json("value", "event_id long, event_type string, user_id long").alias("v"))
+    return got.select("v.event_id", "v.event_type", "v.user_id")
+
+
+_SCANS = {"first": ("", 0, "2024-01-08 00:00:00"), "middle": ("facebook-20240105.jsonl", 2000, "2024-01-10 00:00:00"), "uncovered": ("facebook-20240105.jsonl", 0, "2024-01-01 12:00:00"), "no_window": ("z", 0, None)}
+
+
+def handoff(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    lines = e.select(F.concat(F.lit("facebook-"), F.date_format("ts", "yyyyMMdd"), F.lit(".jsonl")).alias("file"), F.col("event_id").alias("at"), F.when(F.col("event_type") != "error", F.col("ts")).alias("seen"))
+    now, out = F.lit("2024-01-20 00:00:00").cast("timestamp"), None
+    for name, (file, at, end) in _SCANS.items():
+        one = tail.handoff_scan(lines, (file, at), None if end is None else F.lit(end).cast("timestamp"), now).select(F.lit(name).alias("scan"), "in_window", "pending")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {"SC20_tail": tailed, "SC22_handoff_scan": handoff, "SM23_daily_counts": daily, "SC21_reject_reasons": rejects, "SM01_SM02_ingest": posts, "SM21_failure_counter": failures, "SM29_brake": brakes}
 _REASON = """CASE WHEN value > 200 THEN 'bozuk_satir' WHEN value < 10 THEN 'surum' WHEN event_type = 'signup' THEN 'platform' WHEN user_id = 7 OR props IS NULL THEN 'alan' END"""
 ORACLE_SQL = {
+    "SC20_tail": "SELECT event_id, event_type, user_id FROM events",
+    "SC22_handoff_scan": " UNION ALL ".join(f"""SELECT '{n}' AS scan, CASE WHEN count(*) FILTER (seen <= e - INTERVAL 24 HOUR) > 0 THEN count(*) FILTER (seen > e - INTERVAL 24 HOUR AND seen <= e) END AS in_window,
+  count(*) FILTER ((file > '{f}' OR (file = '{f}' AND place >= {a})) AND TIMESTAMP '2024-01-20' - seen > INTERVAL 1 HOUR) AS pending
+FROM (SELECT 'facebook-' || strftime(ts, '%Y%m%d') || '.jsonl' AS file, event_id AS place, ts AS seen, {'NULL' if w is None else f"'{w}'"}::TIMESTAMP AS e FROM events WHERE event_type <> 'error')""" for n, (f, a, w) in _SCANS.items()),
     "SM23_daily_counts": """WITH e AS (SELECT event_type, timezone('Asia/Famagusta', timezone('UTC', ts))::DATE AS day FROM events)
 SELECT strftime(day, '%Y-%m-%d') AS day, event_type, count(*) AS rows FROM e WHERE day <= (SELECT max(day) FROM e) - 2 GROUP BY ALL""",
     "SC21_reject_reasons": f"SELECT coalesce({_REASON}, 'ok') AS reason, count(*) AS lines FROM events GROUP BY 1",
