@@ -2,7 +2,8 @@
 
 Key: (60 bits of the text's md5, doc_id), so equal texts are neighbours. Round by round the bytes below evenly spaced candidate
 boundaries are counted exactly over all rows; each splitter keeps the candidates around its target and is refined until it is within
-the tolerance or the key can't be split. Rows are exchanged once, straight to the partition of their range, and sorted there.
+the tolerance or the key can't be split. A group of equal texts stays in one shard unless it is larger than a share of a shard (`whole`): only then is
+it cut by doc_id. Rows are exchanged once, straight to the partition of their range, and sorted there.
 A null text has no bytes and is a group of its own, a null doc_id sorts first, rows that repeat text and doc_id stay together, an
 empty table gives an empty result. Only doc_id and text are read.
 """
@@ -58,8 +59,9 @@ def _refine(rows: DataFrame, at: list[dict], key: str, tolerance: float, bins: i
     return at
 
 
-def splitters(base: DataFrame, parts: int, tolerance: float, bins: int = 8192) -> list[tuple[int, int]]:
-    """parts - 1 keys (h, d), in order, that cut the rows (h, d, size) into parts of nearly equal size."""
+def splitters(base: DataFrame, parts: int, tolerance: float, bins: int = 8192, sub: int = 1, whole: float = 0.0) -> list[tuple[int, int]]:
+    """parts - 1 keys (h, d), in order, that cut the rows (h, d, size) into parts of nearly equal size. Every sub-th boundary is one of a shard: it cuts no
+    group of up to `whole` bytes."""
     total = int(base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     at = [{"want": total * k / parts, "g": 0, "lo": -1, "hi": 1 << 60, "below": 0, "inside": 0, "done": False} for k in range(1, parts)]
     if not total or not at:
@@ -68,7 +70,7 @@ def splitters(base: DataFrame, parts: int, tolerance: float, bins: int = 8192) -
     while todo := [t for t in at if not t["done"]]:
         _refine(rows, todo, "h", tolerance, bins)
     out = [(t["edge"], _MIN) for t in at]
-    if cut := [j for j, t in enumerate(at) if t["off"] > tolerance and t["inside"] > tolerance]:  # a group of equal texts is to be cut
+    if cut := [j for j, t in enumerate(at) if t["off"] > tolerance and t["inside"] > (tolerance if (j + 1) % sub else max(tolerance, whole))]:  # a group of equal texts is to be cut
         groups = sorted({at[j]["lo"] for j in cut})
         own = base.filter(F.col("h").isin(groups))
         ends = {r["h"]: (r["a"], r["b"]) for r in own.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b")).collect()}
@@ -84,11 +86,11 @@ def splitters(base: DataFrame, parts: int, tolerance: float, bins: int = 8192) -
     return sorted(out)
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.002) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, whole: float = 0.05) -> DataFrame:
     """Per document: doc_id, size (bytes + 8), text_crc32, shard (0 to shards - 1) and slot (its place in the shard, gapless from 0).
 
-    Shards are key ranges whose sizes differ from the mean by at most the tolerance (a share of a shard) or, where single documents are larger
-    than that, by the document at the boundary. Each shard is exchanged in several sub-ranges, so its rows need no single task.
+    Shards are key ranges whose sizes differ from the mean by at most the tolerance (a share of a shard) or, where a document or a group of equal texts at a
+    boundary is larger than that, by half of it; groups of up to `whole` of a shard are in one shard. Each shard is exchanged in several sub-ranges, so its rows need no single task.
     """
     none = F.col("text").isNull()
     base = written(
@@ -103,7 +105,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.002)
     sub = max(1, -(-shuffle_partitions(docs.sparkSession) // shards))
     parts = shards * sub
     mean = int(base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) / shards
-    cuts = splitters(base, parts, mean * tolerance)
+    cuts = splitters(base, parts, mean * tolerance, sub=sub, whole=mean * whole)
     keyed = base.withColumn("part", _bisect(cuts))
     counts = {r["part"]: r["count"] for r in keyed.groupBy("part").count().collect()}
     before = []

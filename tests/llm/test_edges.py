@@ -175,3 +175,17 @@ def test_a_large_group_of_equal_texts_is_cut(spark):
     mean = sum(per.values()) / 24
     assert len(got) == len(rows) and len(per) == 24 and max(abs(v - mean) for v in per.values()) <= 0.1 * mean
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_small_groups_of_equal_texts_stay_whole(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, f"text {g} " + "x" * int(60 + g % 40)) for i, g in enumerate(rng.integers(0, 900, 4000))] + [(9000 + i, "hot " * 20) for i in range(1500)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text, per, of = dict(rows), {}, {}
+    for r in got:
+        per[r.shard] = per.get(r.shard, 0) + r.size
+        of.setdefault(text[r.doc_id], set()).add(r.shard)
+    mean = sum(per.values()) / 24
+    size = {t: sum(len(t) + 8 for _, u in rows if u == t) for t in of}
+    assert len(got) == len(rows) and all(len(s) == 1 for t, s in of.items() if size[t] <= 0.05 * mean) and len(of["hot " * 20]) > 5
+    assert max(abs(v - mean) for v in per.values()) <= 0.06 * mean
