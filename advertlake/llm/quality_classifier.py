@@ -165,7 +165,8 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model:
-    """A model from the labelled documents; of more than max_rows (the documented bound of the sample), those first by the hash of their doc_id."""
+    """A model from the labelled documents; of more than max_rows (the documented bound of the sample), those first by the hash of their doc_id; of texts that
+    share a doc_id, the first by its hash."""
     own = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
     own = own.groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_y").alias("_l")).filter("_y = _l").drop("_l")
     picked = own.orderBy(F.xxhash64("_id"), "_id").limit(max_rows).collect()  # at most max_rows numbers
@@ -174,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model:
     y = {r["_id"]: r["_y"] for r in picked}
     ids = docs.sparkSession.createDataFrame(pd.DataFrame({"_id": list(y)}))
     got = docs.select(F.col("doc_id").alias("_d"), F.coalesce("text", F.lit("")).alias("_t"))
-    got = got.join(F.broadcast(ids), F.col("_d") == F.col("_id"), "left_semi").dropDuplicates(["_d"]).collect()
+    got = got.join(F.broadcast(ids), F.col("_d") == F.col("_id"), "left_semi")
+    got = got.groupBy("_d").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), F.col("_t"))).alias("_t")).collect()
     got.sort(key=lambda r: r["_d"])
     return train([r["_t"] for r in got], [y[r["_d"]] for r in got])
 

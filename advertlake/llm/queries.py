@@ -163,7 +163,7 @@ FROM met m JOIN fair g USING (part, x)
 """,
     "op3_source_mixing": r"""
 WITH RECURSIVE doc AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS mark, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
@@ -183,7 +183,7 @@ goal AS (
          CASE WHEN source_size > 0 THEN least(2.0::DOUBLE * source_size, weight * level) / source_size ELSE 0.0::DOUBLE END AS rate
   FROM per, top)
 SELECT d.doc_id, d.size, g.source_size, g.target,
-  (d.size * (floor(g.rate) + CASE WHEN (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT)::DOUBLE
+  (d.size * (floor(g.rate) + CASE WHEN (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || d.mark), 1, 13))::BIGINT)::DOUBLE
      / 4503599627370496.0::DOUBLE < g.rate - floor(g.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM doc d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
 """,

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from advertlake.llm import queries as Q
+from advertlake.llm import source_mixing
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,6 +66,22 @@ def test_mix_comes_near_its_targets(spark, docs):
     assert math.isclose(sum(t for t, _ in goal.values()), 1.5 * sum(size.values()), rel_tol=1e-9)
     assert all(t <= 2 * s + 1e-6 for t, s in goal.values())
     assert rows == Q.op3_source_mixing(spark, SMALL).collect()
+    # a draw of its own per document: five standard deviations of the fractional copies, with the largest documents counted
+    for s, (target, whole) in goal.items():
+        part = target / whole - math.floor(target / whole)
+        spread = math.sqrt(part * (1 - part) * sum(size[d] ** 2 for d in size if source[d] == s))
+        assert abs(taken[s] - target) <= 5 * spread + 1, (s, taken[s], target)
+
+
+@pytest.mark.parametrize("ids", ["none", "one"])
+def test_rows_without_an_id_of_their_own_are_mixed_by_their_texts(spark, ids):
+    rows = [(None if ids == "none" else 7, " ".join(["w"] * 20) + f" {i}", "s" if i % 4 else "t") for i in range(2000)]
+    plan = source_mixing.mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = defaultdict(list)
+    for r in plan:
+        by[r.source_size].append(r)
+    for part in by.values():
+        assert abs(sum(r.taken for r in part) - part[0].target) <= 0.08 * part[0].target
 
 
 def test_neighbours_reach_the_recall(spark, vectors):
