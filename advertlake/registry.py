@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from advertlake.plans import advert_text, book, changes, checks, curves, delivery, freetext, market, pages, reads, relational, streams, texts, twins
+from advertlake.plans import advert_text, book, changes, checks, curves, delivery, freetext, market, pages, reads, relational, sitemaps, streams, texts, twins
 
-_PLANS = [market, relational, book, streams, delivery, curves, advert_text, reads, changes, texts, twins, checks, freetext, pages]
+_PLANS = [market, relational, book, streams, delivery, curves, advert_text, reads, changes, texts, twins, checks, freetext, pages, sitemaps]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _PLANS for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _PLANS for k, q in m.ORACLE_SQL.items()}
 
