@@ -64,11 +64,11 @@ def daily(spark, d):
 
 
 def tailed(spark, d):
-    """The events as lines of a folder that a tail reads in batches of 20 kB."""
+    """The events as lines of a folder that a tail reads in batches of 200 kB."""
     path, out, chk = (new_path(spark, kind) for kind in ("lines", "tail", "chk"))
     e = table(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type", "user_id")).alias("value"))
     e.repartition(3).write.text(path)
-    query = tail.to_batches(tail.tail(spark, path, chk, 20_000), out, chk)
+    query = tail.to_batches(tail.tail(spark, path, chk, 200_000), out, chk)
     try:
         query.processAllAvailable()
     finally:
