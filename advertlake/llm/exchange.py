@@ -9,6 +9,8 @@ packets is in proportion to the corpus: 4 MB batches up to 27 GB, 25 MB at 1 TB,
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +61,20 @@ def batch_of(splits: np.ndarray, col: Column, mark: Column | None = None) -> Col
     return find(col) if mark is None else find_both(col, mark)
 
 
+def freed(body):
+    """body (rows -> batches) that gives its memory back to the system when a partition ends: idle workers of earlier stages stay alive beside the working ones."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from body(rows)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def table_of(rows: Iterator[pa.RecordBatch]) -> pa.Table | None:
     got = list(rows)
     return pa.Table.from_batches(got) if got else None

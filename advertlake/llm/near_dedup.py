@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advertlake.llm.common import connected_components, mix, spread_join, window_hashes, word_hashes, written
-from advertlake.llm.exchange import batch_of, batches, row_id, split_by_bucket, table_of
+from advertlake.llm.exchange import batch_of, batches, freed, row_id, split_by_bucket, table_of
 
 SHINGLE, BANDS, ROWS, IDF_SHARE = 5, 10, 3, 0.25
 TILE = 128
@@ -280,11 +280,11 @@ def _judged(docs: DataFrame, threshold: float) -> tuple[int, DataFrame]:
 
     counts = written(
         dealt()
-        .mapInArrow(send, "g int, bucket int, data binary, n binary")
+        .mapInArrow(freed(send), "g int, bucket int, data binary, n binary")
         .repartitionById(n, "bucket")
-        .mapInArrow(_frequencies, "g int, bucket int, data binary")
+        .mapInArrow(freed(_frequencies), "g int, bucket int, data binary")
     )
-    signed = written(dealt(counts).mapInArrow(sign, "node long, id long, bands array<long>, q binary"))
+    signed = written(dealt(counts).mapInArrow(freed(sign), "node long, id long, bands array<long>, q binary"))
 
     keyed = signed.select("node", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(
@@ -390,7 +390,7 @@ def _verify(unit: DataFrame, payload: DataFrame, n_docs: int, threshold: float)
         if held:
             yield packed(done(held))
 
-    return dealt.select("unit", "side", "node", "band", "part", "lead", "text", "q").mapInArrow(verify, "a long, b long, band long")
+    return dealt.select("unit", "side", "node", "band", "part", "lead", "text", "q").mapInArrow(freed(verify), "a long, b long, band long")
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

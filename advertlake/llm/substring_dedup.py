@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from advertlake.llm.common import mix, window_hashes, word_hashes, written
-from advertlake.llm.exchange import batch_of, batches, row_id, split_by_bucket, table_of
+from advertlake.llm.exchange import batch_of, batches, freed, row_id, split_by_bucket, table_of
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -268,13 +268,13 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 d = d.withColumn(c, F.lit(None).cast(kind))
         return d.repartitionById(n, "g")
 
-    found = written(dealt(lean).mapInArrow(send_probes, _PACKED).repartitionById(n, "bucket").mapInArrow(_join_probes, _PACKED))
+    found = written(dealt(lean).mapInArrow(freed(send_probes), _PACKED).repartitionById(n, "bucket").mapInArrow(freed(_join_probes), _PACKED))
     before = written(
-        dealt(lean, found).mapInArrow(send_windows, _PACKED).repartitionById(n, "bucket").mapInArrow(_join_windows, _PACKED)
+        dealt(lean, found).mapInArrow(freed(send_windows), _PACKED).repartitionById(n, "bucket").mapInArrow(freed(_join_windows), _PACKED)
     )
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"{names[c]} {kinds[c]}" for c in other), "text string", "n_words long", "n_removed long", "removed array<struct<start:long,end:long>>"])
-    out = dealt(base, found, before).mapInArrow(cut, schema)
+    out = dealt(base, found, before).mapInArrow(freed(cut), schema)
     keep = [F.col(names[c]).alias(c) if c != "text" else F.col("text") for c in docs.columns]
     return out.select(*keep, "n_words", "n_removed", "removed")
 
