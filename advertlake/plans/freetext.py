@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from advertlake.functions import freetext as T
 from advertlake.session import table
+from advertlake.sources.shared import spread
 
 NEWEST = 2027
 # make as written, model as written, make, model
@@ -75,13 +76,13 @@ _COLUMNS = ["brand", "model", "year", "km", "km_least", "phone", "price_amount",
 
 def free_posts(spark: SparkSession, d: str) -> DataFrame:
     text, newest = F.col("text"), F.lit(NEWEST)
-    rows = posts(spark, d).select("o_orderkey", T.parse_freetext(text, newest).alias("p"), T.diagnose(text, newest).alias("reason"))
+    rows = spread(posts(spark, d)).select("o_orderkey", T.parse_freetext(text, newest).alias("p"), T.diagnose(text, newest).alias("reason"))
     return rows.select("o_orderkey", "reason", *[f"p.{c}" for c in _COLUMNS])
 
 
 def post_prices(spark: SparkSession, d: str) -> DataFrame:
     """The price of the text itself, and whether it hangs on the last characters of a text that may be cut."""
-    rows = posts(spark, d).select("o_orderkey", T.body_price(F.col("text")).alias("p"), T.price_in_cut_tail(F.col("text")).alias("at_end"))
+    rows = spread(posts(spark, d)).select("o_orderkey", T.body_price(F.col("text")).alias("p"), T.price_in_cut_tail(F.col("text")).alias("at_end"))
     return rows.select("o_orderkey", "p.amount", "p.currency", "at_end")
 
 
