@@ -8,8 +8,8 @@
    at least one bucket with probability 1 - (1 - 0.8**3)**10 = 0.9992, above that with more.
 4. Within a bucket, pairs are verified by their exact weighted Jaccard similarity until everything that can be linked is linked: a document is
    compared with all that are not yet in its group, so no link between groups is lost, yet a group of n near copies makes n - 1 links and not
-   n * n / 2. A bucket of more than TILE documents is dealt into tiles that meet its first document and themselves; only what those links leave
-   outside the first document's group meets the other tiles.
+   n * n / 2. Buckets of more than TILE documents with the same first document are dealt together into tiles that meet it and themselves; only what
+   those links leave outside the first document's group meets the other tiles of its buckets.
 5. Connected components of the links are the classes; the smallest doc_id names a class, and one row that carries it is kept.
 
 The unit that is signed, bucketed and verified is the text, by a 64-bit hash that is checked to be unique, so any number of rows may lack a
@@ -314,19 +314,25 @@ def _judged(docs: DataFrame, threshold: float) -> tuple[int, DataFrame]:
 def verified_links(texts: DataFrame, signed: DataFrame, members: DataFrame, n_docs: int, threshold: float) -> DataFrame:
     """(a, b): the links that join the members (node, band, n, first) of each bucket as all its pairs of similarity >= threshold would. A signed
     text is taken from a row of its node and id."""
+    large = members.filter(F.col("n") > TILE)
+    # a unit is a small bucket, or one tile of all large buckets with the same first member, which meets every tile: near copies share most of
+    # their buckets, so a document is in few units and not in one for each band. Such a unit bears the first member as its band.
+    joint = written(large.select("first", "node").distinct())
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    # a unit is a bucket, or one tile of a large bucket with the bucket's first member, which meets every tile
     lead = F.col("node") == F.col("first")
     place = F.explode(F.when(lead, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(tile)))
-    unit = members.select("node", "band", (tiles > 1).alias("part"), lead.alias("lead"), place.alias("tile"))
-    unit = unit.select("node", "band", "part", "lead", F.xxhash64("band", "tile").alias("unit"), F.lit(0).alias("side"))
+    dealt = joint.join(F.broadcast(joint.groupBy("first").agg(F.count("*").alias("n"))), "first").select("node", "first", lead.alias("lead"), place.alias("tile"))
+    unit = dealt.select("node", F.col("first").alias("band"), F.lit(True).alias("part"), "lead", F.xxhash64(F.lit("first"), "first", "tile").alias("unit"))
+    small = members.filter(F.col("n") <= TILE).select("node", "band", F.lit(False).alias("part"), F.lit(False).alias("lead"), F.xxhash64("band", F.lit(0)).alias("unit"))
+    unit = unit.unionByName(small).withColumn("side", F.lit(0))
     payload = _payload(texts, signed, members)
     got = written(_verify(unit, payload, n_docs, threshold))
-    rest = got.filter("b is null").select(F.col("a").alias("node"), "band").distinct()
+    rest = got.filter("b is null").select(F.col("a").alias("node"), F.col("band").alias("first")).distinct()
     links = got.filter("b is not null").select("a", "b")
     if rest.isEmpty():
         return links
+    rest = written(large.join(rest, ["first", "node"], "left_semi").select("node", "band"))
     # chunks of what is not in the first member's group meet every tile of the bucket
     chunks = F.ceil(F.col("left") / TILE).cast("int")
     sizes = written(rest.groupBy("band").agg(F.count("*").alias("left")))
