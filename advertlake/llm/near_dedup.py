@@ -9,7 +9,7 @@
 4. Within a bucket, pairs are verified by their exact weighted Jaccard similarity until everything that can be linked is linked: a document is
    compared with all that are not yet in its group, so no link between groups is lost, yet a group of n near copies makes n - 1 links and not
    n * n / 2. Buckets of more than TILE documents with the same first document are dealt together into tiles that meet it and themselves; only what
-   those links leave outside the first document's group meets the other tiles of its buckets.
+   those links leave outside the largest group meets the other tiles.
 5. Connected components of the links are the classes; the smallest doc_id names a class, and one row that carries it is kept.
 
 The unit that is signed, bucketed and verified is the text, by a 64-bit hash that is checked to be unique, so any number of rows may lack a
@@ -328,20 +328,30 @@ def verified_links(texts: DataFrame, signed: DataFrame, members: DataFrame, n_do
     unit = unit.unionByName(small).withColumn("side", F.lit(0))
     payload = _payload(texts, signed, members)
     got = written(_verify(unit, payload, n_docs, threshold))
-    rest = got.filter("b is null").select(F.col("a").alias("node"), F.col("band").alias("first")).distinct()
     links = got.filter("b is not null").select("a", "b")
+    if got.filter("b is null").isEmpty():
+        return links
+    # what those links have joined needs no more comparisons: of large buckets with the same first member, together, only the members outside their
+    # largest group are left, and a pair that shares several of these buckets meets once
+    groups = connected_components(links)
+    at = written(joint.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    most = at.groupBy("first", "component").agg(F.count("*").alias("m")).groupBy("first").agg(F.max(F.struct("m", "component"))["component"].alias("most"))
+    rest = written(at.join(F.broadcast(most), "first").filter("component <> most").select("node", F.col("first").alias("band")))
     if rest.isEmpty():
         return links
-    rest = written(large.join(rest, ["first", "node"], "left_semi").select("node", "band"))
-    # chunks of what is not in the first member's group meet every tile of the bucket
-    chunks = F.ceil(F.col("left") / TILE).cast("int")
-    sizes = written(rest.groupBy("band").agg(F.count("*").alias("left")))
-    wide = members.join(sizes, "band").withColumns({"tiles": tiles, "chunks": chunks, "tile": tile})
-    ask = rest.join(wide, ["node", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
-    ask = ask.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(0))
-    meet = wide.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1))
-    both = ask.select("node", "band", "chunk", "tile", "side").unionByName(meet.select("node", "band", "chunk", "tile", "side"))
-    unit = both.select("node", "band", F.lit(False).alias("part"), F.lit(False).alias("lead"), F.xxhash64("band", "chunk", "tile").alias("unit"), "side")
+    # chunks of what is left meet each other once, and every tile of the largest group
+    sizes = at.groupBy("first").agg(F.count("*").alias("n")).withColumnRenamed("first", "band").join(rest.groupBy("band").agg(F.count("*").alias("left")), "band")
+    sizes = sizes.select("band", F.ceil(F.col("left") / TILE).cast("int").alias("chunks"), F.ceil((F.col("n") - F.col("left")) / TILE).cast("int").alias("tiles"))
+    wide = joint.withColumnRenamed("first", "band").join(F.broadcast(written(sizes)), "band")
+    ask = wide.join(rest, ["node", "band"], "left_semi").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
+    other = ask.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    place = F.xxhash64(F.lit("chunks"), "band", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    other = other.select("node", "band", place.alias("unit"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+    met = ask.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(0))
+    meet = wide.join(rest, ["node", "band"], "left_anti").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    meet = meet.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1))
+    both = other.unionByName(met.unionByName(meet).select("node", "band", F.xxhash64("band", "chunk", "tile").alias("unit"), "side"))
+    unit = both.select("node", "band", F.lit(False).alias("part"), F.lit(False).alias("lead"), "unit", "side")
     return links.unionByName(_verify(unit, _payload(texts, signed, wide), n_docs, threshold).select("a", "b"))
 
 
