@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,17 +134,15 @@ def _same_car() -> Column:
     return same & (~F.col("active") | h["active"]) & F.when(both, near & (ours | (close & F.col("model_norm").isNotNull()))).otherwise(ours & close)
 
 
-def greedy_duplicates(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
+def greedy_duplicates(rows: DataFrame, s: Settings = Settings(), most: int = 500_000) -> DataFrame:
     """(id, canonical) of every row: the first earlier advert of the same model and year that is itself canonical and surely the same car, else
     the row itself. Order (first_seen_at, unknown last, then id) decides: A~B and B~C do not join C to A unless C matches A. With both mileages
     believed (effective_km), they must be within 500 or 2 %, and the seller the same or the price within 15 % (3 % where both mileages are round);
     otherwise the same seller and a price within 15 %. Without a model only the same seller counts, without a brand or year nothing does. seller
     (the contact) and is_active may be missing; an active advert is a copy of active ones only.
 
-    Rows of equal attributes are one. Heads are found in rounds: rows lie in cells of mileage, price and seller, wide enough that matches lie in
-    neighbouring cells; the earliest undecided row of all cells that it reaches is a head, for no earlier row can match it, and undecided rows
-    that match a new head are copies. So rows meet heads only, no pairs of a model are made, and no model lies in one task. In the end every
-    copy gets the first head that it matches."""
+    The adverts of a model and year are shuffled once and walked in numpy (first_heads), where a block of rows meets only heads of near mileage and price or
+    of its seller. Of models and years with more than `most` adverts, which need not fit a task, the heads are found by joins in rounds (_in_rounds)."""
     km = F.coalesce(effective_km(F.col("km"), F.col("year"), s.as_of).cast("double"), F.lit(0.0))
     seller = F.coalesce(F.col("seller").cast("string"), F.lit("")) if "seller" in rows.columns else F.lit("")
     active = F.coalesce("is_active", F.lit(False)) if "is_active" in rows.columns else F.lit(False)
@@ -150,6 +151,89 @@ def greedy_duplicates(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     sold_by, priced = F.col("seller") != "", F.col("price_gbp") != 0
     can = F.col("brand_norm").isNotNull() & F.col("year").isNotNull() & F.when(F.col("km") != 0, sold_by | (priced & F.col("model_norm").isNotNull())).otherwise(sold_by & priced)
     base = persisted(base.withColumn("can", can))
+    group = [*KEYS, "year"]
+    large = base.filter("can").groupBy(*group).count().filter(F.col("count") > most).select(*group, F.lit(True).alias("large"))
+    large = large.sparkSession.createDataFrame(large.collect(), large.schema)  # at most one row per `most` adverts
+    alike = [base[c].eqNullSafe(large[c]) for c in group]
+    marked = base.join(F.broadcast(large), alike[0] & alike[1] & alike[2], "left").select(*[base[c] for c in base.columns], F.coalesce("large", F.lit(False)).alias("large"))
+    walked = marked.filter("can and not large").select("id", *_ATTRS, F.col("o.none").alias("none"), F.col("o.at").alias("at"))
+    kind = base.schema["id"].dataType.simpleString()
+    out = walked.groupBy(*group).applyInArrow(first_heads, f"id {kind}, canonical {kind}").unionByName(base.filter("not can").select("id", F.col("id").alias("canonical")))
+    return out if large.isEmpty() else out.unionByName(_in_rounds(marked.filter("can and large").drop("large")))
+
+
+BLOCK, FAR = 2048, 1 << 20
+
+
+def first_heads(t: pa.Table) -> pa.Table:
+    """(id, canonical) of the adverts of one model and year, by the sequential rule. A block of rows meets the heads so far, then what is left of it itself.
+    Heads lie by (mileage cell, log price) and by (seller, mileage cell): heads do not match each other, so there are few in the reach of a row."""
+    t = t.sort_by([("none", "ascending"), ("at", "ascending"), ("id", "ascending")])
+    km, price, active = (t[c].to_numpy(zero_copy_only=False) for c in ("km", "price_gbp", "active"))
+    sellers = pc.dictionary_encode(t["seller"].combine_chunks())
+    seller, none = sellers.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.index(sellers.dictionary, "").as_py()
+    model, n = t["model_norm"][0].is_valid, len(km)
+    cell = np.where(km <= KM_TURN, np.floor(km / KM_STEP), KM_TURN // KM_STEP + np.floor(np.log(np.maximum(km, 1) / KM_TURN) / (-math.log(1 - KM_SHARE) * 1.0001)))
+    cell = np.where(km == 0, FAR - 2, cell).astype(np.int64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        log_price = np.where(price > 0, np.log(price), np.nan)
+    spot, shop, wide = cell * 2048.0 + log_price, seller * FAR + cell, -math.log(1 - PRICE_SHARE) + 1e-6
+    priced = (km != 0) & (price > 0) & model
+    first, even = np.arange(n), km % ROUND_KM == 0
+
+    def same(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        both = (km[i] != 0) & (km[j] != 0)
+        near = np.abs(km[i] - km[j]) <= np.maximum(KM_STEP, KM_SHARE * np.maximum(km[i], km[j]))
+        ours = (seller[i] == seller[j]) & (seller[i] != none)
+        share = np.where(both & even[i] & even[j], ROUND_PRICE_SHARE, PRICE_SHARE)
+        close = (price[i] != 0) & (price[j] != 0) & (np.abs(price[i] - price[j]) <= share * np.maximum(price[i], price[j]))
+        return (~active[i] | active[j]) & np.where(both, near & (ours | (close & model)), ours & close)
+
+    def met(rows: np.ndarray, by_spot: np.ndarray, by_shop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, head) that match, among the heads within reach."""
+        some, sold = rows[priced[rows]], rows[seller[rows] != none]
+        known, bare = sold[km[sold] != 0], sold[km[sold] == 0]
+        spots, shops = spot[by_spot], shop[by_shop]
+        reach = [(some, by_spot, np.searchsorted(spots, spot[some] + 2048.0 * c - wide), np.searchsorted(spots, spot[some] + 2048.0 * c + wide, "right")) for c in (-1, 0, 1)]
+        reach += [(known, by_shop, np.searchsorted(shops, shop[known] - 1), np.searchsorted(shops, shop[known] + 1, "right"))]
+        reach += [(known, by_shop, np.searchsorted(shops, seller[known] * FAR + FAR - 2), np.searchsorted(shops, seller[known] * FAR + FAR - 1))]
+        reach += [(bare, by_shop, np.searchsorted(shops, seller[bare] * FAR), np.searchsorted(shops, seller[bare] * FAR + FAR - 1))]
+        found = []
+        for r, heads, lo, hi in reach:
+            many = hi - lo
+            i = np.repeat(r, many)
+            j = heads[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            ok = (j < i) & same(i, j)
+            found.append((i[ok], j[ok]))
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+    def placed(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = heads[priced[heads]]
+        return own[np.argsort(spot[own], kind="stable")], heads[np.argsort(shop[heads], kind="stable")]
+
+    heads = np.zeros(0, np.int64)
+    a, step = 0, 64  # the first rows have few heads to meet, and meet each other
+    while a < n:
+        rows, step = np.arange(a, min(n, a + step)), min(BLOCK, 2 * step)
+        a += len(rows)
+        i, j = met(rows, *placed(heads))
+        np.minimum.at(first, i, j)
+        left = rows[first[rows] == rows]
+        i, j = met(left, *placed(left))
+        new = dict.fromkeys(left.tolist(), True)
+        order = np.lexsort((j, i))  # in the rows' order; the first of a row's earlier heads is its head
+        for r, h in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            if new[h] and new[r]:
+                first[r], new[r] = h, False
+        heads = np.concatenate([heads, [r for r in left.tolist() if new[r]]]).astype(np.int64)
+    return pa.table({"id": t["id"], "canonical": t["id"].take(pa.array(first))})
+
+
+def _in_rounds(base: DataFrame) -> DataFrame:
+    """(id, canonical) by joins only, for models and years of any size. Rows of equal attributes are one. Heads are found in rounds: rows lie in cells of
+    mileage, price and seller, wide enough that matches lie in neighbouring cells; the earliest undecided row of all cells that it reaches is a head, for no
+    earlier row can match it, and undecided rows that match a new head are copies. So rows meet heads only, and no pairs of a model are made. In the end
+    every copy gets the first head that it matches."""
     own, reach = _cells()
     kinds = persisted(base.filter("can").groupBy(*_ATTRS).agg(F.min("o").alias("o")).withColumns({"own": own, "reach": reach}))
     left, heads = kinds, None
