@@ -69,7 +69,7 @@ def standing(spark, d):
     k = F.col("s_suppkey")
     f = s.select(k.alias("filter_id"), F.when(k % 4 != 0, F.concat(F.lit("Brand#"), (k % 5 + 1).cast("string"), (k % 5 + 1).cast("string"))).alias("brand_norm"), (F.col("s_acctbal") / 2).alias("price_max"), (1990 + k % 10).alias("year_min"))
     rows = listings(spark, d).filter("is_active").select("id", "brand_norm", "price_gbp", "year")
-    return D.standing_matches(rows, f).groupBy("filter_id").agg(F.count("*").alias("hits"), F.round(F.min("price_gbp"), 4).alias("cheapest"))
+    return D.standing_counts(rows, f).select("filter_id", "hits", F.round("cheapest", 4).alias("cheapest"))
 
 
 def undo(spark, d):
