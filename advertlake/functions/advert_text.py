@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,44 +42,97 @@ LEFT_HAND, RIGHT_HAND = r"\bsol\s+(direksiyon|dumen|dümen)|\blhd\b|left[\s-]*ha
 SOLD, ADVERT_NO = r"sat[ıi]ld[ıi]|sat[ıi]lm[ıi][şs]", r"[İIi]lan\s*(?:Numaras[ıi]|No)\s*[:.]?\s*\W{0,4}(\d{3,8})"
 
 
-def _says(text: Column, pattern: str, flags: str = "U") -> Column:
-    """The pattern occurs, with letters and word ends of all alphabets."""
-    return text.rlike(f"(?{flags})(?:{pattern})")
-
-
-def scan(text: Column, table: dict[str, str]) -> Column:
+# fixed values: by pattern, words of which every match holds at least one; for the case-insensitive ones in the letters of `_plain`
+_CUSTOMS = ("gümr", "gumr", "evrak")
+STEMS = {
+    BLOCKING["pert/ağır hasar"]: ("pert", "r hasar"),
+    BLOCKING["airbag açık/patlak"]: ("airbag",),
+    BLOCKING["vuruk/su basmış"]: ("vuruk", "su bas", "sel hasar", "sel bask"),
+    BLOCKING["hasarlı"]: ("hasarl", "kazal", "hasar kay"),
+    BLOCKING["motor/şanzıman sorunlu"]: ("motor ", "motoru ", "anzıman", "anziman"),
+    BLOCKING["as is / parça"]: ("as is", "ça ara", "ca ara", "çalik", "calik", "kma motor", "mıyor", "miyor"),
+    BLOCKING["kira/taksit"]: ("aylik", "aylık", "taksit", "peşinat", "pesinat"),
+    BLOCKING["kredi devri/senet"]: ("kredi", "senet"),
+    BLOCKING["gümrüksüz/evraksız"]: (*_CUSTOMS, "haciz", "cral", "mahkeme"),
+    PLATE["TR/yabancı plaka"]: ("plaka",),
+    CUSTOMS_OK: _CUSTOMS,
+    WARNING["değişen var"]: ("eğişen", "eğisen", "egişen", "egisen"),
+    WARNING["ufak masraf var"]: ("masraf", "tamir"),
+    WARNING["modifiyeli"]: ("stage", "tuning", "modifiye", "hp"),
+    COST_UNKNOWN: ("masraf",),
+    URGENCY["acil"]: ("acil", "acele", "ihtiyaçtan", "ihtiyactan", "urgent", "must sell", "quick sale", "need gone", "needs gone", "срочно"),
+    URGENCY["mezun/ayrılıyor"]: (
+        "mezun", "adadan ayr", "yorum", "kesin d", "nedeniyle", "sebebiyle", "dolay", "rkiye", "yurt", "tayin", "terhis", "leaving", "relocat", "moving ", "graduat", "уезжаю",
+    ),
+    URGENCY["nakit/borç"]: ("nakit ihtiya", "borçtan", "borctan", "borcum", "zarar", "kelepir"),
+    URGENCY["pazarlık"]: ("pazarl",),
+    LEFT_HAND: ("direksiyon", "dumen", "dümen", "lhd", "left"),
+    RIGHT_HAND: ("direksiyon", "dumen", "dümen", "rhd", "right"),
+    SOLD: ("satil",),
+    ADVERT_NO: ("ilan",),
+}
+
+
+def lowered(text: Column) -> Column:
+    """The lower-case text that the rules read; lower case is most of their work, so a caller of several gives them one column of it."""
+    return tr_lower(F.coalesce(text, F.lit("")))
+
+
+def _plain(low: Column) -> Column:
+    """A lower-case text in which all letters are one that a pattern without case takes for the same: both kinds of i, and the long s."""
+    return F.replace(F.replace(low, F.lit("ı"), F.lit("i")), F.lit("ſ"), F.lit("s"))
+
+
+def _holds(text: Column, pattern: str) -> Column:
+    """The text holds a word that every match of the pattern holds: a plain search, so that few texts go through the pattern."""
+    return functools.reduce(operator.or_, [F.contains(text, F.lit(w)) for w in STEMS[pattern]])
+
+
+def _says(text: Column, pattern: str) -> Column:
+    """The pattern occurs in a lower-case text, with letters and word ends of all alphabets."""
+    found = text.rlike(f"(?U)(?:{pattern})")
+    return _holds(text, pattern) & found if pattern in STEMS else found
+
+
+def scan(text: Column, table: dict[str, str], low: Column | None = None) -> Column:
     """Names of a rule table that the text matches, in the table's order; a null text matches none."""
-    t = tr_lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(_says(t, p), n) for n, p in table.items()]))
+    return let(lowered(text) if low is None else low, lambda t: F.array_compact(F.array(*[F.when(_says(t, p), n) for n, p in table.items()])))
 
 
-def customs_stated(text: Column) -> Column:
-    return _says(tr_lower(F.coalesce(text, F.lit(""))), CUSTOMS_OK)
+def customs_stated(text: Column, low: Column | None = None) -> Column:
+    return _says(lowered(text) if low is None else low, CUSTOMS_OK)
 
 
-def cost_unknown(text: Column) -> Column:
-    """A cost is named without its size: in the 25 characters before one of its mentions nothing makes it small or definite."""
-    t = tr_lower(F.coalesce(text, F.lit("")))
-    cut = F.struct(F.split(t, f"(?U){COST_UNKNOWN}", -1).alias("parts"), F.regexp_extract_all(t, F.lit(f"(?U){COST_UNKNOWN}"), F.lit(0)).alias("said"))
+def cost_unknown(text: Column, low: Column | None = None) -> Column:
+    """A cost is named without its size: in the 25 characters before one of its mentions nothing makes it small or definite. A mention has ten characters
+    at least, so that three of them and what lies between fill the 25."""
 
     def open_(v: Column) -> Column:
         def before(k: Column) -> Column:
-            whole = F.transform(F.slice(v["parts"], 1, k + 1), lambda p, i: F.when(i < k, F.concat(p, F.get(v["said"], i))).otherwise(p))
-            return F.right(F.array_join(whole, ""), F.lit(25))
+            first = F.greatest(F.lit(0), k - 3)
+            near = F.transform(F.slice(v["parts"], first + 1, k + 1 - first), lambda p, i: F.when(first + i < k, F.concat(p, F.get(v["said"], first + i))).otherwise(p))
+            return F.right(F.array_join(near, ""), F.lit(25))
 
         places = F.filter(F.sequence(F.lit(0), F.size(v["parts"]) - 1), lambda k: k < F.size(v["parts"]) - 1)
         return F.exists(places, lambda k: ~_says(before(k), COST_MINOR))
 
-    return let(cut, open_)
+    def cut(t: Column) -> Column:
+        return F.struct(F.split(t, f"(?U){COST_UNKNOWN}", -1).alias("parts"), F.regexp_extract_all(t, F.lit(f"(?U){COST_UNKNOWN}"), F.lit(0)).alias("said"))
+
+    return let(lowered(text) if low is None else low, lambda t: F.when(_holds(t, COST_UNKNOWN), let(cut(t), open_)).otherwise(False))
 
 
-def steering(text: Column) -> Column:
+def steering(text: Column, low: Column | None = None) -> Column:
     """LHD or RHD where the text says one of them, null where it says none or both."""
-    left, right = _says(text, LEFT_HAND, "iU"), _says(text, RIGHT_HAND, "iU")
-    return F.when(left & ~right, "LHD").when(right & ~left, "RHD")
+    left, right = (text.rlike(f"(?iU)(?:{x})") for x in (LEFT_HAND, RIGHT_HAND))
+    if low is not None:
+        held = let(_plain(low), lambda p: F.struct(_holds(p, LEFT_HAND).alias("left"), _holds(p, RIGHT_HAND).alias("right")))
+        left, right = held["left"] & left, held["right"] & right
+    return let(F.struct(left.alias("left"), right.alias("right")), lambda v: F.when(v["left"] & ~v["right"], "LHD").when(v["right"] & ~v["left"], "RHD"))
 
 
-def sold_number(text: Column) -> Column:
+def sold_number(text: Column, low: Column | None = None) -> Column:
     """Advert number that a sold post closes."""
-    n = F.regexp_extract(text, f"(?iU){ADVERT_NO}", 1)
-    return F.when(_says(text, SOLD, "iU") & (n != ""), n)
+    n = F.nullif(F.regexp_extract(text, f"(?iU){ADVERT_NO}", 1), F.lit(""))
+    sold = text.rlike(f"(?iU)(?:{SOLD})")
+    return F.when(sold if low is None else let(_plain(low), lambda p: _holds(p, SOLD) & _holds(p, ADVERT_NO)) & sold, n)

@@ -15,7 +15,7 @@ _MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 
 def tr_lower(text: Column) -> Column:
     """Lower case with the dotted and dotless i of Turkish kept apart."""
-    return F.lower(F.translate(text, "İI", "iı"))
+    return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("I"), F.lit("ı")))
 
 
 def mentions(text: Column, pattern: str, reach: int) -> Column:

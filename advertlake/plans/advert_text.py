@@ -12,7 +12,7 @@ _SAID = ["Acil satılık, ufak masrafı var", "TR plakalı, evrakları tam", "pe
 
 def _texts(spark, d):
     said = F.element_at(F.array(*[F.lit(s) for s in _SAID]), (F.col("doc_id") % len(_SAID) + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.concat(said, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.concat(said, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")).withColumn("low", A.lowered(F.col("text")))
 
 
 def flags(spark, d):
@@ -21,9 +21,9 @@ def flags(spark, d):
 
 
 def traps(spark, d):
-    t = F.col("text")
-    return _texts(spark, d).select("doc_id", F.array_join(A.scan(t, A.BLOCKING), ",").alias("blocking"), F.array_join(A.scan(t, A.URGENCY), ",").alias("urgency"),
-                                   A.cost_unknown(t).alias("cost_unknown"), A.steering(t).alias("steering"), A.sold_number(t).alias("sold_number"))
+    t, low = F.col("text"), F.col("low")
+    return _texts(spark, d).select("doc_id", F.array_join(A.scan(t, A.BLOCKING, low), ",").alias("blocking"), F.array_join(A.scan(t, A.URGENCY, low), ",").alias("urgency"),
+                                   A.cost_unknown(t, low).alias("cost_unknown"), A.steering(t, low).alias("steering"), A.sold_number(t, low).alias("sold_number"))
 
 
 QUERIES = {"TX45_TX48_TX49_warnings": flags, "TX44_TX46_TX47_TX42_TX28_traps": traps}
