@@ -16,8 +16,8 @@ def _texts(spark, d):
 
 
 def flags(spark, d):
-    t = F.col("text")
-    return _texts(spark, d).select("doc_id", F.array_join(A.scan(t, A.WARNING), ",").alias("warnings"), F.array_join(A.scan(t, A.PLATE), ",").alias("plate"), A.customs_stated(t).alias("customs"))
+    t, low = F.col("text"), F.col("low")
+    return _texts(spark, d).select("doc_id", F.array_join(A.scan(t, A.WARNING, low), ",").alias("warnings"), F.array_join(A.scan(t, A.PLATE, low), ",").alias("plate"), A.customs_stated(t, low).alias("customs"))
 
 
 def traps(spark, d):
