@@ -4,14 +4,17 @@ come from joins by equality; no group is gathered."""
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advertlake.functions.numbers import ratio_close
 from advertlake.functions.rules import effective_km
+from advertlake.sources.shared import persisted
 
 _CAR = ["brand_norm", "model_norm", "year"]
+SLACK = 0.005
 
 
 def _differ(a: Column, b: Column) -> Column:
@@ -55,17 +58,31 @@ def site_twins(lean: DataFrame, rich: DataFrame, window_hours: int) -> DataFrame
 
 def locked(rows: DataFrame, sent: DataFrame, share: float = 0.05) -> DataFrame:
     """(id, reason): adverts that an urgent alert already went out for: 'telefon' for the same phone (7 digits or more), 'arac' for the same car within
-    a share of the price then. sent: id, keys, seller_phone, price_gbp of the alerts within the lock's days. A car's prices are bucketed by the
-    logarithm of the share, so that close prices meet in one bucket or the next."""
+    a share of the price then. sent: id, keys, seller_phone, price_gbp of the alerts within the lock's days.
+
+    No pairs: of a phone the smallest and the largest id tell whether another advert has it. A car's prices lie in cells by the logarithm of price + SLACK /
+    share, so narrow that prices of one cell are always close and so wide that close ones are at most `reach` cells apart. Of a cell below a row's own only
+    the highest price matters, of one above the lowest, each with the one behind it of another id; a row meets one short list of these."""
     digits = F.regexp_replace(F.coalesce("seller_phone", F.lit("")), "[^0-9]", "")
     phone = F.when(F.length(digits) >= 7, digits)
-    step = -F.log(F.lit(1 - share)) * 1.01
+    width = 0.99 * math.log(1 + share)
+    reach = math.ceil(-math.log(1 - share) / width)
     price = F.when(F.col("price_gbp") > 0, F.col("price_gbp"))
+    cell = F.floor(F.ln(price + SLACK / share) / width)
     known = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in _CAR]
-    a = rows.select("id", *known, phone.alias("phone"), price.alias("price"), F.floor(F.ln(price) / step).alias("bucket"))
-    s = sent.select(F.col("id").alias("s_id"), *known, phone.alias("phone"), price.alias("before"), F.floor(F.ln(price) / step).alias("home"))
-    by_phone = a.dropna(subset=["phone"]).join(s.dropna(subset=["phone"]).select("s_id", "phone").distinct(), "phone").filter("id <> s_id").select("id", F.lit("telefon").alias("reason"))
-    near = s.dropna(subset=["before"]).withColumn("bucket", F.explode(F.sequence(F.col("home") - 2, F.col("home") + 2)))
-    close = F.abs(F.col("price") - F.col("before")) <= share * F.col("before") + 0.005
-    by_car = a.dropna(subset=["price"]).join(near.drop("phone"), [*_CAR, "bucket"]).filter(close & (F.col("id") != F.col("s_id"))).select("id", F.lit("arac").alias("reason"))
+    a = rows.select("id", *known, phone.alias("phone"), price.alias("price"), cell.alias("cell"))
+    s = persisted(sent.select(F.col("id").alias("s_id"), *known, phone.alias("phone"), price.alias("before"), cell.alias("home")))
+
+    phones = s.dropna(subset=["phone"]).groupBy("phone").agg(F.min("s_id").alias("least"), F.max("s_id").alias("most"))
+    by_phone = a.dropna(subset=["phone"]).join(phones, "phone").filter((F.col("least") != F.col("id")) | (F.col("most") != F.col("id"))).select("id", F.lit("telefon").alias("reason"))
+
+    one, key = F.struct("before", "s_id"), [*_CAR, "home"]
+    priced = s.dropna(subset=["before"])
+    ends = priced.groupBy(*key).agg(F.max(one).alias("top"), F.min(one).alias("low"))
+    next_top, next_low = F.max(F.when(F.col("s_id") != F.col("top.s_id"), one)), F.min(F.when(F.col("s_id") != F.col("low.s_id"), one))
+    cells = priced.join(ends, key).groupBy(*key).agg(F.first("top").alias("top"), F.first("low").alias("low"), next_top.alias("top2"), next_low.alias("low2"))
+    near = cells.select(*_CAR, F.explode(F.sequence(F.col("home") - reach, F.col("home") + reach)).alias("cell"), F.array_distinct(F.array_compact(F.array("top", "low", "top2", "low2"))).alias("ends"))
+    near = near.groupBy(*_CAR, "cell").agg(F.flatten(F.collect_list("ends")).alias("ends"))
+    close = lambda e: (e["s_id"] != F.col("id")) & (F.abs(F.col("price") - e["before"]) <= share * e["before"] + SLACK)
+    by_car = a.dropna(subset=["price"]).join(near, [*_CAR, "cell"]).filter(F.exists("ends", close)).select("id", F.lit("arac").alias("reason"))
     return by_phone.unionByName(by_car).groupBy("id").agg(F.max("reason").alias("reason"))
