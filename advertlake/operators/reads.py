@@ -379,21 +379,31 @@ def pass_counts(r: Records, days: int) -> DataFrame:
     return r.listings.dropna(subset=["brand_norm", "model_norm"]).join(f, "id", "left_semi").groupBy("brand_norm", "model_norm").agg(F.count("*").alias("n"))
 
 
+def dealt(key: Column, by: Column) -> Column:
+    """A key to join by in which nulls, that match nothing, have a text of their own each: else a left join sends all of them to one task."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\0"), by.cast("string")))
+
+
 def seller_counts(r: Records, prefix: str = "site:") -> DataFrame:
     """Per advert with a known seller the other active adverts of that seller: the same phone, or the same account of the site. Counted by groups
     and inclusion and exclusion, without pairs; the advert itself and what it is a copy of do not count."""
     own = F.when(F.col("seller_handle").startswith(prefix) & (F.length("seller_handle") > len(prefix)), F.col("seller_handle"))
     rows = r.listings.select("id", "duplicate_of", "source_id", "seller_phone", own.alias("handle"), (F.col("is_active") & F.col("duplicate_of").isNull()).alias("live"))
     live = rows.filter("live")
-    by_phone = live.dropna(subset=["seller_phone"]).groupBy("seller_phone").agg(F.count("*").alias("n_phone"))
-    by_handle = live.dropna(subset=["handle"]).groupBy("source_id", "handle").agg(F.count("*").alias("n_handle"))
-    by_both = live.dropna(subset=["seller_phone", "handle"]).groupBy("seller_phone", "source_id", "handle").agg(F.count("*").alias("n_both"))
-    got = rows.filter("seller_phone is not null or handle is not null").join(by_phone, "seller_phone", "left").join(by_handle, ["source_id", "handle"], "left").join(by_both, ["seller_phone", "source_id", "handle"], "left")
-    canon = live.select(F.col("id").alias("c_id"), F.col("seller_phone").alias("c_phone"), F.col("handle").alias("c_handle"), F.col("source_id").alias("c_source"))
-    got = got.join(canon, F.col("duplicate_of") == F.col("c_id"), "left")
+    phone, account = F.col("seller_phone"), F.when(F.col("source_id").isNotNull(), F.col("handle"))
+    both = F.when(phone.isNotNull() & account.isNotNull(), phone)
+    by_phone = live.filter(phone.isNotNull()).groupBy(phone.alias("k_phone")).agg(F.count("*").alias("n_phone"))
+    by_handle = live.filter(account.isNotNull()).groupBy("source_id", F.col("handle").alias("k_handle")).agg(F.count("*").alias("n_handle"))
+    by_both = live.filter(both.isNotNull()).groupBy("source_id", F.col("handle").alias("k_handle"), both.alias("k_both")).agg(F.count("*").alias("n_both"))
+    of_id = F.col("id")
+    got = rows.filter("seller_phone is not null or handle is not null").withColumns(
+        {"k_phone": dealt(phone, of_id), "k_handle": dealt(account, of_id), "k_both": dealt(both, of_id), "k_copied": dealt(F.col("duplicate_of"), of_id)})
+    got = got.join(by_phone, "k_phone", "left").join(by_handle, ["source_id", "k_handle"], "left").join(by_both, ["source_id", "k_handle", "k_both"], "left")
+    canon = live.select(F.col("id").cast("string").alias("k_copied"), F.col("seller_phone").alias("c_phone"), F.col("handle").alias("c_handle"), F.col("source_id").alias("c_source"))
+    got = got.join(canon, "k_copied", "left")
     same = F.coalesce(F.col("c_phone") == F.col("seller_phone"), F.lit(False)) | F.coalesce((F.col("c_handle") == F.col("handle")) & (F.col("c_source") == F.col("source_id")), F.lit(False))
-    some = lambda c: F.coalesce(c, F.lit(0))
-    n = some(F.col("n_phone")) + some(F.col("n_handle")) - some(F.col("n_both")) - F.col("live").cast("int") - same.cast("int")
+    some = lambda known, n: F.when(known.isNotNull(), F.coalesce(n, F.lit(0))).otherwise(0)
+    n = some(phone, F.col("n_phone")) + some(account, F.col("n_handle")) - some(both, F.col("n_both")) - (F.col("live") & (phone.isNotNull() | account.isNotNull())).cast("int") - (same & F.col("duplicate_of").isNotNull()).cast("int")
     return got.select("id", n.alias("n"))
 
 
