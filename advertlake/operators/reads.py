@@ -315,7 +315,9 @@ def vote_queue(r: Records, chat_id: str, since: Column, urgent: DataFrame) -> Da
     before = r.evaluations.select("listing_id", "evaluated_at", F.col("id").alias("b_id"), F.col("median_gbp").alias("before"))
     past = rows.select("listing_id", "sent_at").join(before, "listing_id").filter(F.col("evaluated_at") <= F.col("sent_at") + F.expr("interval 1 hour"))
     past = past.groupBy("listing_id").agg(F.max_by("before", F.struct("evaluated_at", "b_id")).alias("before"))
-    return rows.join(e, "ev_id", "left").join(past, "listing_id", "left").withColumn("median_gbp", F.coalesce("at_alert", "before"))
+    rows = rows.withColumn("k_ev", dealt(F.col("ev_id"), F.col("listing_id"))).join(e.withColumnRenamed("ev_id", "k_ev"), "k_ev", "left")
+    at_alert = F.when(F.col("ev_id").isNotNull(), F.col("at_alert"))
+    return rows.join(past, "listing_id", "left").withColumn("median_gbp", F.coalesce(at_alert, "before"))
 
 
 def urgent_sent(r: Records, ids: DataFrame, days: int) -> DataFrame:
