@@ -6,6 +6,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -55,14 +56,20 @@ NON_CAR_MODELS = [
 DISTRICTS = {"lefkosa": "lefkosa", "girne": "girne", "lapta": "girne", "alsancak": "girne", "gazimagusa": "magusa", "magusa": "magusa", "iskele": "iskele", "guzelyurt": "guzelyurt", "lefke": "lefke"}
 
 
-@F.pandas_udf(StringType())
-def _ascii(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+@F.arrow_udf(StringType())
+def _ascii(texts: pa.Array) -> pa.Array:
+    """Few texts at a time are Python strings, whatever the size of a batch."""
+    def one(t: str | None) -> str | None:
+        return t if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+
+    return pa.concat_arrays([pa.array([one(t.as_py()) for t in texts.slice(i, 256)], pa.string()) for i in range(0, len(texts), 256)] or [pa.array([], pa.string())])
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents and other letters than ASCII's, white space as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(_ascii(F.translate(text, "ıİ", "ii"))), r"\s+", " "))
+    """Lower case without accents and other letters than ASCII's, white space as single spaces. Only texts with other letters go to Python."""
+    t = F.translate(text, "ıİ", "ii")
+    other = F.octet_length(t) != F.char_length(t)
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_ascii(F.when(other, t)), t)), r"\s+", " "))
 
 
 def _looked_up(table: dict[str, str], key: Column) -> Column:
