@@ -63,17 +63,22 @@ def daily(spark, d):
     return spark.read.schema("day date, event_type string, rows long").parquet(out).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "rows")
 
 
+TAIL_LANES = 6
+
+
 def tailed(spark, d):
-    """The events as lines of a folder that a tail reads in batches of 200 kB."""
+    """The events as lines of a folder that tails side by side read in batches of 200 kB."""
     path, out, chk = (new_path(spark, kind) for kind in ("lines", "tail", "chk"))
     e = table(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type", "user_id")).alias("value"))
     e.repartition(3).write.text(path)
-    query = tail.to_batches(tail.tail(spark, path, chk, 200_000), out, chk)
+    queries = tail.to_lanes(spark, path, out, chk, TAIL_LANES, 200_000)
     try:
-        query.processAllAvailable()
+        for query in queries:
+            query.processAllAvailable()
     finally:
-        query.stop()
-    got = spark.read.schema(f"{tail.SCHEMA}, batch int").parquet(out).select(F.from_json("value", "event_id long, event_type string, user_id long").alias("v"))
+        for query in queries:
+            query.stop()
+    got = spark.read.schema(f"{tail.SCHEMA}, lane int, batch int").parquet(out).select(F.from_json("value", "event_id long, event_type string, user_id long").alias("v"))
     return got.select("v.event_id", "v.event_type", "v.user_id")
 
 

@@ -3,6 +3,9 @@
 The offset is one number of bytes per file, always behind a line's end, so a batch that runs again reads the same bytes, and a file may grow, or a new one
 appear, between any two batches. Files are taken in the order of their names. A batch plans at most `limit` bytes (more if one line is longer); its
 ranges are cut into partitions of `chunk` bytes, which the executors read. Files only grow: one that got shorter than what was read stops the stream.
+
+A batch costs its two logs and a job, however small it is. Several tails of one folder (lanes) share that cost: each file is cut into ranges of at most `limit`
+bytes that depend on its content only, the ranges are dealt in turn, and each lane is a stream with its own checkpoint, whose batches keep the limit.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyarrow import fs
@@ -53,6 +57,8 @@ def line_end(read, start: int, limit: int, size: int) -> int:
 
 
 class TailReader(DataSourceStreamReader):
+    lane = None
+
     def __init__(self, options: dict):
         self.folder, self.limit, self.chunk = options["path"].rstrip("/"), int(options.get("limit", 64 << 20)), int(options.get("chunk", 8 << 20))
         self.log, self.planned = options.get("log"), None
@@ -68,15 +74,22 @@ class TailReader(DataSourceStreamReader):
             names = [f for f in found if f.base_name.isdigit()]
             if names:
                 with where.open_input_stream(max(names, key=lambda f: int(f.base_name)).path) as f:
-                    self.planned = json.loads(f.read().decode().strip().split("\n")[-1])["files"]
+                    self.planned = self._checked(json.loads(f.read().decode().strip().split("\n")[-1]))
         return self.planned or {}
 
+    def _checked(self, offset: dict) -> dict:
+        if offset.get("lane") != self.lane:
+            raise RuntimeError(f"the checkpoint is of lane {offset.get('lane')}, not {self.lane}")
+        return offset["files"]
+
+    def _infos(self, where: fs.FileSystem, base: str) -> list[fs.FileInfo]:
+        found = where.get_file_info(fs.FileSelector(base, allow_not_found=True))
+        return sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))), key=lambda f: f.base_name)
+
     def latestOffset(self) -> dict:
         where, base = _opened(self.folder)
         planned, left = dict(self._known()), self.limit
-        for info in sorted(where.get_file_info(fs.FileSelector(base, allow_not_found=True)), key=lambda f: f.base_name):
-            if info.type != fs.FileType.File or info.base_name.startswith((".", "_")):
-                continue
+        for info in self._infos(where, base):
             start = planned.get(info.base_name, 0)
             if info.size < start:
                 raise RuntimeError(f"{info.base_name} is shorter than what was read of it")
@@ -90,10 +103,10 @@ class TailReader(DataSourceStreamReader):
         return {"files": planned}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        self.planned = max(self.planned or {}, end["files"], key=lambda f: sum(f.values()))
-        out = []
-        for name, stop in sorted(end["files"].items()):
-            begin = start["files"].get(name, 0)
+        begun, wanted, out = self._checked(start), self._checked(end), []
+        self.planned = max(self.planned or {}, wanted, key=lambda f: sum(f.values()))
+        for name, stop in sorted(wanted.items()):
+            begin = begun.get(name, 0)
             out += [Range(name, begin, at, min(stop, at + self.chunk)) for at in range(begin, stop, self.chunk)]
         return out
 
@@ -127,6 +140,72 @@ class TailReader(DataSourceStreamReader):
         pass
 
 
+class LaneReader(TailReader):
+    """One lane of several: it reads every `lanes`-th range of a file. A range ends where a tail with this limit would cut a file that is already there, so
+    all lanes find the same ones at any time; only the last range of a file may still grow. The offset holds per file the number and the start of a
+    range and how far it is planned. A batch takes whole ranges, one of a file, while they fit."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.lane, self.idle = [int(options["lane"]), int(options["lanes"])], {}
+
+    def initialOffset(self) -> dict:
+        return {"files": {}, "lane": self.lane}
+
+    def _next(self, f, name: str, state: list[int], size: int) -> tuple[int, int, list[int]] | None:
+        """Start and end of the first unread range of this lane, and the state behind it."""
+        (number, cut, at), (lane, lanes) = state, self.lane
+        while (end := line_end(lambda at, n: f.read_at(n, at), cut, self.limit, size)) > cut:
+            full = size - cut >= self.limit
+            if (number + crc32(name.encode())) % lanes == lane and end > at:
+                return at, end, [number + 1, end, end] if full else [number, cut, end]
+            if not full:
+                break
+            number, cut, at = number + 1, end, end
+        return None
+
+    def latestOffset(self) -> dict:
+        where, base = _opened(self.folder)
+        planned, left = dict(self._known()), self.limit
+        for info in self._infos(where, base):
+            name, state = info.base_name, planned.get(info.base_name, [0, 0, 0])
+            if info.size < state[2]:
+                raise RuntimeError(f"{name} is shorter than what was read of it")
+            if info.size == self.idle.get(name, 0):  # nothing was found for this lane, and the file has not grown
+                continue
+            with where.open_input_file(info.path) as f:
+                found = self._next(f, name, state, info.size)
+            if found is None:
+                self.idle[name] = info.size
+                continue
+            start, end, state = found
+            if end - start > left and left < self.limit:
+                break
+            planned[name], left = state, left - (end - start)
+            if left <= 0:
+                break
+        self.planned = planned
+        return {"files": planned, "lane": self.lane}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        where, base = _opened(self.folder)
+        begun, wanted, out = self._checked(start), self._checked(end), []
+        self.planned = max(self.planned or {}, wanted, key=lambda f: sum(s[2] for s in f.values()))
+        for name, upto in sorted(wanted.items()):
+            state = begun.get(name, [0, 0, 0])
+            if state[2] >= upto[2]:
+                continue
+            with where.open_input_file(f"{base}/{name}") as f:
+                while state[2] < upto[2]:
+                    found = self._next(f, name, state, f.size())
+                    if found is None:
+                        raise RuntimeError(f"{name} is shorter than what was planned of it")
+                    begin, stop, state = found
+                    stop = min(stop, upto[2])  # a range that grew since
+                    out += [Range(name, begin, at, min(stop, at + self.chunk)) for at in range(begin, stop, self.chunk)]
+        return out
+
+
 class Tail(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -136,13 +215,14 @@ class Tail(DataSource):
         return SCHEMA
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options)
+        return LaneReader(self.options) if "lanes" in self.options else TailReader(self.options)
 
 
-def tail(spark: SparkSession, folder: str, checkpoint: str, limit: int = 64 << 20, chunk: int = 8 << 20) -> DataFrame:
-    """The stream of (file, at, value) of a folder, for a query whose checkpointLocation is `checkpoint`."""
+def tail(spark: SparkSession, folder: str, checkpoint: str, limit: int = 64 << 20, chunk: int = 8 << 20, lane: tuple[int, int] | None = None) -> DataFrame:
+    """The stream of (file, at, value) of a folder, or of one lane (number, lanes) of it, for a query whose checkpointLocation is `checkpoint`."""
     spark.dataSource.register(Tail)
-    return spark.readStream.format("line_tail").option("path", folder).option("log", checkpoint).option("limit", limit).option("chunk", chunk).load()
+    lines = spark.readStream.format("line_tail").option("path", folder).option("log", checkpoint).option("limit", limit).option("chunk", chunk)
+    return (lines.option("lane", lane[0]).option("lanes", lane[1]) if lane else lines).load()
 
 
 def to_batches(lines: DataFrame, out: str, checkpoint: str):
@@ -154,6 +234,20 @@ def to_batches(lines: DataFrame, out: str, checkpoint: str):
     return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
 
 
+def to_lanes(spark: SparkSession, folder: str, out: str, checkpoint: str, lanes: int, limit: int = 64 << 20, chunk: int = 8 << 20) -> list:
+    """Starts `lanes` queries that together write each line of a folder once, as lane and batch. A checkpoint keeps its number of lanes."""
+    queries = []
+    try:
+        for k in range(lanes):
+            own = f"{checkpoint}/lane={k}"
+            queries.append(to_batches(tail(spark, folder, own, limit, chunk, (k, lanes)), f"{out}/lane={k}", own))
+    except BaseException:
+        for q in queries:
+            q.stop()
+        raise
+    return queries
+
+
 def handoff_scan(lines: DataFrame, cursor: tuple[str, int], window_end: Column | None, now: Column, lag_s: int = 3600, window_s: int = 86_400) -> DataFrame:
     """One row over the lines (file, at, seen) of a hand-off folder: in_window, the lines seen in the window before window_end (null where no line is so old
     that the window is covered), and pending, the lines behind the cursor that have waited longer than the lag. Lines without a time are left out."""
