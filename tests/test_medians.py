@@ -26,3 +26,10 @@ def test_points_are_worked_out_once(spark):
 
     plan = C.used_points(C.curve_points(d, Settings()), Settings())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 0 and plan.count("Relation") <= 6
+
+
+def test_backtest_holds_no_confidence_in_one_task(spark):
+    from advertlake import registry
+
+    plan = registry.QUERIES["AG36_backtest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "median(" not in plan and "percentile(" not in plan
