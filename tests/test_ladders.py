@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from advertlake.operators import cells, market
+from advertlake.operators import cells, ladders, market
 from advertlake.settings import Settings
 
 S = Settings()
@@ -48,6 +48,18 @@ def test_lists_equal_matrices(monkeypatch, case):
             assert _numbers(x) == pytest.approx(_numbers(z), rel=1e-11, nan_ok=True)
     plain, lists = both(lambda: market._cell_medians(cell))
     assert len(plain) > 50 and plain == lists
+    plain, lists = both(lambda: market._cell_nearest(cell, 5))
+    key = lambda x: (x["t_id"], x["rank"])
+    assert len(plain) > 1000 and sorted(plain, key=key) == sorted(lists, key=key)
+
+
+def test_nearest_compares_few_rows(monkeypatch):
+    cell, compared = _cell(8, 3000, 100_000, 3000, 3000), []
+    plain = ladders._spread
+    monkeypatch.setattr(ladders, "_spread", lambda low, high: compared.append(np.maximum(high - low, 0).sum()) or plain(low, high))
+    monkeypatch.setattr(cells, "LADDER", 0)
+    assert len(market._cell_nearest(cell, 5)) == 5 * 3000
+    assert sum(compared) < 100 * 3000
 
 
 def test_equal_questions_are_answered_once():
