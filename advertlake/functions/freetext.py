@@ -126,15 +126,20 @@ def _candidates(line: Column, skip_box: bool) -> Column:
 
     def of(v: Column) -> Column:
         def one(t: Column) -> Column:
-            lira, hint = t["currency"] == "TRY", _has(t["before"], _HINT)
+            marks = F.struct(
+                _has(t["before"], _HINT).alias("hint"), (placeholder_amount(t["amount"]) | ((t["currency"] == "TRY") & t["box"] & (t["amount"] <= BOX_LEAST))).alias("held"),
+            )
+            return let(marks, lambda m: judged(t, m["hint"], m["held"]))
+
+        def judged(t: Column, hint: Column, held: Column) -> Column:
+            lira = t["currency"] == "TRY"
             guessed = lira & t["box"] & (t["amount"] < TRY_CAR_LEAST)
-            held = placeholder_amount(t["amount"]) | (lira & t["box"] & (t["amount"] <= BOX_LEAST))
             few = lira & ~t["box"] & (t["amount"] < TRY_CAR_LEAST) & ~held
             near = F.concat(t["before"], F.lit(" "), t["after"])
             other = _has(plain_letters(t["before"]), _FORMER) | _has(near, _ADVANCE) | ((_has(t["before"], _NO_PRICE) | _has(t["after"], _NO_PRICE)) & ~hint)
             if skip_box:
                 other = other | t["box"]
-            use = t["currency"].isNotNull() & F.when(few, t["amount"] >= LEAST).otherwise(~other & t["amount"].between(LEAST, MOST))
+            use = t["currency"].isNotNull() & F.when(few, t["amount"] >= LEAST).otherwise(t["amount"].between(LEAST, MOST) & ~other)
             return F.struct(
                 t["amount"].alias("amount"), F.when(held, PLACEHOLDER).when(guessed, "GBP").otherwise(t["currency"]).alias("currency"), v["start"].alias("start"),
                 (hint | (v["hint"] & ~v["other"])).alias("hint"), v["swap"].alias("swap"), (guessed & ~held).alias("guess"), few.alias("small"), use.alias("use"),
@@ -149,7 +154,7 @@ def _candidates(line: Column, skip_box: bool) -> Column:
 
 def price_of(text: Column, skip_box: bool = False) -> Column:
     """Struct (amount, currency, line, guess): the one price of a text without mobiles; null if there is none or more than one."""
-    lines = F.filter(F.transform(F.split(text, _LINE_END), lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", "")), lambda line: line != "")
+    lines = F.filter(F.transform(F.split(text, _LINE_END), lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", "")), lambda line: line.rlike(r"\d"))  # a line without a digit has no amount
 
     def without_echoes(all_: Column) -> Column:
         small = F.array_distinct(F.transform(F.filter(all_, lambda t: t["small"]), lambda t: t["amount"]))
@@ -190,16 +195,21 @@ def body_price(text: Column) -> Column:
     return let(without_mobiles(F.coalesce(text, F.lit(""))), lambda t: price_of(t, skip_box=True))
 
 
-def price_in_cut_tail(text: Column, tail: int = CUT_TAIL) -> Column:
-    """Whether the body's price hangs on the last characters of a text that may have been cut: without them it goes or changes."""
+def price_in_cut_tail(text: Column, tail: int = CUT_TAIL, whole: Column | None = None) -> Column:
+    """Whether the body's price hangs on the last characters of a text that may have been cut: without them it goes or changes. whole: body_price(text)."""
     body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+$", "")
-    parts = F.struct(body_price(text).alias("whole"), body_price(F.left(body, F.greatest(F.lit(0), F.length(body) - tail))).alias("cut"))
-    return let(parts, lambda v: v["whole"].isNotNull() & ~(v["whole"]["amount"].eqNullSafe(v["cut"]["amount"]) & v["whole"]["currency"].eqNullSafe(v["cut"]["currency"])))
+    cut = body_price(F.left(body, F.greatest(F.lit(0), F.length(body) - tail)))
+
+    def hangs(w: Column) -> Column:
+        return F.when(w.isNull(), False).otherwise(let(cut, lambda c: ~(w["amount"].eqNullSafe(c["amount"]) & w["currency"].eqNullSafe(c["currency"]))))
+
+    return let(body_price(text) if whole is None else whole, hangs)
 
 
 def _km_value(token: Column) -> Column:
-    short = F.regexp_extract(token, r"(?iU)^(\d{1,3})[^\S\n]*(?:bin|k)$", 1).try_cast("int") * 1000
-    n = F.coalesce(short, F.regexp_replace(token, "[.,]", "").try_cast("int"))
+    # an empty text is not cast: each failure of a cast is an exception
+    short = F.nullif(F.regexp_extract(token, r"(?iU)^(\d{1,3})[^\S\n]*(?:bin|k)$", 1), F.lit("")).try_cast("int") * 1000
+    n = F.coalesce(short, F.nullif(F.regexp_replace(token, "[.,]", ""), F.lit("")).try_cast("int"))
     return F.when(n.between(KM_LEAST, KM_MOST), n)
 
 
@@ -239,7 +249,8 @@ def km_read(text: Column) -> Column:
         least = v["shown"].isNotNull() & ~v["shown"].eqNullSafe(v["plain"])
         return F.struct(F.when(least, v["shown"]).otherwise(v["plain"]).alias("km"), least.alias("least"))
 
-    return let(F.struct(km_of(joined_thousands(text)).alias("plain"), km_of(joined_thousands(shown)).alias("shown")), read)
+    hidden = F.when(text.rlike("[*xX]{3}"), km_of(joined_thousands(shown)))
+    return let(F.struct(km_of(joined_thousands(text)).alias("plain"), hidden.alias("shown")), read)
 
 
 def _model_after(after: Column) -> Column:
@@ -293,24 +304,46 @@ def years_of(text: Column, newest: Column) -> Column:
 
 def _where(text: Column) -> Column:
     """Struct (before, make, after) around the first make; make is empty without one."""
-    p = f"(?siU)^(.*?)({_MAKE})(.*)$"
-    return F.struct(*[F.regexp_extract(text, p, k).alias(n) for k, n in ((1, "before"), (2, "make"), (3, "after"))])
+
+    def of(before: Column) -> Column:
+        rest = F.substring(text, F.length(before) + 1, F.length(text))
+        make = let(F.regexp_extract(rest, f"(?siU)^{_MAKE}", 0), lambda m: F.struct(m.alias("make"), F.when(m != "", F.substring(rest, F.length(m) + 1, F.length(text))).otherwise("").alias("after")))
+        return let(make, lambda m: F.struct(before.alias("before"), m["make"].alias("make"), m["after"].alias("after")))
+
+    return let(F.regexp_extract(text, f"(?siU)^(.*?){_MAKE}", 1), of)
+
+
+def _facts(text: Column, newest_year: Column, known: Column | None = None) -> Column:
+    """Struct of what both the advert of a post and the reason why it is none rest on; null for a post that sells no car."""
+
+    def seen(bare: Column) -> Column:
+        price = price_of(bare) if known is None else F.when(known.isNull(), price_of(bare))
+        return F.struct(bare.alias("bare"), _where(bare).alias("at"), years_of(bare, newest_year).alias("years"), price.alias("price"))
+
+    return F.when(F.coalesce((text != "") & ~is_no_sale(text), F.lit(False)), let(without_mobiles(text), seen))
+
+
+def _reason(v: Column) -> Column:
+    return F.when(v.isNull(), NO_SALE).when(v["at"]["make"] == "", NO_MAKE).when(F.size(v["years"]) == 0, NO_YEAR).when(v["price"].isNull(), NO_PRICE).otherwise(GOOD)
 
 
 def diagnose(text: Column, newest_year: Column) -> Column:
     """Why a post is no advert, or ok."""
+    return let(_facts(text, newest_year), _reason)
 
-    def judged(bare: Column) -> Column:
-        return (
-            F.when(is_no_sale(text), NO_SALE).when(~_has(bare, _MAKE), NO_MAKE).when(F.size(years_of(bare, newest_year)) == 0, NO_YEAR).when(price_of(bare).isNull(), NO_PRICE).otherwise(GOOD)
-        )
 
-    return F.when(F.coalesce(text == "", F.lit(True)), NO_SALE).otherwise(let(without_mobiles(text), judged))
+def advert_and_reason(text: Column, newest_year: Column) -> Column:
+    """Struct (advert, reason): parse_freetext() and diagnose() with what they share worked out once."""
+    return let(_facts(text, newest_year), lambda v: F.struct(_advert(text, v, newest_year, None, None, False).alias("advert"), _reason(v).alias("reason")))
 
 
 def parse_freetext(text: Column, newest_year: Column, default_steering: Column | None = None, known_price: Column | None = None, allow_no_price: bool = False) -> Column:
     """The advert of a post as a struct, null if it is none. known_price: a struct (amount, currency) that a site gives for sure, null where it gives none.
     allow_no_price: make and year are enough."""
+    return let(_facts(text, newest_year, known_price), lambda v: _advert(text, v, newest_year, default_steering, known_price, allow_no_price))
+
+
+def _advert(text: Column, facts: Column, newest_year: Column, default_steering: Column | None, known_price: Column | None, allow_no_price: bool) -> Column:
     known = F.lit(None).cast("struct<amount:double,currency:string>") if known_price is None else known_price
 
     def read(v: Column) -> Column:
@@ -342,8 +375,4 @@ def parse_freetext(text: Column, newest_year: Column, default_steering: Column |
         good = (at["make"] != "") & (F.size(v["years"]) > 0) & (amount.isNotNull() | F.lit(allow_no_price))
         return F.when(good, let(F.struct(km.alias("km"), model.alias("model")), fields))
 
-    def seen(bare: Column) -> Column:
-        price = F.when(known.isNull(), price_of(bare))
-        return let(F.struct(bare.alias("bare"), _where(bare).alias("at"), years_of(bare, newest_year).alias("years"), price.alias("price")), read)
-
-    return F.when(F.coalesce((text != "") & ~is_no_sale(text), F.lit(False)), let(without_mobiles(text), seen))
+    return F.when(facts.isNotNull(), read(facts))

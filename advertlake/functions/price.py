@@ -31,6 +31,7 @@ def joined_thousands(text: Column) -> Column:
     """'6 500', '12/800' and '5 bin 500' with a point: a space or a slash between groups of three digits is no border between numbers. A leading
     number of three digits before two or more groups is a model's name and stays apart."""
     gap = "[ \\u00a0\\u202f\\u2009/]"
+    may = text.rlike(rf"(?iu)\d(?:[^\S\n]*bin|{gap}\d{{3}})")  # what every pattern below holds
     t = F.regexp_replace(text, r"(?iu)(?<![\d.,])(\d{1,3})[^\S\n]*bin[^\S\n]*(\d{3})(?![\d.,]?\d)", "$1.$2")
     free, end = r"(?<![\d.,/])", r"(?![\d.,/]?\d)"
     # from the longest run of groups to the shortest; what a longer pattern has joined is no longer free
@@ -39,7 +40,7 @@ def joined_thousands(text: Column) -> Column:
         keep = "".join(f".${k + 2}" for k in range(1, groups))
         t = F.regexp_replace(t, rf"{free}(\d{{3}}){body}{end}", "$1 $2" + keep)
         t = F.regexp_replace(t, rf"{free}(\d{{1,2}}){body}{end}", "$1.$2" + keep)
-    return F.regexp_replace(t, rf"{free}(\d{{1,3}}){gap}(\d{{3}}){end}", "$1.$2")
+    return F.when(may, F.regexp_replace(t, rf"{free}(\d{{1,3}}){gap}(\d{{3}}){end}", "$1.$2")).otherwise(text)
 
 
 def amount_of(token: Column) -> Column:
@@ -63,17 +64,21 @@ def price_tokens(text: Column, reach: int = 14) -> Column:
 
     def read(m: Column) -> Column:
         stuck = m["hit"].rlike(r"(?iu)^(?:\d{4,}|\d{1,3}[.,]\d{3}).*(?:bin|k)$")  # "1500 bin": the scale is no scale, and no currency follows
-        follows = F.when(~stuck, _currency_at(m["right"], f"^{_MARKS}{{}}"))
-        leads = _currency_at(m["left"], f"{{}}{_MARKS}$")
-        tight = F.when(follows.isNotNull(), m["right"].rlike(f"(?iu)^(?:{_ANY})")).when(leads.isNotNull(), m["left"].rlike(f"(?iu)(?:{_ANY})$")).otherwise(False)
-        # the text up to the next number is one currency with its marks: it may be that number's, too
-        passes = follows.isNotNull() & m["right"].rlike(f"(?iu)^{_MARKS}(?:{_ANY}){_MARKS}$")
-        keep = ~F.concat(F.left(m["right"], F.lit(12)), F.lit(" ")).rlike(r"(?iu)^\.?\s*(?:el\b|sahib)")
-        return F.struct(
-            amount_of(m["hit"]).alias("amount"), F.coalesce(follows, leads).alias("currency"), tight.alias("tight"), m["hit"].rlike(r"^(19[89]\d|20[0-3]\d)$").alias("yearish"),
-            (follows.isNull() & m["left"].rlike(r"(?<![A-Za-z])TRY$")).alias("box"), m["before"].alias("before"), m["after"].alias("after"),
-            follows.isNotNull().alias("follows"), passes.alias("passes"), keep.alias("keep"),
-        )
+        sides = F.struct(F.when(~stuck, _currency_at(m["right"], f"^{_MARKS}{{}}")).alias("follows"), _currency_at(m["left"], f"{{}}{_MARKS}$").alias("leads"))
+
+        def of(v: Column) -> Column:
+            follows, leads = v["follows"], v["leads"]
+            tight = F.when(follows.isNotNull(), m["right"].rlike(f"(?iu)^(?:{_ANY})")).when(leads.isNotNull(), m["left"].rlike(f"(?iu)(?:{_ANY})$")).otherwise(False)
+            # the text up to the next number is one currency with its marks: it may be that number's, too
+            passes = follows.isNotNull() & m["right"].rlike(f"(?iu)^{_MARKS}(?:{_ANY}){_MARKS}$")
+            keep = ~F.concat(F.left(m["right"], F.lit(12)), F.lit(" ")).rlike(r"(?iu)^\.?\s*(?:el\b|sahib)")
+            return F.struct(
+                amount_of(m["hit"]).alias("amount"), F.coalesce(follows, leads).alias("currency"), tight.alias("tight"), m["hit"].rlike(r"^(19[89]\d|20[0-3]\d)$").alias("yearish"),
+                (follows.isNull() & m["left"].rlike(r"(?<![A-Za-z])TRY$")).alias("box"), m["before"].alias("before"), m["after"].alias("after"),
+                follows.isNotNull().alias("follows"), passes.alias("passes"), keep.alias("keep"),
+            )
+
+        return let(sides, of)
 
     def resolved(found: Column) -> Column:
         def one(t: Column, i: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advertlake.functions import freetext as T
+from advertlake.functions.numbers import let
 from advertlake.session import table
 from advertlake.sources.shared import spread
 
@@ -76,14 +77,15 @@ _COLUMNS = ["brand", "model", "year", "km", "km_least", "phone", "price_amount",
 
 def free_posts(spark: SparkSession, d: str) -> DataFrame:
     text, newest = F.col("text"), F.lit(NEWEST)
-    rows = spread(posts(spark, d)).select("o_orderkey", T.parse_freetext(text, newest).alias("p"), T.diagnose(text, newest).alias("reason"))
-    return rows.select("o_orderkey", "reason", *[f"p.{c}" for c in _COLUMNS])
+    rows = spread(posts(spark, d)).select("o_orderkey", T.advert_and_reason(text, newest).alias("p"))
+    return rows.select("o_orderkey", "p.reason", *[f"p.advert.{c}" for c in _COLUMNS])
 
 
 def post_prices(spark: SparkSession, d: str) -> DataFrame:
     """The price of the text itself, and whether it hangs on the last characters of a text that may be cut."""
-    rows = spread(posts(spark, d)).select("o_orderkey", T.body_price(F.col("text")).alias("p"), T.price_in_cut_tail(F.col("text")).alias("at_end"))
-    return rows.select("o_orderkey", "p.amount", "p.currency", "at_end")
+    text = F.col("text")
+    rows = spread(posts(spark, d)).select("o_orderkey", let(T.body_price(text), lambda w: F.struct(w["amount"].alias("amount"), w["currency"].alias("currency"), T.price_in_cut_tail(text, whole=w).alias("at_end"))).alias("p"))
+    return rows.select("o_orderkey", "p.amount", "p.currency", "p.at_end")
 
 
 QUERIES = {"TX29_TX30_TX31_TX32_TX33_TX36_TX37_TX38_TX39_TX40_free_posts": free_posts, "TX34_TX35_post_prices": post_prices}

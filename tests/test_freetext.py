@@ -108,3 +108,13 @@ def test_time_grows_with_the_length(spark, n):
 
     took(10)
     assert took(n) < 12 * max(0.5, took(n // 4))
+
+
+def test_what_a_price_and_its_reason_share_is_planned_once(spark):
+    """The regular expressions of a post's prices stand in the plan as often as there are texts to judge (twice each, in two branches)."""
+    from advertlake.functions import freetext as T
+    from advertlake.plans import freetext as P
+
+    for query, most in ((P.free_posts, 2), (P.post_prices, 4)):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(T._ADVANCE) == most, plan.count(T._ADVANCE)
