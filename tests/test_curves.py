@@ -51,3 +51,13 @@ def test_curves_without_a_row_equal_a_refit(spark, seed):
         assert (r.my, r.b_age, r.b_km, r.sigma) == pytest.approx(want, abs=1e-9)
         assert (r.n, r.sellers, r.min_year, r.max_year, r.max_km) == (len(others), len({p[4] for p in others}), min(p[5] for p in others), max(p[5] for p in others), max(p[6] for p in others))
     assert "x-3" not in got and got["x-1"].n == len([i for i, p in points.items() if p[0] == "m2" and i in used])
+
+
+def test_no_model_is_dealt_by_id(spark):
+    """What is shuffled by id holds the row's own part, and not the sums of its model."""
+    from advertlake.operators import curves as C
+    from advertlake.settings import ANALOGUE
+    from advertlake.sources.listings import listings
+
+    plan = C.curves_without(listings(spark, "/root/testdata/sf0.001"), ANALOGUE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftOuter")
